@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quoin.llm.packing import op5_best_fit_packing
+from quoin.llm.simhash import op4_simhash_near_dedup
 from quoin.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_token_files": op9_token_files,
 }
