@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quoin.llm.lm_scoring import op6_lm_scoring
+from quoin.llm.media import op8_media_columns
 from quoin.llm.packing import op5_best_fit_packing
 from quoin.llm.sharding import op10_hash_tree_sharding
 from quoin.llm.simhash import op4_simhash_near_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_lm_scoring": op6_lm_scoring,
+    "op8_media_columns": op8_media_columns,
     "op9_token_files": op9_token_files,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
