@@ -8,11 +8,13 @@ from quoin.llm.packing import op5_best_fit_packing
 from quoin.llm.sharding import op10_hash_tree_sharding
 from quoin.llm.simhash import op4_simhash_near_dedup
 from quoin.llm.token_files import op9_token_files
+from quoin.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_toxicity": op7_toxicity,
     "op8_media_columns": op8_media_columns,
     "op9_token_files": op9_token_files,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
