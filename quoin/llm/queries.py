@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quoin.llm.decontamination import op2_decontamination
 from quoin.llm.lm_scoring import op6_lm_scoring
 from quoin.llm.media import op8_media_columns
 from quoin.llm.packing import op5_best_fit_packing
@@ -11,6 +12,7 @@ from quoin.llm.token_files import op9_token_files
 from quoin.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_lm_scoring": op6_lm_scoring,
