@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quoin.llm.decontamination import op2_decontamination
+from quoin.llm.license_scan import op1_license_scan
 from quoin.llm.lm_scoring import op6_lm_scoring
 from quoin.llm.media import op8_media_columns
 from quoin.llm.packing import op5_best_fit_packing
+from quoin.llm.preferences import OP3_SQL, op3_preference_formatting
 from quoin.llm.sharding import op10_hash_tree_sharding
 from quoin.llm.simhash import op4_simhash_near_dedup
 from quoin.llm.token_files import op9_token_files
 from quoin.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_preference_formatting": op3_preference_formatting,
     "op2_decontamination": op2_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -20,6 +25,12 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_token_files": op9_token_files,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_preference_formatting": OP3_SQL,
+}
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
