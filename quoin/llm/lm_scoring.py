@@ -6,11 +6,11 @@ frequency (powers of two) and are learned by expectation-maximisation on a fold
 sees the training rows without that fold as counts and the fold as held-out text. Scores use the counts of all
 training rows. Each row is a sequence from a start mark to an end token.
 
-Texts become chunks of word hashes (64 bits) once, written to the shared folder. A chunk sends each n-gram it has
-with its counts to that n-gram's hash bucket, as arrays; the bucket sends totals back for n-grams of several
-chunks only, since a chunk knows the others' totals itself. So a frequent n-gram moves one entry a chunk, and
-nothing about single n-grams reaches the driver: it gets four sums, and a histogram for the EM whose bins
-(context bucket, log ratios in eighths of a bit) are bounded by the numbers' range and hold mean ratios.
+Texts become chunks of word hashes once, written to the shared folder. A chunk sends each n-gram it has with its
+counts to that n-gram's hash bucket, as sorted arrays; the bucket sends back, in the order sent, what other chunks
+add to each count. So a frequent n-gram moves one entry a chunk, and nothing about single n-grams reaches the driver: it gets four sums, and a histogram for the EM whose bins
+(context bucket, log ratios in eighths of a bit) are bounded by the numbers' range and hold mean ratios. Words are
+told apart by 64 bits, pairs by 56: of n different pairs about one in 2^57 / n shares its counts with another.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ HELD, DEV, MAIN = 0, 1, 2
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values, no word's hash but by chance
 CHUNKS = "chunk bigint, doc_ids binary, valid binary, fold binary, n_words binary, hashes binary, codes binary"
 COUNTS = "bucket bigint, chunk bigint, ord bigint, keys binary, main binary, dev binary"
-TOTALS = "chunk bigint, ord bigint, keys binary, main binary, dev binary, n_main bigint, n_dev bigint, v_main bigint, v_all bigint"
+TOTALS = "chunk bigint, ord bigint, bucket bigint, main binary, dev binary, n_main bigint, n_dev bigint, v_main bigint, v_all bigint"
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class Interpolation:
     dev_fold: int = 1
     buckets: int = 24
     rounds: int = 60
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 6 << 20
     base_add: float = 0.1
 
 
@@ -51,29 +51,36 @@ def fold_of(doc_id: int | None, p: Interpolation) -> int:
     return HELD if k == p.held_fold else DEV if k == p.dev_fold else MAIN
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Byte k of all values, then byte k + 1: the high bytes of small numbers are runs of zeros to any codec."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """Byte k of all values, then byte k + 1, compressed: the high bytes of small numbers are runs of zeros."""
+    import zstandard
 
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T), 1)
 
-def _unplanes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
+    return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
+
+
+KEY_BITS = {1: 64, 2: 56}
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9FB21C651E98DF25) + b  # an odd fixed multiplier
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - KEY_BITS[2])
 
 
 def chunks(docs: DataFrame, p: Interpolation) -> DataFrame:
@@ -105,7 +112,7 @@ def chunks(docs: DataFrame, p: Interpolation) -> DataFrame:
                     "fold": np.array([fold_of(i, p) for i in ids], np.uint8).tobytes(),
                     "n_words": np.diff(offsets).astype(np.int64).tobytes(),
                     "hashes": hashes.tobytes(),
-                    "codes": _planes(np.asarray(coded.indices).astype(np.uint32)),
+                    "codes": _pack(np.asarray(coded.indices).astype(np.uint32)),
                 }
                 seq += 1
                 yield pa.RecordBatch.from_pylist([row])
@@ -121,15 +128,15 @@ class Chunk:
         self.fold, n = np.frombuffer(row["fold"], np.uint8), np.frombuffer(row["n_words"], np.int64)
         self.hash = np.concatenate([np.frombuffer(row["hashes"], np.uint64), [END, START]])
         self.end, self.start = self.hash.size - 2, self.hash.size - 1
-        codes = _unplanes(row["codes"], np.uint32)
+        codes = _unpack(row["codes"], np.uint32)
         self.n_tokens = n + 1
         lasts = np.cumsum(self.n_tokens) - 1
         self.firsts = lasts - n
         is_last = np.zeros(int(self.n_tokens.sum()), bool)
         is_last[lasts] = True
-        self.token = np.empty(is_last.size, np.int64)
+        self.token = np.empty(is_last.size, np.int32)
         self.token[is_last], self.token[~is_last] = self.end, codes
-        self.context = np.concatenate([[self.start], self.token[:-1]]) if is_last.size else self.token
+        self.context = np.concatenate([np.array([self.start], np.int32), self.token[:-1]]) if is_last.size else self.token
         self.context[self.firsts] = self.start
         self.of = np.repeat(self.fold, self.n_tokens)
 
@@ -150,102 +157,110 @@ def _bucket_bits(spark: SparkSession) -> int:
     return max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-def exchange(rows: DataFrame) -> str:
-    """Counts out by n-gram, totals back by chunk; returns the folder of the totals, a subfolder for each chunk.
-    Chunk -1 holds the sums over all n-grams of a bucket."""
+def _cuts(keys: np.ndarray, ord_: int, bits: int) -> list[int]:
+    """Where each bucket's keys begin and end: buckets are the keys' highest bits."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS[ord_] - bits)
+    return [0, *np.searchsorted(keys, edges).tolist(), keys.size]
+
+
+@dataclass(frozen=True)
+class Counts:
+    """Where the totals lie: a subfolder for each chunk; chunk -1 holds the sums over all n-grams of a bucket."""
+
+    folder: str
+    bits: int
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def exchange(rows: DataFrame) -> Counts:
+    """Counts out by n-gram, and back to each chunk what the other chunks add."""
     spark = rows.sparkSession
     bits = _bucket_bits(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row)
-                for ord_ in (1, 2):
-                    keys, _, main, dev = chunk.counts(ord_)
-                    at = [0, *np.searchsorted(keys, edges).tolist(), keys.size]
-                    out = [
-                        {"bucket": b, "chunk": row["chunk"], "ord": ord_, "keys": _pack_keys(keys[x:y]), "main": _planes(main[x:y].astype(np.uint32)), "dev": _planes(dev[x:y].astype(np.uint32))}
-                        for b, (x, y) in enumerate(zip(at, at[1:], strict=False))
-                        if x < y
-                    ]
-                    if out:
-                        yield pa.RecordBatch.from_pylist(out)
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            for ord_ in (1, 2):
+                keys, _, main, dev = chunk.counts(ord_)
+                cuts = _cuts(keys, ord_, bits)
+                out = [
+                    {"bucket": b, "chunk": row["chunk"], "ord": ord_, "keys": _pack_keys(keys[x:y]), "main": _pack(main[x:y].astype(np.uint32)), "dev": _pack(dev[x:y].astype(np.uint32))}
+                    for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))
+                    if x < y
+                ]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {1: [], 2: []}
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys = _unpack_keys(r["keys"])
-                held[r["ord"]].append((keys, np.full(keys.size, r["chunk"]), _unplanes(r["main"], np.uint32), _unplanes(r["dev"], np.uint32)))
-        for ord_, parts_ in held.items():
-            if not parts_:
+        for r in _rows(batches):
+            held[r["ord"]].append((_unpack_keys(r["keys"]), _unpack(r["main"], np.uint32), _unpack(r["dev"], np.uint32), r["chunk"], r["bucket"]))
+        nothing = {"n_main": 0, "n_dev": 0, "v_main": 0, "v_all": 0}
+        for ord_, sent in held.items():
+            if not sent:
                 continue
-            keys, chunk, main, dev = (np.concatenate(x) for x in zip(*parts_, strict=True))
-            parts_.clear()
+            ends = np.cumsum([s[0].size for s in sent]).tolist()
+            whose = [s[3:] for s in sent]
+            keys, main, dev = (np.concatenate([s[i] for s in sent]) for i in range(3))
+            sent.clear()
             order = np.argsort(keys, kind="stable")
-            keys, chunk = keys[order], chunk[order]
+            keys = keys[order]
             new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[new, keys.size])
-            mains, devs = (np.add.reduceat(x[order].astype(np.int64), new) for x in (main, dev))
+            sums = [np.add.reduceat(x[order], new, dtype=np.int64) for x in (main, dev)]
             yield pa.RecordBatch.from_pylist(
-                [{"chunk": -1, "ord": ord_, "keys": b"", "main": b"", "dev": b"", "n_main": int(mains.sum()), "n_dev": int(devs.sum()), "v_main": int((mains > 0).sum()), "v_all": int((mains + devs > 0).sum())}]
+                [{"chunk": -1, "ord": ord_, "bucket": -1, "main": b"", "dev": b"", "n_main": int(sums[0].sum()), "n_dev": int(sums[1].sum()), "v_main": int((sums[0] > 0).sum()), "v_all": int((sums[0] + sums[1] > 0).sum())}]
             )
-            many = np.repeat(sizes > 1, sizes)
-            keys, chunk = keys[many], chunk[many]
-            mains, devs = (np.repeat(x, sizes)[many] for x in (mains, devs))
-            if not chunk.size:
-                continue
-            order = np.argsort(chunk, kind="stable")
-            chunk = chunk[order]
-            new = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-            for a, b in zip(new.tolist(), [*new[1:].tolist(), chunk.size], strict=True):
-                k = order[a:b]
-                yield pa.RecordBatch.from_pylist(
-                    [{"chunk": int(chunk[a]), "ord": ord_, "keys": _pack_keys(keys[k]), "main": _planes(mains[k]), "dev": _planes(devs[k]), "n_main": 0, "n_dev": 0, "v_main": 0, "v_all": 0}]
-                )
+            others = []
+            for own, s in zip((main, dev), sums, strict=True):
+                extra = np.empty(keys.size, np.int64)
+                extra[order] = np.repeat(s, sizes)
+                others.append(extra - own)
+            for (chunk, bucket), a, b in zip(whose, [0, *ends], ends, strict=False):
+                if others[0][a:b].any() or others[1][a:b].any():
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "ord": ord_, "bucket": bucket, "main": _pack(others[0][a:b]), "dev": _pack(others[1][a:b]), **nothing}])
 
     folder = f"{shared_dir(spark)}/totals"
     sent = rows.mapInArrow(send, COUNTS).repartition(parts, "bucket")
     sent.mapInArrow(total, TOTALS).repartition(parts, "chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(folder)
-    return folder
+    return Counts(folder, bits)
 
 
-def _totals(folder: str, chunk: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By order: the keys sent back to a chunk, sorted, with their totals in both folds."""
+def _others(counts: Counts, chunk: int) -> dict[int, list[tuple]]:
+    """By order: (bucket, main, dev) sent back to a chunk."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(folder)
-    found = system.get_file_info(fs.FileSelector(f"{root}/chunk={chunk}", allow_not_found=True))
-    parts: dict[int, list] = {1: [], 2: []}
-    for info in found:
+    system, root = fs.FileSystem.from_uri(counts.folder)
+    out: dict[int, list] = {1: [], 2: []}
+    for info in system.get_file_info(fs.FileSelector(f"{root}/chunk={chunk}", allow_not_found=True)):
         if info.base_name.endswith(".parquet"):
-            for r in pq.ParquetFile(system.open_input_file(info.path)).read(columns=["ord", "keys", "main", "dev"]).to_pylist():
-                parts[r["ord"]].append((_unpack_keys(r["keys"]), _unplanes(r["main"], np.int64), _unplanes(r["dev"], np.int64)))
-    out = {}
-    for ord_, p in parts.items():
-        keys, main, dev = (np.concatenate(x) for x in zip(*p, strict=True)) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(keys)
-        out[ord_] = keys[order], main[order], dev[order]
+            for r in pq.ParquetFile(system.open_input_file(info.path)).read(columns=["ord", "bucket", "main", "dev"]).to_pylist():
+                out[r["ord"]].append((r["bucket"], _unpack(r["main"], np.int64), _unpack(r["dev"], np.int64)))
     return out
 
 
-def _known(chunk: Chunk, back: dict, ord_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The totals of the chunk's keys: those sent back, or else its own counts."""
+def _known(chunk: Chunk, others: dict, ord_: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's key, and the keys' totals over all chunks."""
     keys, inverse, main, dev = chunk.counts(ord_)
-    others, mains, devs = back[ord_]
-    at = np.searchsorted(keys, others)
-    main[at], dev[at] = mains, devs
+    cuts = _cuts(keys, ord_, bits)
+    for bucket, mains, devs in others[ord_]:
+        main[cuts[bucket] : cuts[bucket + 1]] += mains
+        dev[cuts[bucket] : cuts[bucket + 1]] += devs
     return inverse, main, dev
 
 
-def _ratios(chunk: Chunk, back: dict, folds: str, n: int, v: int) -> tuple[np.ndarray, ...]:
+def _ratios(chunk: Chunk, counts: Counts, number: int, folds: str, n: int, v: int) -> tuple[np.ndarray, ...]:
     """For each token: context count, P2, P1, P0 under the main fold ("main") or all training rows ("all")."""
-    one, main1, dev1 = _known(chunk, back, 1)
-    two, main2, dev2 = _known(chunk, back, 2)
+    others = _others(counts, number)
+    one, main1, dev1 = _known(chunk, others, 1, counts.bits)
+    two, main2, dev2 = _known(chunk, others, 2, counts.bits)
     c1, c2 = (main1, main2) if folds == "main" else (main1 + dev1, main2 + dev2)
     by_code = np.empty(chunk.hash.size, np.int64)
     by_code[chunk.token] = c1[one]
@@ -263,28 +278,26 @@ def _context_bucket(context: np.ndarray, p: Interpolation) -> np.ndarray:
 NONE = -(1 << 20)
 
 
-def held_out_histogram(rows: DataFrame, folder: str, n: int, v: int, p: Interpolation) -> list:
+def held_out_histogram(rows: DataFrame, counts: Counts, n: int, v: int, p: Interpolation) -> list:
     """Held-out tokens by (context bucket, log2 P2/P1, log2 P1/P0, each in eighths), with sums of both ratios."""
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row)
-                dev = chunk.of == DEV
-                if not dev.any():
-                    continue
-                context, p2, p1, p0, _ = _ratios(chunk, _totals(folder, row["chunk"]), "main", n, v)
-                b, p2, p1 = _context_bucket(context[dev], p), p2[dev], p1[dev]
-                r2 = np.log2(p2 / np.where(p1 > 0, p1, 1), out=np.zeros(p2.size), where=p2 > 0)
-                r1 = np.log2(p1 / p0, out=np.zeros(p1.size), where=p1 > 0)
-                key = np.stack([b, np.where(p2 > 0, np.rint(8 * r2), NONE), np.where(p1 > 0, np.rint(8 * r1), NONE)]).astype(np.int64)
-                found, inverse, counts = np.unique(key, axis=1, return_inverse=True, return_counts=True)
-                inverse = inverse.reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x) for x in found), pa.array(counts.astype(np.int64)), pa.array(np.bincount(inverse, r2)), pa.array(np.bincount(inverse, r1))],
-                    ["b", "k2", "k1", "n", "r2", "r1"],
-                )
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            dev = chunk.of == DEV
+            if not dev.any():
+                continue
+            context, p2, p1, p0, _ = _ratios(chunk, counts, row["chunk"], "main", n, v)
+            b, p2, p1 = _context_bucket(context[dev], p), p2[dev], p1[dev]
+            r2 = np.log2(p2 / np.where(p1 > 0, p1, 1), out=np.zeros(p2.size), where=p2 > 0)
+            r1 = np.log2(p1 / p0, out=np.zeros(p1.size), where=p1 > 0)
+            key = np.stack([b, np.where(p2 > 0, np.rint(8 * r2), NONE), np.where(p1 > 0, np.rint(8 * r1), NONE)]).astype(np.int64)
+            found, inverse, each = np.unique(key, axis=1, return_inverse=True, return_counts=True)
+            inverse = inverse.reshape(-1)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x) for x in found), pa.array(each.astype(np.int64)), pa.array(np.bincount(inverse, r2)), pa.array(np.bincount(inverse, r1))],
+                ["b", "k2", "k1", "n", "r2", "r1"],
+            )
 
     found = rows.mapInArrow(bins, "b bigint, k2 bigint, k1 bigint, n bigint, r2 double, r1 double")
     return found.groupBy("b", "k2", "k1").agg(F.sum("n").alias("n"), F.sum("r2").alias("r2"), F.sum("r1").alias("r1")).collect()
@@ -323,35 +336,33 @@ def score(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFrame:
     0. Repeated rows count as often as they come. Without training rows all shares but the uniform one are
     worth nothing. An empty table gives no rows."""
     rows = chunks(docs, p)
-    folder = exchange(rows)
+    counts = exchange(rows)
     spark = docs.sparkSession
     n_main = n_all = v_main = v_all = 0
     if not rows.isEmpty():
-        own = spark.read.parquet(f"{folder}/chunk=-1").filter("ord = 1").agg(*(F.sum(c).alias(c) for c in ("n_main", "n_dev", "v_main", "v_all"))).first()
+        own = spark.read.parquet(f"{counts.folder}/chunk=-1").filter("ord = 1").agg(*(F.sum(c).alias(c) for c in ("n_main", "n_dev", "v_main", "v_all"))).first()
         n_main, n_all, v_main, v_all = own.n_main, own.n_main + own.n_dev, own.v_main, own.v_all
-    weights = learn(held_out_histogram(rows, folder, n_main, v_main, p), p)
+    weights = learn(held_out_histogram(rows, counts, n_main, v_main, p), p)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row)
-                context, p2, p1, p0, count = _ratios(chunk, _totals(folder, row["chunk"]), "all", n_all, v_all)
-                w = weights[_context_bucket(context, p)]
-                model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
-                base = np.log10((count + p.base_add) / (n_all + p.base_add * (v_all + 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(chunk.doc_ids, mask=chunk.valid == 0),
-                        pa.array(chunk.fold == HELD),
-                        pa.array(chunk.n_tokens),
-                        pa.array(np.add.reduceat((count > 0).astype(np.int64), chunk.firsts)),
-                        pa.array(np.full(chunk.fold.size, n_all, np.int64)),
-                        pa.array(np.add.reduceat(base, chunk.firsts)),
-                        pa.array(np.add.reduceat(model, chunk.firsts)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            context, p2, p1, p0, count = _ratios(chunk, counts, row["chunk"], "all", n_all, v_all)
+            w = weights[_context_bucket(context, p)]
+            model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
+            base = np.log10((count + p.base_add) / (n_all + p.base_add * (v_all + 1)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(chunk.doc_ids, mask=chunk.valid == 0),
+                    pa.array(chunk.fold == HELD),
+                    pa.array(chunk.n_tokens),
+                    pa.array(np.add.reduceat((count > 0).astype(np.int64), chunk.firsts)),
+                    pa.array(np.full(chunk.fold.size, n_all, np.int64)),
+                    pa.array(np.add.reduceat(base, chunk.firsts)),
+                    pa.array(np.add.reduceat(model, chunk.firsts)),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return rows.mapInArrow(apply, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
