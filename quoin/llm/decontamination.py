@@ -61,8 +61,8 @@ class Myers:
         for i, c in enumerate(pattern):
             self.at[c] = self.at.get(c, 0) | 1 << i
 
-    def best(self, text: str) -> tuple[int, int]:
-        """The distance and the first place where such a stretch ends."""
+    def best(self, text, latest: bool = False) -> tuple[int, int]:
+        """The distance and the first place where such a stretch ends, or the last."""
         m, at = self.m, self.at
         last, full = 1 << m - 1, (1 << m) - 1
         up, down, score, found = full, 0, m, (m, 0)
@@ -76,8 +76,8 @@ class Myers:
                 score += 1
             elif h_down & last:
                 score -= 1
-                if score < found[0]:
-                    found = (score, j + 1)
+            if score < found[0] or latest and score == found[0] < m:
+                found = (score, j + 1)
             h_up = h_up << 1 & full
             h_down = h_down << 1 & full
             up = h_down | ~(d0 | h_up) & full

@@ -134,13 +134,13 @@ class Scanner:
         for size, name in sizes[: self.p.ranked]:
             template = self.words[name]
             most = max(int(len(template) >= 6), int(self.p.tolerance * len(template)))
-            d, end = self.myers[name][0].best(words)
+            d, end = self.myers[name][0].best(words, latest=True)
             if d <= most and size < plain and (best is None or (d, -len(template), size) < best[0]):
                 best = ((d, -len(template), size), name, end)
         if not best:
             return []
         (_, _, size), name, end = best
-        begin = end - self.myers[name][1].best(words[:end][::-1])[1]
+        begin = end - self.myers[name][1].best(words[:end][::-1], latest=True)[1]
         missing, added, version = [], [], []
         for tag, a, b, c, d in SequenceMatcher(None, self.words[name], words[begin:end], autojunk=False).get_opcodes():
             if tag != "equal":
