@@ -9,7 +9,7 @@ from quoin.llm.lm_scoring import op6_lm_scoring
 from quoin.llm.media import op8_media_columns
 from quoin.llm.packing import op5_best_fit_packing
 from quoin.llm.preferences import OP3_SQL, op3_preference_formatting
-from quoin.llm.sharding import op10_hash_tree_sharding
+from quoin.llm.sharding import OP10_SQL, op10_hash_tree_sharding
 from quoin.llm.simhash import op4_simhash_near_dedup
 from quoin.llm.token_files import op9_token_files
 from quoin.llm.toxicity import op7_toxicity
@@ -30,6 +30,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference_formatting": OP3_SQL,
+    "op10_hash_tree_sharding": OP10_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:

@@ -85,6 +85,34 @@ def place(docs: DataFrame, tree: Tree, grown: Tree, blocks: int = 256) -> DataFr
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
+def sql(tree: Tree, grown: Tree, blocks: int = 256) -> str:
+    """The same in DuckDB's SQL; crc32 is folded over the bytes with a table made from its polynomial."""
+
+    def descent(name: str, t: Tree) -> str:
+        values = ", ".join(f"('{path}', {child}, {w})" for path, kids in t.children().items() for child, w in kids.items())
+        draw = "-ln((('0x' || substr(md5(k || '|' || path || '/' || child), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) / w"
+        pick = f"arg_min(child, {{'d': {draw}, 'c': child}})"
+        return f"""{name} AS (SELECT * FROM (VALUES {values}) v(path, child, w)),
+{name}1 AS (SELECT k, {pick} AS a FROM keys, {name} WHERE path = '' GROUP BY k),
+{name}2 AS (SELECT k, a, {pick} AS b FROM {name}1 JOIN {name} ON path = a::VARCHAR GROUP BY k, a),
+{name}3 AS (SELECT k, a, b, {pick} AS c FROM {name}2 JOIN {name} ON path = a || '/' || b GROUP BY k, a, b)"""
+
+    return f"""WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+raw AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, encode(coalesce(text, '')) AS b FROM documents),
+sums AS (SELECT doc_id, k, CAST(octet_length(b) + 8 AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(list_prepend(4294967295,
+  list_transform(regexp_extract_all(hex(b), '..'), lambda p: ('0x' || p)::INTEGER)), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) AS BIGINT) AS text_crc32 FROM raw, tab),
+keys AS (SELECT DISTINCT k FROM raw),
+{descent("old", tree)},
+{descent("new", grown)}
+SELECT doc_id, size, text_crc32, 'key' AS law, old3.c AS shard, row_number() OVER (PARTITION BY old3.c ORDER BY ('0x' || substr(md5(k), 14, 4))::BIGINT % {blocks},
+  doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, new3.c AS grown_shard, old3.a AS region, old3.b AS rack
+FROM sums JOIN old3 USING (k) JOIN new3 USING (k)"""
+
+
+TREE = Tree.even(2, 3, 4)
+OP10_SQL = sql(TREE, TREE.grown())
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = Tree.even(2, 3, 4)
-    return place(read(spark, sf_dir, "documents"), tree, tree.grown())
+    return place(read(spark, sf_dir, "documents"), TREE, TREE.grown())
