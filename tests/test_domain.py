@@ -294,3 +294,16 @@ def test_files_and_decoder(spark, tmp_path):
     assert got.first().sha256 == __import__("hashlib").sha256(b"hello").hexdigest()
     decode = lambda raw: [{"page": 1, "block": 0, "line": 0, "span": 0, "text": raw.decode(), "size": 9.0, "flags": 0, "font": "f", "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}]
     assert files.decoded(got, decode).first().text == "hello"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quoin.__main__ import main
+
+    db = f"file://{tmp_path}/db"
+    main(["--db", db, "init"])
+    t = store.Store(spark, db)
+    t.commit({"issues": tables(spark, [DAY, DAY + datetime.timedelta(1)])["issues"]})
+    main(["--db", db, "delete", "2019-11-08"])
+    assert [r.id for r in t.table("issues").collect()] == [2] and t.table("articles").count() == 0
+    main(["--db", db, "stats"])
+    assert "2019-11-09" in capsys.readouterr().out
