@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 DOCUMENTS = {"doc_id": "bigint", "text": "string"}
 
 
+BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Unless the session has a setting of its own, texts go to Python a thousand at a time: ten thousand
+    of some kilobytes each, held by the JVM and by Python, take much of a small executor's memory."""
+    if spark.conf.get(BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -60,3 +67,12 @@ def running_total(df: DataFrame, groups: list[str], block: str, order: list, val
         .withColumn(out, (F.col("_start") + F.col("_inside")).cast("bigint"))
         .drop("_inside", "_start", "_b", "_sum", *(f"_g{i}" for i in range(len(groups))))
     )
+
+
+def filesystem(uri: str):
+    """Arrow's file system for a path of Spark's, and the path in it: tasks reach the shared folder by it. Spark's
+    names for S3 are Arrow's s3; file, hdfs, s3, gs and abfs are the same for both."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)

@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Lexicon
     sizes = {r.toxic: r.n for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, rows = sizes.get(1, 0), sum(sizes.values())
     if not toxic or toxic == rows:
-        return Lexicon(floor=(toxic + 0.5) / (rows + 1))
+        return Lexicon(floor=min(0.45, (toxic + 0.5) / (rows + 1)))
     share = toxic / rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,13 +320,18 @@ def _weigh(lexicon: Lexicon, once: DataFrame, share: float, p: Toxicity) -> Lexi
     return Lexicon(lexicon.words, lexicon.stems, worth, min(0.45, (toxic + 0.5) / (clean + toxic + 1)))
 
 
-def _scores(lexicon: Lexicon, texts: pa.Array, p: Toxicity) -> list[float]:
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    maybe, words = lexicon.rows_with_hits(texts)
-    out = np.full(len(texts), lexicon.floor)
-    for i in np.flatnonzero(maybe).tolist():
-        out[i] = lexicon.score(texts[i].as_py(), words, p.window)
-    return out.tolist()
+def _scores(lexicon: Lexicon, texts: pa.Array, p: Toxicity, step: int = 1024) -> list[float]:
+    """A few rows at a time, since the words of a text take several times its size."""
+    out = []
+    for at in range(0, len(texts), step):
+        part = pc.fill_null(texts.slice(at, step).cast(pa.large_string()), "")
+        maybe, words = lexicon.rows_with_hits(part)
+        scores = [lexicon.floor] * len(part)
+        for i in np.flatnonzero(maybe).tolist():
+            scores[i] = lexicon.score(part[i].as_py(), words, p.window)
+        out += scores
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def score(docs: DataFrame, lexicon: Lexicon, p: Toxicity = Toxicity()) -> DataFrame:
@@ -335,11 +340,9 @@ def score(docs: DataFrame, lexicon: Lexicon, p: Toxicity = Toxicity()) -> DataFr
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                scores = _scores(lexicon, part.column(1), p)
-                held = [fold(d, p) == p.held_fold for d in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            scores = _scores(lexicon, b.column(1), p)
+            held = [fold(d, p) == p.held_fold for d in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return pick(docs, DOCUMENTS).mapInArrow(apply, "doc_id bigint, held_out boolean, score double, predicted int")
 
