@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,15 +28,19 @@ _RARE = "\\x1c-\\x1f\\x85\\xa0 ᠎ -​    　﻿"
 _ODD_ARROW = "[ ][\\t\\n\\v\\f\\r ]|[\\t\\n\\v\\f\\r][ ]|[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _IS_RARE = re.compile(f"[{_RARE}]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_SLICE_BYTES = 32 << 20
-_BLOCK = 2048
+_SLICE_BYTES = 10 << 20
+_BLOCK = 512
 
 
 class _Cache:
-    """The ids of chunks, in a flat pool, found by Arrow's hash lookup. `before` is put before each chunk."""
+    """The ids of chunks, in a flat pool, found by Arrow's hash lookup. `before` is put before each chunk. With
+    `blank`, what stands between two chunks, new ones are encoded many to a text, with a mark after each."""
 
-    def __init__(self, tokenizer, before: str, most: int):
-        self.tokenizer, self.before, self.most = tokenizer, before, most
+    MARK = "\x01"
+
+    def __init__(self, tokenizer, before: str, most: int, blank: str | None = None):
+        self.tokenizer, self.before, self.most, self.blank = tokenizer, before, most, blank
+        self.mark = tokenizer.encode((blank or "") + self.MARK, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
@@ -52,39 +57,64 @@ class _Cache:
             found = pc.index_in(chunks, value_set=self.keys)
         slots = np.asarray(found)
         lengths = self.length[slots]
-        begins = np.cumsum(lengths) - lengths
-        return self.pool[np.repeat(self.start[slots] - begins, lengths) + np.arange(int(lengths.sum()))], lengths
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if ends.size else 0  # a slice has fewer than 2^31 ids
+        at = np.repeat((self.start[slots] - ends + lengths).astype(np.int32), lengths)
+        at += np.arange(total, dtype=np.int32)
+        return self.pool[at], lengths
 
     def _add(self, new: pa.Array) -> None:
-        ids, first, at = [], len(self.keys), self.used
-        for i in range(0, len(new), _BLOCK):  # few of the library's large objects at a time
-            block = [self.before + c for c in new.slice(i, _BLOCK).to_pylist()]
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        first, at = len(self.keys), self.used
+        found = [self._together(new.slice(i, _BLOCK).to_pylist()) for i in range(0, len(new), _BLOCK)]
+        flat, lengths = (np.concatenate([f[i] for f in found]) for i in range(2))
         while at + flat.size > self.pool.size:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while first + len(ids) > self.start.size:
+        while first + len(new) > self.start.size:
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         self.pool[at : at + flat.size] = flat
-        self.start[first : first + len(ids)] = at + np.cumsum(lengths) - lengths
-        self.length[first : first + len(ids)] = lengths
+        self.start[first : first + len(new)] = at + np.cumsum(lengths) - lengths
+        self.length[first : first + len(new)] = lengths
         self.used += flat.size
         self.keys = pa.concat_arrays([self.keys, new])
 
 
+    def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.before + c for c in chunks], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.blank is None or any(self.MARK in c for c in chunks):
+            return self._apart(chunks)
+        between = f"{self.blank}{self.MARK}"
+        text = "".join(f"{self.before or self.blank}{c}{between}" for c in chunks)
+        (encoded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(encoded.ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark[-1])
+        if marks.size != len(chunks):
+            return self._apart(chunks)
+        k = len(self.mark)
+        keep = np.ones(ids.size, bool)
+        for i in range(k):
+            keep[marks - i] = False
+        return ids[keep], np.diff(marks, prepend=-1) - k
+
+
 class ChunkEncoder:
     """A cache that holds `most` chunks is emptied, which costs time only."""
 
-    def __init__(self, path: str, split: str, most: int = 1_000_000):
+    def __init__(self, path: str, split: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         if split not in ("space", "blank", "none"):
             raise ValueError(f"no such split: {split}")
         self.tokenizer, self.split = Tokenizer.from_file(path), split
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
-        self.bare = _Cache(self.tokenizer, "", most if split == "blank" else most // 8)
-        self.spaced = _Cache(self.tokenizer, " ", most)
+        if split == "blank":
+            self.bare = _Cache(self.tokenizer, "", most, " ")
+        else:
+            self.bare = _Cache(self.tokenizer, "", most // 8)
+            self.spaced = _Cache(self.tokenizer, " ", most, " ")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as uint32, and each text's number of ids. A null text counts as empty."""
@@ -99,6 +129,7 @@ class ChunkEncoder:
         if bounds[-1] < len(texts):
             bounds.append(len(texts))
         parts = [self._encode(texts.slice(a, b - a)) for a, b in zip(bounds, bounds[1:], strict=False)]
+        pa.default_memory_pool().release_unused()
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -162,3 +193,17 @@ def encoder(path: str, split: str) -> ChunkEncoder:
     if (path, split) not in _encoders:
         _encoders[path, split] = ChunkEncoder(path, split)
     return _encoders[path, split]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold `most` bytes: looking chunks up costs time for each call too."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (whole := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield whole[0]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.chunk_tokens import encoder
+from quoin.llm.chunk_tokens import encoder, gathered
 from quoin.llm.common import DOCUMENTS, cut, pick, read
 
 
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, packing: Packing) -> DataFrame:
 
         part, seen = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         encode_all = encoder(packing.tokenizer, packing.split).encode
-        for batch in batches:
+        for batch in gathered(batches):
             ids, n = encode_all(batch.column(1))
             total = n + 1
             k = -(-total // most)  # pieces of each document
