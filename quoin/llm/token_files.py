@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.chunk_tokens import encoder
-from quoin.llm.common import DOCUMENTS, cut, pick, read, shared_dir
+from quoin.llm.chunk_tokens import encoder, gathered
+from quoin.llm.common import DOCUMENTS, cut, filesystem, pick, read, shared_dir
 
 MAGIC = b"QDAC"
 BLOCK = 512
@@ -121,12 +121,6 @@ class TokenFile:
         return out
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, split: str, end_id: int, bits: int = 8, file_tokens: int = 1 << 22, buckets: int | None = None) -> DataFrame:
     """Writes files of about `file_tokens` ids in ascending doc_id order (null first, equal ids by text) and
     returns the manifest. Buckets are ranges of doc_id with near equal row counts, from quantiles of that column."""
@@ -143,7 +137,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, split: str,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(tokenizer, split).encode
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         state = {"bucket": None, "seq": 0, "tokens": 0}
@@ -161,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, split: str,
                 held.clear()
             state["seq"], state["tokens"] = state["seq"] + 1, 0
 
-        for batch in batches:
+        for batch in gathered(batches):
             ids, n = encode_all(batch.column(1))
             lengths = n + 1
             ends = np.cumsum(lengths)
@@ -201,7 +195,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, name = _filesystem(path)
+                fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
                     file = TokenFile(f.read_buffer())
                 bounds = file.bounds.tolist()
