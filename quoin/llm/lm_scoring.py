@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import DOCUMENTS, cut, pick, read, shared_dir
+from quoin.llm.common import DOCUMENTS, cut, filesystem, pick, read, shared_dir
 
 HELD, DEV, MAIN = 0, 1, 2
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values, no word's hash but by chance
@@ -91,35 +91,51 @@ def chunks(docs: DataFrame, p: Interpolation) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         part, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            sizes = np.asarray(pc.binary_length(texts))
-            of = (np.cumsum(sizes) - sizes) // p.chunk_bytes
-            for c in np.unique(of):
-                at = np.flatnonzero(of == c)
-                ids = batch.column(0).slice(int(at[0]), at.size).to_pylist()
-                lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(int(at[0]), at.size)))
-                flat, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
-                word = np.asarray(pc.not_equal(flat, "")).astype(bool)
-                before = np.concatenate([[0], np.cumsum(word)])
-                offsets = before[offsets - offsets[0]]
-                coded = flat.filter(pa.array(word)).dictionary_encode()
-                hashes = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-                row = {
-                    "chunk": (part << 24) + seq,
-                    "doc_ids": np.array([0 if i is None else i for i in ids], np.int64).tobytes(),
-                    "valid": np.array([i is not None for i in ids], np.uint8).tobytes(),
-                    "fold": np.array([fold_of(i, p) for i in ids], np.uint8).tobytes(),
-                    "n_words": np.diff(offsets).astype(np.int64).tobytes(),
-                    "hashes": hashes.tobytes(),
-                    "codes": _pack(np.asarray(coded.indices).astype(np.uint32)),
-                }
-                seq += 1
-                yield pa.RecordBatch.from_pylist([row])
+        for ids, texts in _groups(batches, p.chunk_bytes):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            flat, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+            word = np.asarray(pc.not_equal(flat, "")).astype(bool)
+            before = np.concatenate([[0], np.cumsum(word)])
+            offsets = before[offsets - offsets[0]]
+            coded = flat.filter(pa.array(word)).dictionary_encode()
+            hashes = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+            row = {
+                "chunk": (part << 24) + seq,
+                "doc_ids": np.array([0 if i is None else i for i in ids], np.int64).tobytes(),
+                "valid": np.array([i is not None for i in ids], np.uint8).tobytes(),
+                "fold": np.array([fold_of(i, p) for i in ids], np.uint8).tobytes(),
+                "n_words": np.diff(offsets).astype(np.int64).tobytes(),
+                "hashes": hashes.tobytes(),
+                "codes": _pack(np.asarray(coded.indices).astype(np.uint32)),
+            }
+            seq += 1
+            yield pa.RecordBatch.from_pylist([row])
 
     return cut(pick(docs, DOCUMENTS).mapInArrow(build, CHUNKS))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, pa.Array]]:
+    """doc_ids and texts of rows in a row, of at most `most` bytes but for one larger row."""
+    ids: list = []
+    parts: list[pa.Array] = []
+    held = 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        names, sizes, begin = batch.column(0).to_pylist(), pc.binary_length(texts).to_pylist(), 0
+        for i, size in enumerate(sizes):
+            if held and held + size > most:
+                parts.append(texts.slice(begin, i - begin))
+                ids += names[begin:i]
+                if ids:
+                    yield ids, pa.concat_arrays(parts)
+                ids, parts, held, begin = [], [], 0, i
+            held += size
+        parts.append(texts.slice(begin))
+        ids += names[begin:]
+    if ids:
+        yield ids, pa.concat_arrays(parts)
+
+
 class Chunk:
     """A chunk's sequences: `token` and `context` index `hash`, whose last two are the end and the start."""
 
@@ -237,7 +253,7 @@ def _others(counts: Counts, chunk: int) -> dict[int, list[tuple]]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(counts.folder)
+    system, root = filesystem(counts.folder)
     out: dict[int, list] = {1: [], 2: []}
     for info in system.get_file_info(fs.FileSelector(f"{root}/chunk={chunk}", allow_not_found=True)):
         if info.base_name.endswith(".parquet"):
