@@ -215,7 +215,7 @@ def classify(pending: DataFrame, providers: Providers, system: str, size: int =
         out = []
         for i, r in enumerate(items):
             a = found.get(i)
-            row = {"id": r["id"], "status": "done" if a else status}
+            row = dict.fromkeys(c.split()[0] for c in CLASSIFIED.split(", ")) | {"id": r["id"], "status": "done" if a else status}
             out.append(row | ({**a, "id": r["id"], "relevant": a["relevant"] and a["score"] >= cut} if a else {}))
         return pd.DataFrame(out, columns=[c.split()[0] for c in CLASSIFIED.split(", ")])
 
@@ -234,7 +234,7 @@ def extract(pending: DataFrame, providers: Providers, system: str, most: int = 5
         for rows in frames:
             out, used_up = [], False
             for r in rows.to_dict("records"):
-                row = {"article_id": r["id"], "status": "quota"}
+                row = {"article_id": r["id"], "status": "quota", "model": None, "data": None}
                 user = f"ISSUE DATE: {r['issue_date']}\nHEADLINE: {r['headline'] or ''}\n\nARTICLE TEXT:\n{(r['body'] or '')[:opening]}"
                 try:
                     if not used_up:
