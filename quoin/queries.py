@@ -306,7 +306,8 @@ def section_detect(spark, d):
 
 @query("clean_text")
 def clean_text(spark, d):
-    return views.documents(spark, d).select("id", T.clean_text(F.concat(F.lit("ﬁne co­\nop mid­dle a-\nb \x00"), "body")).alias("clean"))
+    text = F.concat_ws("\n", "headline", "body")
+    return views.documents(spark, d, whole=True).select("id", T.clean_text(F.concat(F.lit("ﬁne co­\nop mid­dle a-\nb \x00"), text)).alias("clean"))
 
 
 @query("similarity")
@@ -345,7 +346,7 @@ def section_skip(spark, d):
 
 @query("prefilter_defaults")
 def prefilter_defaults(spark, d):
-    return prefilter.prefilter(views.documents(spark, d)).select("id", "score", "passed", F.array_join("hits", " ").alias("hits"))
+    return prefilter.prefilter(views.documents(spark, d, whole=True)).select("id", "score", "passed", F.array_join("hits", " ").alias("hits"))
 
 
 # ---- layout ----
@@ -446,9 +447,9 @@ _TERM_SQL = f"""terms AS (SELECT id, hits / 10.0::DOUBLE AS score, CAST(row_numb
     len(list_filter(regexp_extract_all(lower(headline || chr(10) || body), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda w: list_contains({_TERMS}, w))) AS hits FROM docs) WHERE hits > 0 ORDER BY rank LIMIT 30)"""
 
 
-def _searchable(spark, d):
+def _searchable(spark, d, whole=False):
     v = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return views.documents(spark, d).withColumn("search_text", F.concat_ws("\n", "headline", "body")).join(v, "id", "left")
+    return views.documents(spark, d, whole).withColumn("search_text", F.concat_ws("\n", "headline", "body")).join(v, "id", "left")
 
 
 @query("term_rank_or", ["docs"], f", {_TERM_SQL} SELECT id, score, rank FROM terms")
@@ -471,7 +472,7 @@ def rrf_fusion(spark, d):
 
 @query("term_rank_stemmed")
 def term_rank_stemmed(spark, d):
-    return search.term_rank(_searchable(spark, d), QUERY)
+    return search.term_rank(_searchable(spark, d, whole=True), QUERY)
 
 
 @query("hybrid_search")
@@ -507,7 +508,7 @@ def dedup_exact(spark, d):
 
 @query("dedup_fuzzy")
 def dedup_fuzzy(spark, d):
-    out = dedup.group_duplicates(views.documents(spark, d).select("id", "issue_date", "headline", "body", "page_no"), ["id"])
+    out = dedup.group_duplicates(views.documents(spark, d, whole=True).select("id", "issue_date", "headline", "body", "page_no"), ["id"])
     return out.select("id", "issue_date", "page_no", F.array_join(F.col("also_on_pages").cast("array<string>"), " ").alias("also_on_pages"))
 
 

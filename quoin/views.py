@@ -14,14 +14,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, issue_id, issue_date, page_no, headline (first line), body (the rest), section, n_chars."""
+def documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """id, issue_id, issue_date, page_no, headline (first line), body (the rest), section, n_chars.
+
+    Headlines are cut after 120 characters, as in the SQL twin, unless `whole` is set: then headline and body hold
+    all of the text."""
     d = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     cut = F.instr("text", F.lit("\n"))
     no = F.substr("source", F.lit(4)).cast("int")
+    line = F.substring_index("text", "\n", 1)
     return d.select(
         F.col("doc_id").alias("id"), no.cast("bigint").alias("issue_id"), F.date_add(F.lit(START).cast("date"), no).alias("issue_date"),
-        (F.col("doc_id") % 24 + 1).cast("int").alias("page_no"), F.left(F.substring_index("text", "\n", 1), F.lit(120)).alias("headline"),
+        (F.col("doc_id") % 24 + 1).cast("int").alias("page_no"), (line if whole else F.left(line, F.lit(120))).alias("headline"),
         F.when(cut > 0, F.substr("text", cut + 1)).otherwise("").alias("body"), F.when(F.col("doc_id") % 7 == 0, "SPORT").alias("section"), F.col("lang").alias("category"), "n_chars",
     )
 
