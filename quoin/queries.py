@@ -523,13 +523,16 @@ def grounded(spark, d):
     SELECT DISTINCT id, item_id FROM h, n WHERE contains(hay, needle)""")
 def grounding_exact(spark, d):
     """Which benchmark passages texts hold verbatim. Both sides meet by the passage's words 2 to 4, an equi-key
-    (its first word may start within a longer one)."""
+    (its first word may start within a longer one, and its last end within one). Passages under five words have no
+    such key and are looked for in every text."""
     docs = views.documents(spark, d).select("id", T.norm(F.col("body"), unify=False).alias("hay"))
     items = views.read(spark, d, "benchmark").select("item_id", T.norm(F.col("text"), unify=False).alias("needle"))
     threes = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 3), " "))
-    starts = items.withColumn("key", F.array_join(F.slice(F.split("needle", " "), 2, 3), " "))
+    short = F.size(F.split("needle", " ")) < 5
+    starts = items.filter(~short).withColumn("key", F.array_join(F.slice(F.split("needle", " "), 2, 3), " "))
     keyed = docs.select("id", F.explode(F.array_distinct(threes(F.split("hay", " ")))).alias("key"))
     near = keyed.join(F.broadcast(starts) if starts.count() < 10_000 else starts, "key").join(docs, "id")
+    near = near.select("id", "item_id", "needle", "hay").unionByName(docs.crossJoin(items.filter(short)))
     return near.filter(grounding.present_exact(F.col("needle"), F.col("hay"))).select("id", "item_id").distinct()
 
 

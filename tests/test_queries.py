@@ -26,3 +26,10 @@ def test_first_lines_are_read_whole(spark, tables):
     assert r"\bbail\b" in passed[0] and passed[1] == ""
     assert [r.id for r in QUERIES["term_rank_stemmed"](spark, d).collect()] == [1]
     assert {r.id for r in QUERIES["dedup_fuzzy"](spark, d).collect()} == {0, 1, 2}
+
+
+def test_short_passages_are_found(spark, tables):
+    items = ["lone", "two words", "of three words", "ends in four wor", "this one has five words"]
+    d = tables(["x\nAlone, two words; OF three words!", "x\nIt bends in four words. And this one has five wordsmiths.", "x\nnothing"], [(i, t) for i, t in enumerate(items)])
+    got = {(r.id, r.item_id) for r in QUERIES["grounding_exact"](spark, d).collect()}
+    assert got == {(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)}
