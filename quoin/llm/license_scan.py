@@ -2,10 +2,11 @@
 
 A text's sentences and lines with a word that license notices have, and their neighbours made of such notices'
 vocabulary, are candidate blocks. Each is compressed with zstandard alone and with each template as raw
-dictionary; templates are ranked by how much smaller the block gets. The best `ranked` are confirmed by wording:
-the least number of words to change, add or leave out between the template and any stretch of the block (Myers'
-algorithm on words). The template with the fewest differences wins, if they are few enough; the differences are
-reported word by word, numbers apart as versions.
+dictionary. Every template is compared by wording: the least number of words to change, add or leave out between
+the template and any stretch of the block (Myers' algorithm on words). The template with the fewest differences
+wins, if they are few enough, of equals the longest, then the one that makes the block smallest. Where it makes the
+whole block no smaller, the sizes are of its own stretch. The differences are reported word by word, numbers apart
+as versions.
 """
 
 from __future__ import annotations
@@ -69,7 +70,6 @@ CUE = r"(?i)licen[sc]e|licencié|lizen[zs]|licencia|public domain|permission is
 
 @dataclass(frozen=True)
 class LicenseScan:
-    ranked: int = 3
     tolerance: float = 0.2  # differing words for each word of a template; one is always allowed from six words on
     vocabulary: float = 0.6  # share of a neighbour's words that notices use
     level: int = 19
@@ -128,15 +128,13 @@ class Scanner:
         raw, words = block.encode(), words_of(block)
         if not words or not self.cue.search(block):
             return []
-        plain = len(self.alone.compress(raw))
-        sizes = sorted((len(c.compress(raw)), n) for n, c in self.given.items())
         best = None
-        for size, name in sizes[: self.p.ranked]:
-            template = self.words[name]
+        for name, template in self.words.items():
             most = max(int(len(template) >= 6), int(self.p.tolerance * len(template)))
             d, end = self.myers[name][0].best(words, latest=True)
-            if d <= most and size < plain and (best is None or (d, -len(template), size) < best[0]):
-                best = ((d, -len(template), size), name, end)
+            if d <= most and (best is None or (d, -len(template)) <= best[0][:2]):
+                key = d, -len(template), len(self.given[name].compress(raw))
+                best = min(best or (key, name, end), (key, name, end))
         if not best:
             return []
         (_, _, size), name, end = best
@@ -149,9 +147,13 @@ class Scanner:
         version = [w for w in words[begin:end] if w[0].isdigit()]
         places = [m.span() for m in _WORD.finditer(block.lower())]
         if len(block.lower()) != len(block):  # some letter changes length: the rest is judged as words
-            before, after = " ".join(words[:begin]), " ".join(words[end:])
+            before, own, after = (" ".join(ws) for ws in (words[:begin], words[begin:end], words[end:]))
         else:
-            before, after = block[: places[begin][0]], block[places[end - 1][1] :]
+            a, b = places[begin][0], places[end - 1][1]
+            before, own, after = block[:a], block[a:b], block[b:]
+        plain = len(self.alone.compress(raw))
+        if size >= plain:
+            plain, size = len(self.alone.compress(own.encode())), len(self.given[name].compress(own.encode()))
         found = (name, plain, size, " ".join(missing), " ".join(added), " ".join(version))
         return [*self._judge(before), found, *self._judge(after)]
 

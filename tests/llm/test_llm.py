@@ -464,6 +464,18 @@ def test_license_scan(spark, none, texts):
     assert license_scan.scan(none).count() == 0
 
 
+def test_notice_beside_reworded_licenses():
+    """A block's compressed size may favour other templates than that of the notice it holds."""
+    isc = "Permission to use, copy, modify and distribute this software for any purpose is granted without fee provided that the copyright notice appear in all copies, subject to the following conditions."
+    gpl = "You can redistribute this program and modify it under the terms of the license that the Free Software Foundation published, in version 2 or any later version of the License."
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.LicenseScan())
+    for name in ("MIT-notice", "CC-BY-notice", "CC-BY-NC-ND-notice", "CC0-notice", "LGPL-notice", "MPL-notice"):
+        for block in (f"{isc} {license_scan.TEMPLATES[name]}", f"{license_scan.TEMPLATES[name]} {gpl} {isc}"):
+            found = scanner.judged(block)
+            assert [(n, missing, added) for n, _, _, missing, added, _ in found] == [(name, "", "")]
+            assert found[0][2] < found[0][1]
+
+
 # ---- 3 ----
 def test_preferences(spark):
     turns = [
