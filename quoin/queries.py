@@ -312,8 +312,8 @@ def clean_text(spark, d):
 
 @query("similarity")
 def similarity(spark, d):
-    docs = views.documents(spark, d)
-    return docs.select("id", token_set_ratio_udf("headline", F.left("body", F.lit(120))).alias("token_set"), partial_ratio_udf(F.left("headline", F.lit(20)), F.left("body", F.lit(200))).alias("part"))
+    docs = views.documents(spark, d, whole=True)
+    return docs.select("id", token_set_ratio_udf("headline", "body").alias("token_set"), partial_ratio_udf("headline", "body").alias("part"))
 
 
 def _rule_sql(text: str, pattern: str) -> str:
@@ -411,9 +411,9 @@ def segment(spark, d):
 
 @query("stitch")
 def stitch(spark, d):
-    docs = views.documents(spark, d)
+    docs = views.documents(spark, d, whole=True)
     a = docs.select(
-        F.concat(F.lit("i"), F.col("issue_id").cast("string")).alias("issue"), "page_no", F.col("id").cast("int").alias("head"), "headline", F.left("body", F.lit(400)).alias("body"), "section",
+        F.concat(F.lit("i"), F.col("issue_id").cast("string")).alias("issue"), "page_no", F.col("id").cast("int").alias("head"), "headline", "body", "section",
         F.when(F.col("id") % 3 == 0, F.col("page_no") + 1).alias("continues_on"), F.when(F.col("id") % 3 == 1, F.col("page_no") - 1).alias("continued_from"),
     ).withColumnRenamed("page_no", "page")
     return layout.long_enough(layout.stitch(a)).select("issue", "page", "head", "incomplete", F.length("body").alias("chars"))

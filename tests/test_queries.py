@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from quoin.functions import similarity
 from quoin.queries import QUERIES
 
 
@@ -33,3 +36,21 @@ def test_short_passages_are_found(spark, tables):
     d = tables(["x\nAlone, two words; OF three words!", "x\nIt bends in four words. And this one has five wordsmiths.", "x\nnothing"], [(i, t) for i, t in enumerate(items)])
     got = {(r.id, r.item_id) for r in QUERIES["grounding_exact"](spark, d).collect()}
     assert got == {(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)}
+
+
+def test_similarity_and_stitch_take_whole_texts(spark, tables):
+    filler = "other things stand here " * 30
+    last = "the court upholds privacy today"
+    d = tables([f"{last}\n{filler}{last}", f"{filler}{last}\n{last}"])
+    assert all((r.token_set, r.part) == (100.0, 100.0) for r in QUERIES["similarity"](spark, d).collect())
+    assert {r.head: r.chars for r in QUERIES["stitch"](spark, d).collect()} == {0: len(filler + last) + 1 + len(last)}  # 1 goes on from 0
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "ab😀 é"])
+def test_best_window_is_the_best_of_all(letters):
+    rng = random.Random(5)
+    for _ in range(60):
+        a, b = sorted(("".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(2)), key=len)
+        n = len(a)
+        stretches = (b[max(0, i) : i + n] for i in range(1 - n, len(b)))
+        assert similarity._best_window(a, b) == max(similarity.ratio(a, w) for w in stretches)
