@@ -282,11 +282,11 @@ def unknown_numbers(spark, d):
     WHEN id % 12 + 1 <= 12 AND id % 31 + 1 <= 28 THEN CAST(make_date(2023, CAST(id % 12 + 1 AS INTEGER), CAST(id % 31 + 1 AS INTEGER)) AS DATE)
     ELSE CAST(try_strptime('2023-' || (id % 12 + 1) || '-' || (id % 31 + 1), '%Y-%m-%d') AS DATE) END AS detected FROM docs""")
 def detect_date(spark, d):
-    docs = views.documents(spark, d)
+    docs = views.documents(spark, d, whole=True)
     month = F.date_format(F.make_date(F.lit(2024), (F.col("id") % 12 + 1).cast("int"), F.lit(1)), "MMMM")
     first = F.when((F.col("id") % 3 == 0) & (F.col("id") % 28 > 0), F.concat(F.lit("Late City. MONDAY, "), month, F.lit(" "), (F.col("id") % 28).cast("string"), F.lit(", 2024")))
     name = F.concat(F.lit("paper_2023-"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lit("_"), F.lpad((F.col("id") % 31 + 1).cast("string"), 2, "0"), F.lit(".pdf"))
-    return docs.select("id", T.issue_date(F.left("body", F.lit(0)), first, name).alias("detected"))
+    return docs.select("id", T.issue_date(F.concat_ws("\n", "headline", "body"), first, name).alias("detected"))
 
 
 @query("continuation_markers", ["docs"], """SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id % 30 AS INTEGER) END AS page, CASE WHEN id % 2 = 0 THEN headline || '.  (' || page_no || ') end' ELSE headline || '.' END AS rest

@@ -54,3 +54,9 @@ def test_best_window_is_the_best_of_all(letters):
         n = len(a)
         stretches = (b[max(0, i) : i + n] for i in range(1 - n, len(b)))
         assert similarity._best_window(a, b) == max(similarity.ratio(a, w) for w in stretches)
+
+
+def test_printed_dates_are_detected(spark, tables):
+    d = tables(["CHENNAI, FRIDAY, NOVEMBER 8, 2019\nOther text.", f"{'long line ' * 20}Monday March 2, 2020", "A title\nof Sunday, June 7, 2020", "No date"])
+    got = {r.id: str(r.detected) for r in QUERIES["detect_date"](spark, d).collect()}
+    assert got == {0: "2019-11-08", 1: "2020-03-02", 2: "2020-06-07", 3: "2024-04-03"}
