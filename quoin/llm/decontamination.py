@@ -6,6 +6,10 @@ one piece occurs there unchanged, at the item's own place give or take k. An Aho
 pieces in one pass over a text; each hit names an item and a place, and Myers' bit-parallel algorithm finds the
 least edit distance of the item to any stretch of the text around that place.
 
+Most hits of short pieces end earlier: halve the pieces again and again, and j pieces in a row may have j - 1 edits.
+If both halves had more than theirs, the whole would too, so in every match some piece is unchanged and all runs of
+pieces that hold it keep their budgets. They are tried from the shortest on.
+
 The items go to the executors in blocks of at most `block_chars` characters, so what is broadcast has a fixed
 bound; each block is one pass over the texts. A match lies within one text, so texts need no shuffle at all.
 """
@@ -28,16 +32,14 @@ from quoin.llm.common import DOCUMENTS, pick, read
 @dataclass(frozen=True)
 class Decontamination:
     """Edits allowed: `rate` of an item's characters. Items shorter than `least` characters after normalisation
-    say too little and match nothing; pieces are `piece` characters long at least, so that short items allow fewer
-    edits."""
+    say too little and match nothing."""
 
     rate: float = 0.1
     least: int = 24
-    piece: int = 12
     block_chars: int = 4 << 20
 
     def budget(self, length: int) -> int:
-        return max(0, min(int(self.rate * length), length // self.piece - 1))
+        return int(self.rate * length)
 
 
 _OTHER = re.compile(r"[\W_]+")
@@ -85,22 +87,42 @@ class Myers:
         return found
 
 
+def chains(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces the ranges of pieces that hold it, from the shortest to under the whole."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+
+    def halve(lo: int, hi: int) -> None:
+        if hi - lo > 1:
+            for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)):
+                halve(a, b)
+                for i in range(a, b):
+                    if b - a > 1:
+                        out[i].append((a, b))
+
+    halve(0, n)
+    return out
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], p: Decontamination):
         import ahocorasick
 
         self.items, self.p = items, p
         self.budget = [p.budget(len(t)) for _, t in items]
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, list]]] = {}
         for n, (_, text) in enumerate(items):
-            for at, piece in pieces(text, self.budget[n]):
-                places.setdefault(piece, []).append((n, at))
+            cut = pieces(text, self.budget[n])
+            edges = [*(at for at, _ in cut), len(text)]
+            runs = {(a, b): (edges[a], text[edges[a] : edges[b]], b - a - 1) for chain in chains(len(cut)) for a, b in chain}
+            for (at, piece), chain in zip(cut, chains(len(cut)), strict=True):
+                places.setdefault(piece, []).append((n, at, [runs[r] for r in chain]))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
         self.empty, self.myers, self.seen = not places, {}, {}
+        self.runs, self.tried = {}, {}
 
     def _distance(self, n: int, window: str) -> tuple[int, int]:
         """Windows that many texts share are verified once."""
@@ -113,6 +135,23 @@ class Matcher:
             self.seen[key] = self.myers[n].best(window)
         return self.seen[key]
 
+    def _kept(self, begin: int, chain: list[tuple[int, str, int]], text: str) -> bool:
+        """Whether all runs (place in the item, characters, budget) have few enough edits, the item being at `begin`."""
+        for at, run, k in chain:
+            key = (run, text[max(0, begin + at - k) : max(0, begin + at + len(run) + k)])
+            good = self.tried.get(key)
+            if good is None:
+                if len(self.tried) > 50_000:
+                    self.tried.clear()
+                if run not in self.runs:
+                    if len(self.runs) > 20_000:
+                        self.runs.clear()
+                    self.runs[run] = Myers(run)
+                good = self.tried[key] = self.runs[run].best(key[1])[0] <= k
+            if not good:
+                return False
+        return True
+
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(item, edits, place of its end in the normalised text) of each item found: its best match, the first
         of equals. Places a piece points at lie in windows of the item's length and twice the budget; windows of
@@ -121,8 +160,10 @@ class Matcher:
             return []
         spans: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
-            for n, at in where:
+            for n, at, chain in where:
                 k, begin = self.budget[n], end + 1 - size - at
+                if chain and not self._kept(begin, chain, text):
+                    continue
                 a, b = begin - k, begin + len(self.items[n][1]) + k
                 mine = spans.setdefault(n, [])
                 if mine and a <= mine[-1][1] and b >= mine[-1][0]:

@@ -444,6 +444,19 @@ def test_decontamination(spark, none):
     assert len(ids_of(decontamination.clean(docs, bench.limit(0), p))) == len(every)
 
 
+@pytest.mark.parametrize("length", [24, 100, 233, 394])
+def test_edits_up_to_the_rate(length):
+    """Edits as far apart as can be leave the shortest pieces unchanged."""
+    rng = random.Random(length)
+    item = "".join(rng.choices("abcdefghij", k=length))
+    most = length // 10
+    at = [length * i // (most + 1) for i in range(1, most + 2)]
+    matcher = decontamination.Matcher([(1, item)], decontamination.Decontamination())
+    changed = lambda places: "".join("z" if i in places else c for i, c in enumerate(item))
+    assert [m[:2] for m in matcher.matches(f"before {changed(at[:most])} after")] == [(1, most)]
+    assert matcher.matches(f"before {changed([p - 1 for p in at])} after") == []
+
+
 # ---- 1 ----
 def test_license_scan(spark, none, texts):
     mit = license_scan.TEMPLATES["MIT"]
