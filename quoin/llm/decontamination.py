@@ -63,12 +63,13 @@ class Myers:
         for i, c in enumerate(pattern):
             self.at[c] = self.at.get(c, 0) | 1 << i
 
-    def best(self, text, latest: bool = False) -> tuple[int, int]:
-        """The distance and the first place where such a stretch ends, or the last."""
+    def distances(self, text, anchored: bool = False) -> Iterator[int]:
+        """After each of the text's characters the least distance of the pattern to a stretch that ends there: to
+        any, or, `anchored`, to the one from the text's start."""
         m, at = self.m, self.at
-        last, full = 1 << m - 1, (1 << m) - 1
-        up, down, score, found = full, 0, m, (m, 0)
-        for j, c in enumerate(text):
+        last, full, first = 1 << m - 1, (1 << m) - 1, int(anchored)
+        up, down, score = full, 0, m
+        for c in text:
             eq = at.get(c, 0)
             x = eq | down
             d0 = (((x & up) + up) ^ up) | x
@@ -78,12 +79,18 @@ class Myers:
                 score += 1
             elif h_down & last:
                 score -= 1
-            if score < found[0] or latest and score == found[0] < m:
-                found = (score, j + 1)
-            h_up = h_up << 1 & full
+            h_up = (h_up << 1 | first) & full
             h_down = h_down << 1 & full
             up = h_down | ~(d0 | h_up) & full
             down = d0 & h_up
+            yield score
+
+    def best(self, text, anchored: bool = False) -> tuple[int, int]:
+        """The least of the distances and the first place where it is reached."""
+        found = (self.m, 0)
+        for place, score in enumerate(self.distances(text, anchored), 1):
+            if score < found[0]:
+                found = (score, place)
         return found
 
 

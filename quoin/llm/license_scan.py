@@ -1,19 +1,19 @@
 """License scans by conditional compression.
 
-A text's sentences and lines with a word that license notices have, and their neighbours made of such notices'
-vocabulary, are candidate blocks. Each is compressed with zstandard alone and with each template as raw
-dictionary. Every template is compared by wording: the least number of words to change, add or leave out between
-the template and any stretch of the block (Myers' algorithm on words). The template with the fewest differences
-wins, if they are few enough, of equals the longest, then the one that makes the block smallest. Where it makes the
-whole block no smaller, the sizes are of its own stretch. The differences are reported word by word, numbers apart
-as versions.
+Every template is cut into budget + 1 runs of words, so a text that holds it with at most its budget of differing
+words holds one of the runs unchanged; one pass of an Aho-Corasick automaton over a text's words finds them, and the
+words around them are where the template is looked for. There, Myers' algorithm on words finds every stretch within
+the budget: these are the candidate blocks. Each is compressed with zstandard alone and with its template as raw
+dictionary (both as lower-case words, so that line breaks and capitals don't count), and blocks are ranked by the
+bytes saved. From the top of the ranking down, a block that no winner overlaps is a winner; its exact differences in
+wording confirm it and are reported word by word, with numbers apart as versions.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -22,150 +22,165 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm.common import DOCUMENTS, pick, read
-from quoin.llm.decontamination import Myers
-
-# Wording of public license notices.
-TEMPLATES: dict[str, str] = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "MPL-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-notice": "Licensed under CC BY-ND 4.0.",
-    "CC-BY-NC-SA-notice": "Licensed under CC BY-NC-SA 4.0.",
-    "CC-BY-NC-ND-notice": "Licensed under CC BY-NC-ND 4.0.",
-    "CC0-notice": "Released into the public domain under CC0 1.0.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions:"
-    ),
-    "Apache-2.0": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
-        "the License. You may obtain a copy of the License at"
-    ),
-    "GPL": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version."
-    ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met:"
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-CUE = r"(?i)licen[sc]e|licencié|lizen[zs]|licencia|public domain|permission is hereby|permission to use|redistribut|creative commons|\bcc (?:by|0)|\bgpl"
+from quoin.llm.decontamination import Myers, pieces
+from quoin.llm.license_texts import TEMPLATES
 
 
 @dataclass(frozen=True)
 class LicenseScan:
-    tolerance: float = 0.2  # differing words for each word of a template; one is always allowed from six words on
-    vocabulary: float = 0.6  # share of a neighbour's words that notices use
+    """Differing words allowed: `tolerance` of a template's words, and one always from `one_from` words on."""
+
+    tolerance: float = 0.2
+    one_from: int = 5
     level: int = 19
 
+    def budget(self, words: int) -> int:
+        return max(int(words >= self.one_from), int(self.tolerance * words))
+
 
-_SEGMENT = re.compile(r"[^\n]+?(?:[.:;!?](?=\s)|(?=\n)|$)")
 _WORD = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [m.lower() for m in _WORD.findall(text)]
+
+
+@dataclass(frozen=True)
+class Notice:
+    """`begin` and `end` count words of the text."""
+
+    begin: int
+    end: int
+    license: str
+    plain: int
+    conditional: int
+    missing: str
+    added: str
+    version: str
+
+
+def _joined(ranges: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted ranges, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in ranges:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], p: LicenseScan):
+        import ahocorasick
         import zstandard as z
 
         def compressor(**more) -> z.ZstdCompressor:
             return z.ZstdCompressor(level=p.level, write_content_size=False, write_checksum=False, write_dict_id=False, **more)
 
-        self.p, self.names = p, list(templates)
-        self.words = {n: words_of(t) for n, t in templates.items()}
-        self.vocabulary = {w for ws in self.words.values() for w in ws}
+        self.p = p
+        self.words = {n: words_of(t) for n, t in templates.items() if words_of(t)}
+        self.names = list(self.words)
+        self.budget = {n: p.budget(len(ws)) for n, ws in self.words.items()}
+        self.myers = {n: (Myers(ws), Myers(ws[::-1])) for n, ws in self.words.items()}
         self.alone = compressor()
-        self.given = {n: compressor(dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
-        self.myers = {n: (Myers(w), Myers(w[::-1])) for n, w in self.words.items()}
-        self.cue = re.compile(CUE)
-        self.judged = lru_cache(50_000)(self._judge)
-
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Candidate stretches of a text, as character ranges that don't overlap."""
-        if not self.cue.search(text):
-            return
-        spans = [m.span() for m in _SEGMENT.finditer(text)]
-        cue = [bool(self.cue.search(text, a, b)) for a, b in spans]
-        i = done = 0
-        while i < len(spans):
-            if not cue[i]:
-                i += 1
-                continue
-            first = last = i
-            while first > done and self._familiar(text, spans[first - 1]):
-                first -= 1
-            while last + 1 < len(spans) and (cue[last + 1] or self._familiar(text, spans[last + 1])):
-                last += 1
-            yield spans[first][0], spans[last][1]
-            i = done = last + 1
-
-    def _familiar(self, text: str, span: tuple[int, int]) -> bool:
-        words = words_of(text[span[0] : span[1]])
-        return bool(words) and sum(w in self.vocabulary or w[0].isdigit() for w in words) >= self.p.vocabulary * len(words)
-
-    def _judge(self, block: str) -> list[tuple]:
-        """(license, plain, conditional, missing, added, version) of the notices in a block, in their order: the
-        winner, then what lies before and after it."""
-        raw, words = block.encode(), words_of(block)
-        if not words or not self.cue.search(block):
-            return []
-        best = None
-        for name, template in self.words.items():
-            most = max(int(len(template) >= 6), int(self.p.tolerance * len(template)))
-            d, end = self.myers[name][0].best(words, latest=True)
-            if d <= most and (best is None or (d, -len(template)) <= best[0][:2]):
-                key = d, -len(template), len(self.given[name].compress(raw))
-                best = min(best or (key, name, end), (key, name, end))
-        if not best:
-            return []
-        (_, _, size), name, end = best
-        begin = end - self.myers[name][1].best(words[:end][::-1], latest=True)[1]
-        missing, added, version = [], [], []
-        for tag, a, b, c, d in SequenceMatcher(None, self.words[name], words[begin:end], autojunk=False).get_opcodes():
+        self.given = {n: compressor(dict_data=z.ZstdCompressionDict(" ".join(ws).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for n, ws in self.words.items()}
+        runs: dict[str, list[tuple[str, int]]] = {}
+        for n, ws in self.words.items():
+            for at, run in pieces(ws, self.budget[n]):
+                runs.setdefault(f" {' '.join(run)} ", []).append((n, at))
+        self.automaton = ahocorasick.Automaton()
+        for run, where in runs.items():
+            self.automaton.add_word(run, (run.count(" ") - 1, where))
+        if runs:
+            self.automaton.make_automaton()
+        self.any = bool(runs)
+        self.saved = lru_cache(100_000)(self._saved)
+        self.differences = lru_cache(100_000)(self._differences)
+
+    def regions(self, words: list[str]) -> dict[str, list[list[int]]]:
+        """By template, the ranges of words that hold all its places, apart from each other and in order."""
+        line, found = f" {' '.join(words)} ", {}
+        counted = at = 0  # hits are by character; words are counted along
+        for end, (size, where) in self.automaton.iter(line):
+            counted += line.count(" ", at, end + 1)
+            at = end + 1
+            last = counted - 1  # the run's words end before this one
+            for n, offset in where:
+                begin, k, m = last - size - offset, self.budget[n], len(self.words[n])
+                found.setdefault(n, set()).add((max(0, begin - k), min(len(words), begin + m + k)))
+        return {n: _joined(sorted(ranges)) for n, ranges in found.items()}
+
+    def stretches(self, name: str, words: list[str]) -> list[tuple[int, int]]:
+        """Stretches within the template's budget, apart from each other: the least differences first, of equals the
+        one nearest to the template's length, then the one that ends first."""
+        (ahead, back), k, m, near = self.myers[name], self.budget[name], len(self.words[name]), []
+        for end, d in enumerate(ahead.distances(words), 1):
+            if d <= k:
+                sizes = enumerate(back.distances(words[max(0, end - m - k) : end][::-1], anchored=True), 1)
+                off, size = min((abs(size - m), size) for size, each in sizes if each == d)
+                near.append((d, off, end, size))
+        taken, out = bytearray(len(words)), []
+        for _, _, end, size in sorted(near):
+            if not any(taken[end - size : end]):
+                taken[end - size : end] = b"\1" * size
+                out.append((end - size, end))
+        return out
+
+    def _saved(self, name: str, stretch: str) -> tuple[int, int]:
+        raw = stretch.encode()
+        return len(self.alone.compress(raw)), len(self.given[name].compress(raw))
+
+    def _differences(self, name: str, stretch: str) -> tuple[str, str, str]:
+        words, template = stretch.split(" "), self.words[name]
+        missing, added = [], []
+        for tag, a, b, c, d in SequenceMatcher(None, template, words, autojunk=False).get_opcodes():
             if tag != "equal":
-                missing += self.words[name][a:b]
-                added += words[begin:end][c:d]
-        version = [w for w in words[begin:end] if w[0].isdigit()]
-        places = [m.span() for m in _WORD.finditer(block.lower())]
-        if len(block.lower()) != len(block):  # some letter changes length: the rest is judged as words
-            before, own, after = (" ".join(ws) for ws in (words[:begin], words[begin:end], words[end:]))
-        else:
-            a, b = places[begin][0], places[end - 1][1]
-            before, own, after = block[:a], block[a:b], block[b:]
-        plain = len(self.alone.compress(raw))
-        if size >= plain:
-            plain, size = len(self.alone.compress(own.encode())), len(self.given[name].compress(own.encode()))
-        found = (name, plain, size, " ".join(missing), " ".join(added), " ".join(version))
-        return [*self._judge(before), found, *self._judge(after)]
+                missing += template[a:b]
+                added += words[c:d]
+        return " ".join(missing), " ".join(added), " ".join(w for w in words if w[0].isdigit())
+
+    def winners(self, words: list[str]) -> list[Notice]:
+        """From the top of the ranking down, the candidates that overlap none before them."""
+        ranking = []
+        for name, regions in self.regions(words).items():
+            for a, b in regions:
+                for begin, end in self.stretches(name, words[a:b]):
+                    stretch = " ".join(words[a + begin : a + end])
+                    plain, conditional = self.saved(name, stretch)
+                    # of equal savings the nearer length, then the template that comes first
+                    off = abs(end - begin - len(self.words[name]))
+                    ranking.append((conditional - plain, off, self.names.index(name), a + begin, a + end, stretch, plain, conditional))
+        taken, out = bytearray(len(words)), []
+        for *_, number, begin, end, stretch, plain, conditional in sorted(ranking):
+            if not any(taken[begin:end]):
+                taken[begin:end] = b"\1" * (end - begin)
+                out.append(Notice(begin, end, self.names[number], plain, conditional, *self.differences(self.names[number], stretch)))
+        return sorted(out, key=lambda n: n.begin)
+
+    def notices(self, words: list[str]) -> list[Notice]:
+        """In their order. What lies between winners is ranked again, as a notice there may also fit without the
+        words that it lost to them."""
+        todo, out = [(0, len(words))] if self.any else [], []
+        while todo:
+            a, b = todo.pop()
+            found = self.winners(words[a:b])
+            out += [replace(n, begin=a + n.begin, end=a + n.end) for n in found]
+            edges = [a, *(a + x for n in found for x in (n.begin, n.end)), b]
+            todo += [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if found and x < y]
+        return sorted(out, key=lambda n: n.begin)
 
 
 SCHEMA = "doc_id bigint, block int, start_at int, end_at int, license string, exact boolean, missing string, added string, version string, plain_bytes int, conditional_bytes int, reduction double"
 
 
 def scan(docs: DataFrame, p: LicenseScan = LicenseScan(), templates: dict[str, str] | None = None) -> DataFrame:
-    """One row for each notice found: the block's number and characters in the text, the license, and differences.
+    """One row for each notice found: its number and characters in the text, the license, differences, and what its
+    template saves of its compressed bytes.
 
     Null and empty texts have none; rows without doc_id keep a null; repeated rows repeat theirs; an empty table
-    gives none."""
+    gives none. Texts of any length are searched whole, each within one task. Of notices that save equally many
+    bytes in overlapping places, the one nearer to its template's length wins, then the template named first."""
     given = dict(templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +188,15 @@ def scan(docs: DataFrame, p: LicenseScan = LicenseScan(), templates: dict[str, s
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             rows = []
-            for i in pc.indices_nonzero(pc.match_substring_regex(texts, CUE)).to_pylist():
-                doc, text = batch.column(0)[i].as_py(), texts[i].as_py()
-                for number, (a, b) in enumerate(scanner.blocks(text)):
-                    for name, plain, size, missing, added, version in scanner.judged(text[a:b]):
-                        rows.append((doc, number, a, b, name, not missing and not added, missing, added, version, plain, size, (plain - size) / plain))
+            for i in range(len(texts)):
+                text = texts[i].as_py()
+                found = scanner.notices(words_of(text))
+                if not found:
+                    continue
+                spans, doc = [m.span() for m in _WORD.finditer(text)], batch.column(0)[i].as_py()
+                for number, n in enumerate(found):
+                    place = spans[n.begin][0], spans[n.end - 1][1]
+                    rows.append((doc, number, *place, n.license, not n.missing and not n.added, n.missing, n.added, n.version, n.plain, n.conditional, (n.plain - n.conditional) / n.plain))
             columns = list(zip(*rows, strict=True)) or [()] * 12
             kinds = [pa.int64(), *[pa.int32()] * 3, pa.string(), pa.bool_(), *[pa.string()] * 3, *[pa.int32()] * 2, pa.float64()]
             names = [c.split()[0] for c in SCHEMA.split(", ")]

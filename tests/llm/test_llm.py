@@ -484,9 +484,57 @@ def test_notice_beside_reworded_licenses():
     scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.LicenseScan())
     for name in ("MIT-notice", "CC-BY-notice", "CC-BY-NC-ND-notice", "CC0-notice", "LGPL-notice", "MPL-notice"):
         for block in (f"{isc} {license_scan.TEMPLATES[name]}", f"{license_scan.TEMPLATES[name]} {gpl} {isc}"):
-            found = scanner.judged(block)
-            assert [(n, missing, added) for n, _, _, missing, added, _ in found] == [(name, "", "")]
-            assert found[0][2] < found[0][1]
+            found = scanner.notices(license_scan.words_of(block))
+            assert (name, "", "") in [(n.license, n.missing, n.added) for n in found]
+            assert all(n.conditional < n.plain for n in found)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_repeated_and_mixed_notices():
+    scanner, of = license_scan.Scanner(license_scan.TEMPLATES, license_scan.LicenseScan()), license_scan.TEMPLATES
+    found = lambda text: [(n.license, n.missing, n.added) for n in scanner.notices(license_scan.words_of(text))]
+    for a in of:
+        for b in of:
+            assert found(f"Prose. {of[a]} {of[b].upper()}\n{of[a]}") == [(n, "", "") for n in (a, b, a)]
+    assert found(f"{of['CC-BY-notice']} " * 2000) == [("CC-BY-notice", "", "")] * 2000
+    assert found(f"{of['MIT-notice']} under {of['CC-BY-notice'][15:]} {of['MIT-notice']}") == [("MIT-notice", "", ""), ("CC-BY-notice", "licensed", ""), ("MIT-notice", "", "")]
+
+
+def test_notices_against_all_stretches():
+    """Every stretch within a template's budget is a notice or overlaps one; notices are apart and within theirs."""
+    rng, p = random.Random(8), license_scan.LicenseScan()
+    of = {n: t for n, t in license_scan.TEMPLATES.items() if len(license_scan.words_of(t)) <= 14}
+    scanner = license_scan.Scanner(of, p)
+    for _ in range(40):
+        text: list[str] = []
+        for _ in range(rng.randint(1, 4)):
+            part = license_scan.words_of(rng.choice(list(of.values())))
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                at = rng.randrange(len(part))
+                part[at : at + 1] = rng.choice([[], ["other"], [part[at], "more"]])
+            text += part + rng.choices(["plain", "the", "license", "by"], k=rng.randint(0, 3))
+        notices = scanner.notices(text)
+        covered = [0] * len(text)
+        for n in notices:
+            wording = license_scan.words_of(of[n.license])
+            assert plain_distance(wording, text[n.begin : n.end]) <= p.budget(len(wording))
+            for i in range(n.begin, n.end):
+                covered[i] += 1
+        assert max(covered, default=0) <= 1
+        for name, template in of.items():
+            wording = license_scan.words_of(template)
+            k = p.budget(len(wording))
+            for a in range(len(text)):
+                for b in range(a + max(1, len(wording) - k), min(len(text), a + len(wording) + k) + 1):
+                    assert any(covered[a:b]) or plain_distance(wording, text[a:b]) > k, (name, text[a:b])
 
 
 # ---- 3 ----
