@@ -11,7 +11,8 @@ If both halves had more than theirs, the whole would too, so in every match some
 pieces that hold it keep their budgets. They are tried from the shortest on.
 
 The items go to the executors in blocks of at most `block_chars` characters, so what is broadcast has a fixed
-bound; each block is one pass over the texts. A match lies within one text, so texts need no shuffle at all.
+bound; each block is one pass over the texts, and a pass is written before the next block is sent. A match lies
+within one text, so texts need no shuffle at all.
 """
 
 from __future__ import annotations
@@ -26,16 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import DOCUMENTS, pick, read
+from quoin.llm.common import DOCUMENTS, cut, pick, read
 
 
 @dataclass(frozen=True)
 class Decontamination:
-    """Edits allowed: `rate` of an item's characters. Items shorter than `least` characters after normalisation
-    say too little and match nothing."""
+    """Edits allowed: `rate` of an item's characters, rounded down. Items too short for an edit must occur as whole
+    words; longer ones may begin and end within words."""
 
     rate: float = 0.1
-    least: int = 24
     block_chars: int = 4 << 20
 
     def budget(self, length: int) -> int:
@@ -46,6 +46,7 @@ _OTHER = re.compile(r"[\W_]+")
 
 
 def normal(text: str | None) -> str:
+    """Of items and texts alike."""
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
@@ -122,6 +123,8 @@ class Matcher:
             edges = [*(at for at, _ in cut), len(text)]
             runs = {(a, b): (edges[a], text[edges[a] : edges[b]], b - a - 1) for chain in chains(len(cut)) for a, b in chain}
             for (at, piece), chain in zip(cut, chains(len(cut)), strict=True):
+                if not self.budget[n]:
+                    at, piece = -1, f" {text} "
                 places.setdefault(piece, []).append((n, at, [runs[r] for r in chain]))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
@@ -159,16 +162,16 @@ class Matcher:
                 return False
         return True
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, edits, place of its end in the normalised text) of each item found: its best match, the first
+    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item, edits, budget, place of its end in the normalised text) of each item found: its best match, the first
         of equals. Places a piece points at lie in windows of the item's length and twice the budget; windows of
         one item that overlap are searched as one."""
         if self.empty or not text:
             return []
         spans: dict[int, list[list[int]]] = {}
-        for end, (size, where) in self.automaton.iter(text):
+        for end, (size, where) in self.automaton.iter(f" {text} "):
             for n, at, chain in where:
-                k, begin = self.budget[n], end + 1 - size - at
+                k, begin = self.budget[n], end - size - at
                 if chain and not self._kept(begin, chain, text):
                     continue
                 a, b = begin - k, begin + len(self.items[n][1]) + k
@@ -186,78 +189,92 @@ class Matcher:
                 if d <= self.budget[n] and (best is None or (d, a + end) < best):
                     best = (d, a + end)
             if best:
-                found.append((self.items[n][0], *best))
+                found.append((self.items[n][0], best[0], self.budget[n], best[1]))
         return found
 
 
 def _blocks(benchmark: DataFrame, p: Decontamination) -> Iterator[list[tuple[int, str]]]:
-    """The distinct normalised items long enough, by id, in blocks of bounded size."""
+    """The distinct normalised items with a letter or digit, by id, in blocks of bounded size."""
     block, size = [], 0
     for row in pick(benchmark, {"item_id": "bigint", "text": "string"}).na.drop().distinct().orderBy("item_id", "text").toLocalIterator():
         text = normal(row.text)
-        if len(text) < p.least:
+        if not text:
             continue
-        block.append((row.item_id, text))
-        size += len(text)
-        if size >= p.block_chars:
+        if block and size + len(text) > p.block_chars:
             yield block
             block, size = [], 0
+        block.append((row.item_id, text))
+        size += len(text)
     if block:
         yield block
 
 
-_NORMAL = r"[^\pL\pN]+"
+# Up to here Arrow and Python agree on letters, digits and their lower case, but for the dotted capital I.
+_SAME = r"[^\x00-\x{24f}]|\x{130}"
 
 
 def _texts(column: pa.Array) -> list[str]:
-    """Normalised by Arrow; where its notion of letters and Python's could differ (other than Latin-1 and common
-    Latin), by Python."""
+    """What `normal` gives, by Arrow where it gives the same."""
     raw = pc.fill_null(column.cast(pa.large_string()), "")
-    done = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(raw), _NORMAL, " "), " ").to_pylist()
-    rare = pc.match_substring_regex(raw, r"[^\x00-\x{24f}]")
-    for i in pc.indices_nonzero(rare).to_pylist():
+    done = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(raw), r"[^\pL\pN]+", " "), " ").to_pylist()
+    for i in pc.indices_nonzero(pc.match_substring_regex(raw, _SAME)).to_pylist():
         done[i] = normal(raw[i].as_py())
     return done
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """doc_id, item_id, edits, budget and end for every text and item that match; a row's own repetitions repeat
-    its matches.
+    its matches. Of several places with equally few edits the first counts.
 
-    Null texts and items match nothing; rows without doc_id keep a null. Empty tables give no rows. Of equal items
-    with several ids each is reported."""
+    Null texts and items match nothing, nor do items without letters or digits; rows without doc_id keep a null.
+    Empty tables give no rows. Of equal items with several ids each is reported. Texts of any length are searched
+    whole, each in one task."""
     docs = pick(docs, DOCUMENTS)
-    schema = "doc_id bigint, item_id bigint, edits int, end_at bigint"
-
-    def search(items: list[tuple[int, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    schema = "doc_id bigint, item_id bigint, edits int, budget int, end_at bigint"
 
+    def search(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, p)
             for b in batches:
                 for i in range(0, b.num_rows, 2048):
                     part = b.slice(i, 2048)
                     rows = [(d, *m) for d, t in zip(part.column(0).to_pylist(), _texts(part.column(1)), strict=True) for m in matcher.matches(t)]
-                    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "edits", "end_at"])
+                    columns = list(zip(*rows, strict=True)) or [()] * 5
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
         return docs.mapInArrow(run, schema)
 
-    found = [search(items) for items in _blocks(benchmark, p)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, found)
+    found = list(_passes(docs.sparkSession, benchmark, p, search))
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def _passes(spark: SparkSession, benchmark: DataFrame, p: Decontamination, search) -> Iterator[DataFrame]:
+    """What `search` gives for each block of items. Only the last is left to be run later: the others are written,
+    so that one block at a time is held by the executors."""
+    blocks = _blocks(benchmark, p)
+    block = next(blocks, None)
+    while block:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast(block)
+        done = search(shared)
+        if after:
+            done = cut(done)
+            shared.destroy()
+        yield done
+        block = after
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
-    """The rows whose text matches no item, with all columns."""
-    at = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    """The rows whose text matches no item, with all columns.
+
+    Null and empty texts stay, as do repeated rows with clean texts; an empty table stays empty, and an empty
+    benchmark leaves all rows. Texts of any length are searched whole. Ties don't matter: any match counts."""
+    kept = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
     text = F.col(f"_{docs.columns.index('text')}").cast("string")
-    for items in _blocks(benchmark, p):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        at = at.filter(~_leaky(shared, p)(text))
-    return at.toDF(*docs.columns)
+    for kept in _passes(docs.sparkSession, benchmark, p, lambda shared: kept.filter(~_leaky(shared, p)(text))):  # noqa: B023
+        pass
+    return kept.toDF(*docs.columns)
 
 
 def _leaky(shared, p: Decontamination):

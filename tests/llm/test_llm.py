@@ -417,7 +417,7 @@ def test_myers(item, text):
 def test_decontamination(spark, none):
     rng = random.Random(4)
     p = decontamination.Decontamination()
-    items = [(i, words(rng, 30)) for i in range(6)] + [(6, None), (7, ""), (8, "too short"), (9, "x")]
+    items = [(i, words(rng, 30)) for i in range(6)] + [(6, None), (7, ""), (8, "too short"), (9, "x"), (10, "İstanbul"), (11, "?!"), (12, "Istanbul Straße, 中文")]
     every = [(i, words(rng, 200)) for i in range(30)]
     for i in range(24):
         text = list(items[i % 6][1])
@@ -425,25 +425,37 @@ def test_decontamination(spark, none):
             at = rng.randrange(len(text))
             text[at : at + 1] = rng.choice([[], ["Q"], [text[at], "q"]])
         every.append((100 + i, f"{words(rng, 50)}\n{''.join(text).upper()}. {words(rng, 50)}"))
-    every += [(200, None), (201, ""), (None, items[0][1]), (202, items[1][1]), (202, items[1][1]), (203, items[0][1][:40])]
+    every += [(200, None), (201, ""), (None, items[0][1]), (202, items[1][1]), (202, items[1][1]), (203, items[0][1][:40]),
+              (204, "it is TOO-short"), (205, "not too shortened"), (206, "x"), (207, "in İSTANBUL."), (208, "中文 İstanbul"), (209, "istanbul strasse"), (210, "at istanbul straße 中文")]
     docs, bench = spark.createDataFrame(rows(every), SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
     got = Counter((r.doc_id, r.item_id, r.edits) for r in decontamination.leaks(docs, bench, p).collect())
     wanted = Counter()
     for i, t in every:
         for item_id, item in items:
             n = decontamination.normal(item)
-            if len(n) >= p.least and (d := plain_best(n, decontamination.normal(t))[0]) <= p.budget(len(n)):
+            text = decontamination.normal(t)
+            if n and not p.budget(len(n)):
+                wanted[i, item_id, 0] += f" {n} " in f" {text} "
+            elif n and (d := plain_best(n, text)[0]) <= p.budget(len(n)):
                 wanted[i, item_id, d] += 1
+    wanted = +wanted
+    assert {(204, 8, 0), (206, 9, 0), (207, 10, 0), (208, 10, 0), (210, 12, 0)} <= set(wanted)
     assert got == wanted and {d for *_, d in wanted} > {0, 5}
     kept = decontamination.clean(docs, bench, p)
     leaky = {i for i, *_ in wanted}
     assert sorted(i for i in ids_of(kept) if i is not None) == sorted(i for i, _ in every if i is not None and i not in leaky)
     small = decontamination.Decontamination(block_chars=100)  # several blocks of items
     assert Counter((r.doc_id, r.item_id, r.edits) for r in decontamination.leaks(docs, bench, small).collect()) == wanted
+    assert sorted(map(str, ids_of(decontamination.clean(docs, bench, small)))) == sorted(map(str, ids_of(kept)))
     assert decontamination.leaks(none, bench, p).count() == 0 and decontamination.leaks(docs, bench.limit(0), p).count() == 0
     assert len(ids_of(decontamination.clean(docs, bench.limit(0), p))) == len(every)
 
 
+def test_one_normal_form():
+    every = [f"a{chr(i)}b {chr(i)} {chr(i) * 2}X" for i in range(0x260)] + ["İ x", "x İ 中"]
+    assert decontamination._texts(pa.array(every)) == [decontamination.normal(t) for t in every]
+
+
 @pytest.mark.parametrize("length", [24, 100, 233, 394])
 def test_edits_up_to_the_rate(length):
     """Edits as far apart as can be leave the shortest pieces unchanged."""
