@@ -4,14 +4,18 @@ Two fingerprints of 64 bits that differ in at most k bits agree in at least 3 of
 fingerprint is therefore dealt to every choice of 3 blocks, under those blocks' bits as key; within a key the
 Hamming distance is verified. A task walks its keys in sorted order and emits a spanning forest of each key's
 links (each member is linked to the one that found it), never all pairs. A key with more than `split` members is
-handed on: its other bits are cut into 7 blocks again, so a refined key leaves at most 2^22 different
-fingerprints, whatever the input.
+handed on: its members are dealt anew by blocks that cut across the old ones, `levels` times at most, so a key of
+the last level leaves few bits open, whatever the input.
+
+Components are found on fingerprints and carry their least document along, so nothing is ever gathered by
+component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.common import DOCUMENTS, cut, pick, read
+from quoin.llm.lookup import Rows
 
 
 @dataclass(frozen=True)
@@ -28,6 +33,8 @@ class SimHash:
     bits: int = 4
     seed: int = 42
     split: int = 1 << 15
+    levels: int = 4
+    hub: int = 1 << 16  # links of one fingerprint that one task looks up
 
 
 def fingerprint(text: str | None, p: SimHash, step: int = 1 << 16) -> int:
@@ -75,10 +82,11 @@ def _block_keys(fp: Column, widths: list[int], choose: int) -> Column:
     return F.array(*keys)
 
 
-def _refine(widths: list[int], choose: int):
-    """Deals rows (key, fp) anew: the bits are put in another order (by steps of 9 modulo 64), which keeps
-    Hamming distances and lets the new blocks cut across the old; each choice of them is hashed with the old key."""
-    order = np.argsort(np.arange(64) * 9 % 64)
+def _refine(widths: list[int], choose: int, level: int):
+    """Deals rows (key, fp) anew: the bits are put in another order for each level (by odd steps modulo 64), which
+    keeps Hamming distances and lets the new blocks cut across the old; each choice of them is hashed with the old
+    key."""
+    order = np.argsort(np.arange(64) * (8 * level + 1) % 64)
     parts = np.split(order, np.cumsum(widths)[:-1])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,61 +183,85 @@ def links(fps: DataFrame, p: SimHash) -> DataFrame:
     their components are those of all such links."""
     widths = _widths(64, p.bits + 3)
     dealt = fps.select(F.explode(_block_keys(F.col("fp"), widths, 3)).alias("key"), "fp")
-    schema = "a bigint, b bigint, hot boolean"
-    first = cut(dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_walk(p.bits, p.split), schema))
-    hot = first.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    finer = hot.mapInArrow(_refine(widths, 3), "key bigint, fp bigint")
-    second = finer.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_walk(p.bits, None), schema)
-    return first.filter("not hot").unionByName(second).select("a", "b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node with an edge. Labels take the least of the
-    neighbours' and then that label's own; each round is a written table."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b"))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    out, schema = [], "a bigint, b bigint, hot boolean"
+    for level in range(1, p.levels + 1):
+        walk = _walk(p.bits, p.split if level < p.levels else None)
+        found = cut(dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(walk, schema))
+        out.append(found.filter("not hot").select("a", "b"))
+        hot = found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+        if level == p.levels or hot.isEmpty():
+            break
+        dealt = hot.mapInArrow(_refine(widths, 3, level), "key bigint, fp bigint")
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame, p: SimHash = SimHash()) -> DataFrame:
+    """nodes: fp and first, edges: a and b. Every node with `least`, the struct (nameless, first, fp) that is the
+    least in its component: nodes whose `first` is null come last.
+
+    Labels take the least of the neighbours' and then that label's own; each round is a written table. A node with
+    more than p.hub links, or more than a 50,000th of all, is looked up under several salts, so its links are
+    dealt to many tasks; there are at most 100,000 such nodes, which is what is broadcast."""
+    own = F.struct(F.col("first").isNull().alias("nameless"), "first", "fp")
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b")
+    degrees = both.groupBy("b").agg(F.count("*").alias("n"))
+    most = max(p.hub, (2 * edges.count() + 49_999) // 50_000)
+    hubs = cut(degrees.filter(F.col("n") > most).select(F.col("b").alias("hub"), F.ceil(F.col("n") / most).cast("int").alias("salts")))
+    salted = both.join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left")
+    both = cut(salted.select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts").cast("bigint")), F.lit(0)).cast("int").alias("salt")))
+    linked = degrees.select(F.col("b").alias("fp"))
+    labels = cut(nodes.join(linked, "fp").select("fp", own.alias("l")))
     while True:
-        seen = labels.toDF("b", "l")
-        nearest = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
-        lower = labels.join(nearest, "node").select("node", "component", F.least("component", "m").alias("l"))
-        jump = labels.toDF("l", "ll")
-        labels = cut(lower.join(jump, "l").select("node", F.least("l", "ll").alias("component"), (F.least("l", "ll") != F.col("component")).alias("moved")))
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        spread = labels.join(F.broadcast(hubs), F.col("fp") == F.col("hub"), "left")
+        seen = spread.select(F.col("fp").alias("b"), "l", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        nearest = both.join(seen, ["b", "salt"]).groupBy(F.col("a").alias("fp")).agg(F.min("l").alias("m"))
+        lower = labels.join(nearest, "fp").select("fp", "l", F.least("l", "m").alias("to"))
+        # a root's label is its own: the many that point at one need no look at it
+        steps = labels.filter("l.fp <> fp").select(F.col("fp").alias("via"), F.col("l").alias("further"))
+        jumped = lower.join(steps, F.col("to.fp") == F.col("via"), "left").select("fp", F.least("to", "further").alias("new"), "l")
+        labels = cut(jumped.select("fp", F.col("new").alias("l"), (F.col("new") < F.col("l")).alias("moved")))
+        done = labels.filter("moved").isEmpty()
+        labels = labels.select("fp", "l")
+        if done:
+            break
+    rest = nodes.join(labels, "fp", "left")
+    return rest.select("fp", F.coalesce("l", own).alias("least"))
+
+
+def _least(distinct: DataFrame, p: SimHash) -> DataFrame:
+    """distinct: fp, first (its least doc_id) and more. Adds `least`, its component's (nameless, first, fp)."""
+    distinct = cut(distinct)
+    return distinct.join(components(distinct.select("fp", "first"), cut(links(distinct.select("fp"), p)), p), "fp")
 
 
 def near_duplicates(docs: DataFrame, p: SimHash = SimHash()) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row.
 
     Texts are linked through their fingerprints, so any number of copies is one node. Null texts count as empty;
-    all texts without words share fingerprint zero. Rows without doc_id take part; component_id is the smallest
-    doc_id that is not null, null where a component has none. An empty table gives no rows."""
+    all texts without words share fingerprint zero. Texts of any length are hashed whole, each in one task, some
+    shingles at a time. Rows without doc_id take part; component_id is the smallest doc_id that is not null, null
+    where a component has none. Rows that repeat a doc_id count by their texts, each in its component. An empty
+    table gives no rows."""
     rows = cut(fingerprints(docs, p))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(distinct, p))
-    named = distinct.join(labels.toDF("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _least(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), p).select("fp", F.col("least.first").alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, p: SimHash = SimHash()) -> DataFrame:
-    """The documents whose id is their component's, with all columns; of rows that repeat such an id, one. Rows
-    without id stay only in components that have no id, one for each fingerprint."""
-    named = near_duplicates(docs, p)
-    kept = named.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = cut(kept)
-    id_ = docs.columns.index("doc_id")
+    """One row of each component, with all columns: that with the smallest doc_id, of equals that with the smallest
+    fingerprint, then the first read. Rows without doc_id come after all others, so one stays only where a
+    component has no id.
+
+    Null and empty texts are of one component, as in `near_duplicates`, and repeated rows are copies. An empty
+    table stays empty. The rows are written once with a number each; which numbers stay is worked out on narrow
+    columns and looked up task by task, so texts are not shuffled."""
     keyed = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-    mine = F.col(f"_{id_}").cast("bigint")
-    once = keyed.join(kept.filter("n = 1").hint("shuffle_hash"), mine == F.col("doc_id"), "left_semi")
-    more = keyed.join(kept.filter("n > 1"), mine == F.col("doc_id"), "left_semi").dropDuplicates([f"_{id_}"])
-    text = F.col(f"_{docs.columns.index('text')}").cast("string")
-    anonymous = keyed.filter(mine.isNull()).withColumn("_fp", F.lower(F.lpad(F.hex(_fp_udf(p)(text)), 16, "0")))
-    without = named.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
-    anonymous = anonymous.join(without, F.col("_fp") == F.col("fingerprint"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return once.unionByName(more).unionByName(anonymous).toDF(*docs.columns)
+    text, doc_id = (F.col(f"_{docs.columns.index(c)}").cast(t) for c, t in (("text", "string"), ("doc_id", "bigint")))
+    whole = cut(keyed.withColumn("_fp", _fp_udf(p)(text)).withColumn("_row", F.monotonically_increasing_id()))
+    best = F.min(F.struct(doc_id.isNull().alias("nameless"), doc_id.alias("doc_id"), "_row")).alias("best")
+    named = _least(whole.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("first"), best), p)
+    chosen = Rows(named.filter("fp = least.fp").select("best._row"))
+    return chosen.keep(whole, "_row").select(*keyed.columns).toDF(*docs.columns)
 
 
 def _fp_udf(p: SimHash):
