@@ -19,7 +19,7 @@ ROW_GROUP = {"parquet.block.size": str(1 << 20), "parquet.block.size.row.check.m
 
 
 class Lookup:
-    """Rows with a column `key` (a long that isn't negative), in `files` folders."""
+    """Rows with a column `key` (a long), in `files` folders."""
 
     def __init__(self, rows: DataFrame, files: int):
         self.folder, self.files = f"{shared_dir(rows.sparkSession)}/lookup", files

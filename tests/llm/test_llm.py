@@ -213,46 +213,81 @@ def test_one_row_of_each_component(spark):
 
 
 # ---- 6 ----
+def plain_lm(every, p):
+    """Scores from plain counters, and weights by EM over single held-out tokens."""
+    tokens = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [0] for _, t in every]
+    folds = [lm_scoring.fold_of(i, p) for i, _ in every]
+
+    def counted(which):
+        grams = Counter()
+        for f, ts in zip(folds, tokens, strict=True):
+            if f in which:
+                line = [1, 1, *ts]
+                for i in range(2, len(line)):
+                    grams.update((tuple(line[i - k : i + 1]) for k in range(3)))
+                grams[1,] += 1
+                grams[1, 1] += 1
+        return grams
+
+    def views(ts):
+        line = [1, 1, *ts]
+        return [[tuple(line[i - k : i + 1]) for k in range(3)] for i in range(2, len(line))]
+
+    def estimates(grams, n, gram3):
+        out = [(0, grams[gram3[0]] / n if n else 0.0)]
+        for g in gram3[1:]:
+            c = grams[g[:-1]]
+            out.append((min(c.bit_length(), p.buckets - 1), grams[g] / c if c else 0.0))
+        return out
+
+    def size(grams):
+        words = [(g, c) for g, c in grams.items() if len(g) == 1 and g != (1,)]
+        return sum(c for _, c in words), len(words)
+
+    def mixed(weights, p0, found):
+        for w, (b, own) in zip(weights, found, strict=False):
+            p0 = w[b] * own + (1 - w[b]) * p0
+        return p0
+
+    main = counted({lm_scoring.MAIN})
+    n, v = size(main)
+    held = [estimates(main, n, g) for f, ts in zip(folds, tokens, strict=True) if f == lm_scoring.DEV for g in views(ts)]
+    weights = []
+    for order in range(3):
+        ratios = [(x[order][0], x[order][1] / mixed(weights, 1 / (v + 1), x)) for x in held]
+
+        def fit(rs, prior, strength):
+            w = 0.5
+            for _ in range(p.rounds):
+                w = (sum(w * r / (w * r + 1 - w) for r in rs) + strength * prior) / (len(rs) + strength)
+            return w
+
+        pooled = fit([r for _, r in ratios], 0.5, 1)
+        weights.append([fit([r for b, r in ratios if b == i], pooled, 10) for i in range(p.buckets)])
+        if order:
+            weights[-1][0] = 0.0
+    every_gram = counted({lm_scoring.MAIN, lm_scoring.DEV})
+    n, v = size(every_gram)
+    out = []
+    for (i, _), f, ts in zip(every, folds, tokens, strict=True):
+        own = Counter(g for gram3 in views(ts) for g in gram3) + Counter([(1,), (1, 1)]) if f != lm_scoring.HELD else Counter()
+        others = {g: every_gram[g] - own[g] for gram3 in views(ts) for g in [*gram3, *(x[:-1] for x in gram3)]}
+        model = sum(math.log10(mixed(weights, 1 / (v + 1), estimates(others, n - len(ts) * (f != lm_scoring.HELD), g))) for g in views(ts))
+        base = sum(math.log10((every_gram[t,] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)
+        out.append((i, f == lm_scoring.HELD, len(ts), sum(every_gram[t,] > 0 for t in ts), n, base, model))
+    return out
+
+
 def test_lm_scores(spark, docs, none, texts):
-    p = lm_scoring.Interpolation(chunk_bytes=2000)
+    p = lm_scoring.Interpolation(chunk_bytes=2000, rounds=40, task_bytes=2000)  # many chunks and buckets
     rng = random.Random(2)
     more = [(1000 + i, words(rng, 40, 30)) for i in range(300)]
     every = texts + more
     got = lm_scoring.score(docs.union(spark.createDataFrame(rows(more), SCHEMA)), p).collect()
-    tokens = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [0] for _, t in every]
-    folds = [lm_scoring.fold_of(i, p) for i, _ in every]
-    counts = {f: (Counter(), Counter()) for f in (1, 2)}
-    for f, ts in zip(folds, tokens, strict=True):
-        if f:
-            counts[f][0].update(ts)
-            counts[f][1].update(zip([1, *ts], ts, strict=False))
-    one, two = (counts[1][k] + counts[2][k] for k in (0, 1))
-    n, v = sum(one.values()), len(one)
-    main1, main2 = counts[2]
-    nm, vm = sum(main1.values()), len(main1)
-    seen = lambda c, w: c[0] if w == 1 else c[w]  # noqa: E731  as many starts as ends
-    held = Counter()
-    for f, ts in zip(folds, tokens, strict=True):
-        if f == 1:
-            for a, b in zip([1, *ts], ts, strict=False):
-                c = seen(main1, a)
-                held[min(c.bit_length(), p.buckets - 1), main2[a, b] / c if c else 0.0, main1[b] / nm * (vm + 1)] += 1
-    histogram = [(b, round(8 * math.log2(p2 * (vm + 1) / p1)) if p2 else lm_scoring.NONE, round(8 * math.log2(p1)) if p1 else lm_scoring.NONE, k, k * math.log2(p2 * (vm + 1) / p1) if p2 else 0, k * math.log2(p1) if p1 else 0) for (b, p2, p1), k in held.items()]
-    weights = lm_scoring.learn(histogram, p)
-    wanted = {}
-    for (i, _), f, ts in zip(every, folds, tokens, strict=True):
-        model = base = 0.0
-        for a, b in zip([1, *ts], ts, strict=False):
-            c = seen(one, a)
-            w = weights[min(c.bit_length(), p.buckets - 1)]
-            model += math.log10(w[0] * (two[a, b] / c if c else 0) + w[1] * one[b] / n + w[2] / (v + 1))
-            base += math.log10((one[b] + 0.1) / (n + 0.1 * (v + 1)))
-        wanted[i] = (f == 0, len(ts), sum(one[t] > 0 for t in ts), n, base, model)
-    for r in got:
-        held_out, *exact, base, model = wanted[r.doc_id]
-        assert [r.held_out, r.n_tokens, r.n_known, r.train_tokens] == [held_out, *exact]
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model, rel=5e-3)
-    assert len(got) == len(every)
+    order = lambda r: (str(r[0]), r[2], r[5])
+    for r, (*exact, base, model) in zip(sorted(got, key=order), sorted(plain_lm(every, p), key=order), strict=True):
+        assert list(r[:5]) == exact
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model, rel=1e-4)
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert lm_scoring.score(none, p).count() == 0
@@ -262,11 +297,11 @@ def test_lm_scores(spark, docs, none, texts):
 
 def test_known_mixture_is_learned():
     rng = np.random.default_rng(0)
-    p2, p1 = rng.random(4000), rng.random(4000)
-    ratio = np.array([0.7, 0.2, 0.1]) @ np.stack([p2 * 50, p1 * 5, np.ones(4000)])
-    h = [(3, 1, 1, float(k), k * math.log2(a * 10 / b), k * math.log2(5 * b)) for k, a, b in zip(ratio / ratio.mean(), p2, p1, strict=True)]
-    w = lm_scoring.learn(h, lm_scoring.Interpolation(rounds=500))[3]
-    assert w.sum() == pytest.approx(1) and w.argmax() == 0
+    own, below = (x / x.sum() for x in rng.random((2, 4000)) + 0.01)
+    each = 1e6 * (0.7 * own + 0.3 * below)  # what such a mixture draws on average
+    h = [(3, 1, k, k * math.log2(r)) for k, r in zip(each, own / below, strict=True)]
+    w = lm_scoring.learn(h, 3, lm_scoring.Interpolation(rounds=500))
+    assert w[3] == pytest.approx(0.7, abs=1e-3) and w[0] == 0
 
 
 # ---- 7 ----
