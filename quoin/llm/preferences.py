@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.common import pick, read, running_total
+from quoin.llm.common import pick, read
 
 TURNS = {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}
 
@@ -41,40 +41,69 @@ def buddies(turns: DataFrame) -> DataFrame:
     return turns.select(F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 1).alias("rejected"), "turn", "role", "text")
 
 
+def _in_order(blocks: DataFrame, value: str) -> Column:
+    """The sum of a block's `value` over the blocks of its conversation before it."""
+    before = Window.partitionBy("pair_id", "rejected").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(before), F.lit(0))
+
+
+def _by_side(value: str) -> list[Column]:
+    """A conversation pair's two values in one row, chosen and rejected."""
+    return [F.max(F.when(side, F.col(value))).alias(f"{value}{i}") for i, side in enumerate((~F.col("rejected"), F.col("rejected")))]
+
+
+def _mine(value: str) -> Column:
+    return F.when(F.col("rejected"), F.col(f"{value}1")).otherwise(F.col(f"{value}0"))
+
+
 def format_pairs(turns: DataFrame, t: Template = Template()) -> DataFrame:
     """turns: pair_id, rejected, turn, role, text. A row for each turn of each part (prompt, chosen, rejected):
     pair_id, part, position, role, rendered, start_at, end_at, mask_from, mask_to; places count characters of
     the part, and the mask is null for turns that are not learned.
 
     Turns go by (turn, role, text), nulls first; equal rows are turns in a row. Null roles and texts count as
-    empty. Turns are compared by 128 bits of hash. A conversation without partner has an empty prompt, equal
-    ones have empty completions; an empty table gives no rows."""
-    clean = F.coalesce("text", F.lit(""))
-    for mark in t.marks:
-        clean = F.replace(clean, F.lit(mark), F.lit(t.escape + mark))
-    rows = turns.select(
-        "pair_id", "rejected", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("_text"), clean.alias("text"),
-        F.coalesce(F.floor(F.col("turn") / t.block), F.lit(-(1 << 62))).cast("bigint").alias("_block"), F.lit(1).cast("bigint").alias("_one"),
-    )
-    placed = running_total(rows, ["pair_id", "rejected"], "_block", ["turn", "role", "_text"], "_one", "position")
-    h = (F.xxhash64("role", "_text"), F.xxhash64("_text", F.lit(1), "role"))
-    at = placed.select("pair_id", "position", h[0].alias("a"), h[1].alias("b")).groupBy("pair_id", "position")
-    at = at.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}{i}") for c in "ab" for i, f in enumerate((F.min, F.max))))
+    empty, texts of any length are rendered whole. Turns are compared by 128 bits of hash. A conversation without
+    partner has an empty prompt, equal ones have empty completions; an empty table gives no rows.
+
+    Texts are shuffled once, by pair and block of turn numbers, and everything else joins them there by that key:
+    a turn's place and length so far are those of its block's start, from sums over blocks, and of the turns
+    before it in the block; where the two sides part is found on their hashes."""
+    def escaped(c: Column) -> Column:
+        for mark in t.marks:
+            c = F.replace(c, F.lit(mark), F.lit(t.escape + mark))
+        return c
+
+    raw = F.coalesce("text", F.lit(""))
+    role, block = F.coalesce("role", F.lit("")), F.coalesce(F.floor(F.col("turn") / t.block), F.lit(-(1 << 62))).cast("bigint")
+    length = (F.length(role) + F.length(escaped(raw)) + len(t.open_ + t.after_role + t.close)).cast("bigint")
+    key = ["pair_id", "_block"]
+    sized = turns.select("pair_id", "rejected", block.alias("_block"), length.alias("_length"))
+    blocks = sized.groupBy("pair_id", "rejected", "_block").agg(F.count("*").alias("_n"), F.sum("_length").alias("_length"))
+    starts = blocks.select("pair_id", "rejected", "_block", _in_order(blocks, "_n").alias("_first"), _in_order(blocks, "_length").alias("_ahead"))
+    starts = starts.groupBy(*key).agg(*_by_side("_first"), *_by_side("_ahead"))
+
+    dealt = turns.select("pair_id", "rejected", "turn", role.alias("role"), raw.alias("_raw"), length.alias("_length"), block.alias("_block")).repartition(*key)
+    inside = Window.partitionBy("pair_id", "rejected", "_block").orderBy("turn", "role", "_raw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = dealt.withColumn("_n", F.row_number().over(inside) - 1).withColumn("_so_far", F.sum("_length").over(inside) - F.col("_length"))
+
+    hashes = F.xxhash64("role", "_raw").alias("a"), F.xxhash64("_raw", F.lit(1), "role").alias("b")
+    narrow = dealt.select(*key, "rejected", "_n", "_so_far", *hashes).join(starts, key)
+    narrow = narrow.select("pair_id", "rejected", (_mine("_first") + F.col("_n")).alias("position"), (_mine("_ahead") + F.col("_so_far")).alias("_ahead"), "a", "b")
+    turn = narrow.groupBy("pair_id", "position").agg(F.count("*").alias("n"), *_by_side("_ahead"), *(f(c).alias(f"{c}{i}") for c in "ab" for i, f in enumerate((F.min, F.max))))
     differs = (F.col("n") < 2) | (F.col("a0") != F.col("a1")) | (F.col("b0") != F.col("b1"))
-    common = at.groupBy("pair_id").agg(F.coalesce(F.min(F.when(differs, F.col("position"))), F.max("position") + 1).alias("common")).withColumnRenamed("pair_id", "_pair")
-    parts = placed.join(common, F.col("pair_id") == F.col("_pair")).filter("position >= common or not rejected")
-    header = F.concat(F.lit(t.open_), "role", F.lit(t.after_role))
+    parting = F.min(F.when(differs, F.struct("position", F.col("_ahead0").alias("cut0"), F.col("_ahead1").alias("cut1"))))
+    parting = turn.groupBy("pair_id").agg(F.coalesce(parting, F.struct((F.max("position") + 1).alias("position"), F.lit(None).cast("bigint").alias("cut0"), F.lit(None).cast("bigint").alias("cut1"))).alias("p"))
+    places = starts.join(parting.select("pair_id", F.col("p.position").alias("common"), "p.cut0", "p.cut1"), "pair_id")
+
+    out = dealt.join(places, key).withColumn("position", (_mine("_first") + F.col("_n")).cast("bigint")).filter("position >= common or not rejected")
     part = F.when(F.col("position") < F.col("common"), "prompt").when(F.col("rejected"), "rejected").otherwise("chosen")
-    rendered = parts.select(
-        "pair_id", part.alias("part"), "position", "role", F.concat(header, "text", F.lit(t.close)).alias("rendered"), F.length(header).alias("_head"),
-        F.floor(F.col("position") / t.block).alias("_block"),
-    ).withColumn("_length", F.length("rendered").cast("bigint"))
-    out = running_total(rendered, ["pair_id", "part"], "_block", ["position"], "_length", "start_at")
-    end = F.col("start_at") + F.col("_length")
-    learned = (F.col("part") != "prompt") & F.col("role").isin(*t.learned)
+    header = F.concat(F.lit(t.open_), "role", F.lit(t.after_role))
+    ahead = _mine("_ahead") + F.col("_so_far") - F.when(F.col("position") < F.col("common"), 0).otherwise(_mine("cut"))
+    out = out.select("pair_id", part.alias("part"), "position", "role", F.concat(header, escaped(F.col("_raw")), F.lit(t.close)).alias("rendered"), ahead.cast("bigint").alias("start_at"), "_length")
+    end, learned = F.col("start_at") + F.col("_length"), (F.col("part") != "prompt") & F.col("role").isin(*t.learned)
     return out.select(
         "pair_id", "part", "position", "role", "rendered", "start_at", end.alias("end_at"),
-        F.when(learned, F.col("start_at") + F.col("_head")).alias("mask_from"), F.when(learned, end).alias("mask_to"),
+        F.when(learned, F.col("start_at") + F.length("role") + len(t.open_ + t.after_role)).alias("mask_from"), F.when(learned, end).alias("mask_to"),
     )
 
 
@@ -83,11 +112,11 @@ def assemble(formatted: DataFrame) -> DataFrame:
     row each."""
     of = [F.col("part") == p for p in ("prompt", "chosen", "rejected")]
 
-    def joined(which) -> F.Column:
+    def joined(which) -> Column:
         turns = F.array_sort(F.collect_list(F.when(which, F.struct("position", "rendered"))))
         return F.array_join(F.transform(turns, lambda x: x["rendered"]), "")
 
-    def ranges(which) -> F.Column:
+    def ranges(which) -> Column:
         return F.array_sort(F.collect_list(F.when(which & F.col("mask_from").isNotNull(), F.struct("mask_from", "mask_to"))))
 
     return formatted.groupBy("pair_id").agg(
