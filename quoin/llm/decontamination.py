@@ -64,12 +64,12 @@ class Myers:
         for i, c in enumerate(pattern):
             self.at[c] = self.at.get(c, 0) | 1 << i
 
-    def distances(self, text, anchored: bool = False) -> Iterator[int]:
+    def distances(self, text, anchored: bool = False) -> list[int]:
         """After each of the text's characters the least distance of the pattern to a stretch that ends there: to
         any, or, `anchored`, to the one from the text's start."""
         m, at = self.m, self.at
         last, full, first = 1 << m - 1, (1 << m) - 1, int(anchored)
-        up, down, score = full, 0, m
+        up, down, score, out = full, 0, m, []
         for c in text:
             eq = at.get(c, 0)
             x = eq | down
@@ -84,15 +84,14 @@ class Myers:
             h_down = h_down << 1 & full
             up = h_down | ~(d0 | h_up) & full
             down = d0 & h_up
-            yield score
+            out.append(score)
+        return out
 
     def best(self, text, anchored: bool = False) -> tuple[int, int]:
         """The least of the distances and the first place where it is reached."""
-        found = (self.m, 0)
-        for place, score in enumerate(self.distances(text, anchored), 1):
-            if score < found[0]:
-                found = (score, place)
-        return found
+        scores = self.distances(text, anchored)
+        least = min(scores, default=self.m)
+        return (least, scores.index(least) + 1) if least < self.m else (self.m, 0)
 
 
 def chains(n: int) -> list[list[tuple[int, int]]]:
