@@ -336,7 +336,9 @@ def _scores(lexicon: Lexicon, texts: pa.Array, p: Toxicity, step: int = 1024) ->
 
 def score(docs: DataFrame, lexicon: Lexicon, p: Toxicity = Toxicity()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row. Null texts count as empty and get the share of toxic rows
-    among those without hits. Rows without id count as held out. Repeated rows give repeated rows."""
+    among those without hits. Rows without id count as held out. Repeated rows give repeated rows, an empty table
+    none. Texts of any length are read whole, each in one task. Of hits of several kinds the worthiest counts, so
+    ties don't matter; a word near several terms is as near as to the nearest."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -321,6 +321,43 @@ def test_trie_automata(terms, word):
     assert toxicity.Trie(terms).search(word) == (min(near) if near else None)
 
 
+def plain_score(lexicon, text, window):
+    """The worthiest kind of hit, every word against every term."""
+
+    def kind(word):
+        clear = "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}.get(c, c) for c in word)
+        near = [d for t in lexicon.words if (d := edits(t, word)) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+        if word in lexicon.words:
+            return "exact"
+        if any(word.startswith(s) for s in lexicon.stems):
+            return "stem"
+        if clear != word and (clear in lexicon.words or any(clear.startswith(s) for s in lexicon.stems)):
+            return "obscured"
+        return f"edit{min(near)}" if near and len(word) > 3 else None
+
+    low = text.lower()
+    places = [m.span() for m in re.finditer(r"(?:[^\W_]|[@$])+", low)]
+    direct = {}
+    for i, (a, b) in enumerate(places):
+        if kind(low[a:b]):
+            first, last = max(0, i - window), min(len(places) - 1, i + window)
+            marks = all(any(q in side for q in toxicity.QUOTES) for side in (low[places[first][0] : a], low[b : places[last][1]]))
+            told = any(low[x:y] in toxicity.REPORTING for x, y in places[first:i])
+            direct[low[a:b]] = direct.get(low[a:b], False) or not (marks or told)
+    counts = Counter((kind(w), not d) for w, d in direct.items())
+    return max((lexicon.worth[k, q, min(n, 4)] for (k, q), n in counts.items()), default=lexicon.floor)
+
+
+def test_scores_against_every_word_and_term():
+    rng = random.Random(3)
+    worth = {(k, q, n): rng.random() for k in toxicity.KINDS for q in (False, True) for n in range(1, 5)}
+    lexicon = toxicity.Lexicon(("vile", "wretch", "scoundrels", "nitwit"), ("scum", "dolt"), worth, 0.03)
+    some = ["vile", "vyle", "wretch", "wr3tch", "wretches", "wretched", "scoundrel", "skoundrells", "scumbag", "$cumm", "dolts", "nitw1t", "said", "wrote", '"', "»", "plain", "words", "go", "here", "a", "É", "42"]
+    texts = ["", " ", "VILE", *(" ".join(rng.choices(some, k=rng.randint(1, 30))) for _ in range(300))]
+    p = toxicity.Toxicity(window=4)
+    assert toxicity._scores(lexicon, pa.array(texts), p, step=7) == [plain_score(lexicon, t, 4) for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abc", min_size=5, max_size=11), st.data())
 def test_pattern_keeps_every_near_word(term, data):
@@ -384,6 +421,16 @@ def test_png_filters_and_damage():
             media.read_png(raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :])
     with pytest.raises(ValueError):
         media.read_png(raw[:-12])
+    flat = media.write_png(bytes(64))
+    at, end = flat.index(b"IDAT") - 4, flat.index(b"IEND") - 4
+    data = zlib.compress(bytes(65))
+    right = b"".join((flat[:at], media._chunk(b"IDAT", data), flat[end:]))
+    assert media.read_png(right).tobytes() == bytes(64)
+    for wrong in (data + b"more", data[:-1], data[:-4] + b"fail", b"no deflate stream", zlib.compress(bytes(66)), zlib.compress(bytes([5]) + bytes(64))):
+        with pytest.raises(ValueError):
+            media.read_png(b"".join((flat[:at], media._chunk(b"IDAT", wrong), flat[end:])))
+    with pytest.raises(ValueError):
+        media.read_png(flat[:8] + media._chunk(b"IHDR", bytes(5)) + flat[end:])
 
 
 def test_cosine_hash():
@@ -394,7 +441,50 @@ def test_cosine_hash():
     assert (bits(image) ^ bits(near)).bit_count() <= 12 < (bits(image) ^ bits(rng.integers(0, 256, image.shape).astype(np.uint8))).bit_count()
 
 
+def plain_png(raw):
+    """Samples of a grey PNG whose rows are not filtered, by the format's description alone."""
+    assert raw[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, found = 8, {}
+    while at < len(raw):
+        n, kind = int.from_bytes(raw[at : at + 4]), raw[at + 4 : at + 8]
+        assert zlib.crc32(raw[at + 4 : at + 8 + n]) == int.from_bytes(raw[at + 8 + n : at + 12 + n])
+        found[kind] = found.get(kind, b"") + raw[at + 8 : at + 8 + n]
+        at += 12 + n
+    width, height = (int.from_bytes(found[b"IHDR"][i : i + 4]) for i in (0, 4))
+    data = zlib.decompress(found[b"IDAT"])
+    lines = [data[i : i + width + 1] for i in range(0, len(data), width + 1)]
+    assert len(lines) == height and found[b"IHDR"][8:] == bytes([8, 0, 0, 0, 0]) and not any(x[0] for x in lines)
+    return b"".join(x[1:] for x in lines)
+
+
+def plain_feature(samples):
+    """Bits of the lowest 8 x 8 coefficients of the cosine transform of 32 x 32 means, sample by sample."""
+    h = len(samples) // 64
+    grid = []
+    for y in range(32):
+        a = y * h // 32
+        lines = range(a, max(a + 1, (y + 1) * h // 32))
+        grid.append([sum(samples[64 * r + 2 * x] + samples[64 * r + 2 * x + 1] for r in lines) / (2 * len(lines)) for x in range(32)])
+    wave = [[math.cos(math.pi / 32 * k * (n + 0.5)) for n in range(32)] for k in range(8)]
+    low = [round(1024 * sum(wave[u][y] * wave[v][x] * grid[y][x] for y in range(32) for x in range(32))) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = [low[0] > 0, *(c > middle for c in low[1:])]
+    return f"{int(''.join('01'[b] for b in bits), 2):016x}"
+
+
 def test_media_columns(spark, docs, none, texts):
+    wanted = Counter()
+    stored = {(r.doc_id, r.n_bytes): bytes(r.media) for r in media.to_media(docs).collect()}
+    for i, t in texts:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        png = stored[i, len(raw)]
+        assert plain_png(png) == payload
+        wanted[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), plain_feature(payload)] += 1
+    assert Counter(map(tuple, media.features(media.to_media(docs)).collect())) == wanted
+
+
+def test_equal_texts_have_equal_media(spark, docs, none, texts):
     got = media.features(media.to_media(docs)).collect()
     by_text = {}
     for r in got:
