@@ -45,7 +45,9 @@ def main(argv: list[str] | None = None) -> None:
         ingest.process(db, files, sources.pages(spark, args.pages), sources.blocks(spark, args.blocks), models, Settings.load(spark), progress=print).show(truncate=False)
     elif args.command == "delete":
         names = ("issues", "articles", "extractions", "feedback")
-        db.commit(store.delete_date({n: db.table(n) for n in names}, F.lit(args.date).cast("date")))
+        day = F.lit(args.date).cast("date")
+        ids = [r.id for r in db.table("issues").filter(F.col("issue_date") == day).select("id").collect()]  # one a date
+        db.commit(store.delete_date({n: db.table(n, ids) if n in store.PARTS else db.table(n) for n in names}, day), ids)
     elif args.command == "stats":
         reports.issue_stats(db.table("issues"), db.table("articles"), db.table("extractions")).orderBy(F.desc("issue_date")).show(truncate=False)
     else:

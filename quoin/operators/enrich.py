@@ -1,91 +1,21 @@
-"""Enrichment by outside models: batched calls, provider fallback, one repair, strict validation.
+"""Enrichment by outside models: prompts are columns, calls run through `calls.ask`, answers are checked strictly.
 
-A provider is a function from messages to text; it raises RateLimited when its quota is used up. Calls run grouped
-by an explicit batch key and are never behind a `when`: the stage's result is written before anything filters it.
+A batch of articles, or one, is one call. Calls are never behind a `when`: a stage's result is written before
+anything filters it.
 """
 
 from __future__ import annotations
 
-import json
 import re
-import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.schemas import CATEGORIES, EXAM_TAGS, EXTRACTION, PROVISION_KINDS
-
-Messages = list[dict[str, str]]
-
-
-class RateLimited(Exception):
-    pass
-
-
-class QuotaExhausted(Exception):
-    pass
-
-
-class CallFailed(Exception):
-    pass
-
-
-class Invalid(ValueError):
-    pass
-
-
-@dataclass(frozen=True)
-class Providers:
-    """Tried in this order. `interval` seconds pass between two calls of a provider in one process."""
-
-    chain: tuple[tuple[str, Callable[[Messages], str]], ...]
-    interval: float = 0.0
-    attempts: int = 2
-    last: dict = field(default_factory=dict, compare=False)
-
-    def run(self, messages: Messages) -> tuple[str, str]:
-        limited, error = 0, None
-        for name, call in self.chain:
-            wait = self.last.get(name, 0.0) + self.interval - time.monotonic()
-            if wait > 0:
-                time.sleep(wait)
-            self.last[name] = time.monotonic()
-            try:
-                return call(messages) or "", name
-            except RateLimited as e:
-                limited, error = limited + 1, e
-            except Exception as e:  # whatever a provider raises, the next one is tried
-                error = e
-        raise (QuotaExhausted if limited == len(self.chain) else CallFailed)(str(error))
-
-    def structured(self, messages: Messages, check: Callable[[object], object]) -> tuple[object, str]:
-        """A checked answer; an invalid one is shown to the provider with its error, once."""
-        error: Exception | None = None
-        for _ in range(self.attempts):
-            text, name = self.run(messages)
-            try:
-                return check(parse_json(text)), name
-            except ValueError as e:
-                error = e
-                messages = [*messages, {"role": "assistant", "content": text}, {"role": "user", "content": f"Invalid: {str(e)[:600]}\nReturn only the corrected JSON."}]
-        raise CallFailed(f"invalid after repair: {error}")
-
-
-def unfenced(text: str) -> str:
-    return re.sub(r"(?m)^\s*```(?:json)?|```\s*$", "", text.strip()).strip()
-
-
-def parse_json(text: str) -> object:
-    return json.loads(unfenced(text))
-
-
-def parse_json_column(c, schema: str):
-    """The same in the JVM: null where the JSON is bad."""
-    return F.from_json(F.trim(F.regexp_replace(F.trim(c), r"(?m)^\s*```(?:json)?|```\s*$", "")), schema)
+from quoin.operators.calls import DONE, QUOTA, Invalid, Outcome, Providers, ask, instructed
+from quoin.schemas import CATEGORIES, CLASSIFY_ITEM, EXAM_TAGS, EXTRACTION, PROVISION_KINDS
 
 
 def _need(ok: bool, what: str) -> None:
@@ -188,66 +118,97 @@ def check_extraction(x: object) -> dict:
     }
 
 
-def classify_prompt(rows: list[dict], system: str, opening: int = 700) -> Messages:
-    parts = [f"[{i}] HEADLINE: {r['headline'] or ''}\nTEXT: {(r['body'] or '')[:opening]}" for i, r in enumerate(rows)]
-    return [{"role": "system", "content": system}, {"role": "user", "content": "\n\n".join(parts)}]
+def _object(**parts: dict) -> dict:
+    return {"type": "object", "properties": parts, "required": [k for k, v in parts.items() if "default" not in v]}
 
 
-CLASSIFIED = "id bigint, status string, relevant boolean, category string, exam_tags array<string>, score double, reason string"
+def _text(most: int | None = None, least: int | None = None) -> dict:
+    return {"type": "string"} | ({"maxLength": most} if most else {}) | ({"minLength": least} if least else {})
 
 
-def classify(pending: DataFrame, providers: Providers, system: str, size: int = 8, cut: float = 0.4) -> DataFrame:
-    """pending: id, issue_id, seq, headline, body. One call for each `size` rows of an issue, by seq. A row whose
-    number the answer lacks, or whose batch failed, is failed; with used-up quota its status is quota. Of several
-    answers for a row the last counts; relevant needs a score of `cut`, compared before it is rounded."""
-    batched = pending.select("id", "issue_id", "seq", "headline", "body", F.floor((F.col("seq") - 1) / size).alias("batch"))
+def _list(of: dict, most: int | None = None, least: int | None = None, **more) -> dict:
+    return {"type": "array", "items": of} | ({"maxItems": most} if most else {}) | ({"minItems": least} if least else {}) | more
 
-    def call(rows: pd.DataFrame) -> pd.DataFrame:
-        items = rows.sort_values("seq").to_dict("records")
-        status, found = "failed", {}
-        try:
-            answer, _ = providers.structured(classify_prompt(items, system), check_batch)
-            found = {a["id"]: a for a in answer}
-        except QuotaExhausted:
-            status = "quota"
-        except CallFailed:
-            pass
-        out = []
-        for i, r in enumerate(items):
-            a = found.get(i)
-            row = dict.fromkeys(c.split()[0] for c in CLASSIFIED.split(", ")) | {"id": r["id"], "status": "done" if a else status}
-            out.append(row | ({**a, "id": r["id"], "relevant": a["relevant"] and a["score"] >= cut} if a else {}))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CLASSIFIED.split(", ")])
 
-    return batched.groupBy("issue_id", "batch").applyInPandas(call, CLASSIFIED)
+def _maybe(of: dict) -> dict:
+    return {"anyOf": [of, {"type": "null"}], "default": None}
 
 
-EXTRACTED = f"article_id bigint, status string, model string, data {EXTRACTION}"
+# What the checks below let through, as JSON Schema.
+BATCH_FORM = _object(
+    items=_list(
+        _object(
+            id={"type": "integer"}, relevant={"type": "boolean"}, category={"enum": list(CATEGORIES)}, exam_tags=_list({"enum": list(EXAM_TAGS)}, default=[]),
+            score={"type": "number", "minimum": 0, "maximum": 1}, reason=_text(300),
+        )
+    )
+)
+EXTRACTION_FORM = _object(
+    summary=_text(800), key_points=_list(_text(), 6),
+    case=_maybe(_object(case_name=_maybe(_text()), court=_maybe(_text()), bench=_list(_text(), default=[]), holding=_maybe(_text()))),
+    provisions=_list(_object(name=_text(), kind={"enum": list(PROVISION_KINDS)}), default=[]), exam_relevance=_text(400),
+    event_date=_maybe({"type": "string", "format": "date"}), evidence=_list(_object(quote=_text(400, 15)), 5, 1),
+)
 
+CLASSIFY_SYSTEM = """You sort newspaper articles for people who prepare for law and civil-service examinations in India: judicial
+services, public prosecution, and the union and state public service commissions. They are asked about law and about current affairs.
 
-def extract(pending: DataFrame, providers: Providers, system: str, most: int = 50, opening: int = 12_000) -> DataFrame:
-    """pending: id, issue_id, seq, issue_date, headline, body. One call a row, for the first `most` of each issue;
-    failed rows stay pending."""
-    due = pending.filter(F.col("seq") <= most).select("id", "issue_date", "headline", "body")
+Each article comes with a number, its headline and its first lines. Say for every number whether an examiner could ask about it.
+Relevant are rulings, bills, appointments and institutions of law; and of current affairs the economy, environment, science, foreign relations,
+security, government schemes, social questions, prizes and offices, and the affairs of Bihar. Not relevant are notices, listings, weather, puzzles,
+advertisements, entertainment, ordinary sport, and crime or accidents without a point of law or policy.
 
-    def call(frames):
-        for rows in frames:
-            out, used_up = [], False
-            for r in rows.to_dict("records"):
-                row = {"article_id": r["id"], "status": "quota", "model": None, "data": None}
-                user = f"ISSUE DATE: {r['issue_date']}\nHEADLINE: {r['headline'] or ''}\n\nARTICLE TEXT:\n{(r['body'] or '')[:opening]}"
-                try:
-                    if not used_up:
-                        data, model = providers.structured([{"role": "system", "content": system}, {"role": "user", "content": user}], check_extraction)
-                        row |= {"status": "done", "model": model, "data": data}
-                except QuotaExhausted:
-                    used_up = True
-                except CallFailed:
-                    row["status"] = "failed"
-                out.append(row)
-            yield pd.DataFrame(out, columns=["article_id", "status", "model", "data"])
-
-    return due.mapInPandas(call, EXTRACTED)
+category: judgment only where a court has decided something; constitutional for the constitution and rights; statute_bill for laws and rules in the
+making; legal_institutional for courts and offices of law; intl_law for treaties as law; policy_governance, economy, environment_science, intl_relations,
+security_defence, social_issues, awards_misc and bihar_state as their names say; other for the rest.
+exam_tags: all of judiciary, apo, bpsc and upsc for current affairs; judiciary and apo for law, with others where it is general knowledge too.
+score: from 0 to 1, how useful it is; in doubt about a half, since a missed article is worse than a needless one.
+reason: a short sentence. Give one item for each number, under that number as id."""
+EXTRACT_SYSTEM = """You take examination notes from one newspaper article. Use nothing but what its text states: no outside knowledge, no
+guesses; null or an empty list where it says nothing.
+
+summary: plain facts, 600 characters at most. key_points: up to six short facts that could be asked: names, places, dates, figures, schemes.
+provisions: only articles, acts, sections, bills and rules that the text names. case: only where the text reports a case.
+exam_relevance: one sentence on why it matters. event_date: the day of the event, where the text gives it.
+evidence: one to four passages of 15 to 300 characters, copied letter by letter from the text, that bear the summary out."""
+
+
+def _or_empty(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+CLASSIFIED = "id bigint, status string, relevant boolean, category string, exam_tags array<string>, score double, reason string"
+
+
+def classify(pending: DataFrame, providers: Providers, system: str = CLASSIFY_SYSTEM, size: int = 8, cut: float = 0.4, opening: int = 700, lanes: int = 1) -> DataFrame:
+    """pending: id, issue_id, seq, headline, body. One call for each `size` rows of an issue, by seq. A row whose
+    number the answer lacks, or whose batch failed, is failed; with used-up quota its status is quota. Of several
+    answers for a row the last counts; relevant needs a score of `cut`, compared before it is rounded."""
+    rows = pending.select("issue_id", F.floor((F.col("seq") - 1) / size).alias("batch"), F.struct("seq", "id", _or_empty("headline").alias("h"), F.left(_or_empty("body"), F.lit(opening)).alias("t")).alias("row"))
+    batches = rows.groupBy("issue_id", "batch").agg(F.min("row.id").alias("key"), F.array_sort(F.collect_list("row")).alias("rows"))
+    numbered = F.transform("rows", lambda r, i: F.concat(F.lit("["), i.cast("string"), F.lit("] HEADLINE: "), r["h"], F.lit("\nTEXT: "), r["t"]))
+    calls = batches.select("key", F.array_join(numbered, "\n\n").alias("user"), F.struct("issue_id", "batch").alias("order"))
+    answers = ask(calls, providers, instructed(system, BATCH_FORM), check_batch, f"array<{CLASSIFY_ITEM}>", lanes)
+    each = batches.select("key", F.posexplode("rows.id").alias("n", "id")).join(answers, "key")
+    mine = F.filter("value", lambda a: a["id"] == F.col("n"))
+    each = each.select("id", "status", F.when(F.size(mine) > 0, F.element_at(mine, -1)).alias("a"))
+    done = F.col("a").isNotNull()
+    status = F.when(done, DONE).when(F.col("status") == QUOTA, QUOTA).otherwise("failed")
+    return each.select("id", status.alias("status"), (F.col("a.relevant") & (F.col("a.score") >= cut)).alias("relevant"), "a.category", "a.exam_tags", "a.score", "a.reason")
+
+
+def extract(pending: DataFrame, providers: Providers, system: str = EXTRACT_SYSTEM, most: int = 50, opening: int = 12_000, lanes: int = 1) -> DataFrame:
+    """pending: id, issue_id, seq, issue_date, headline, body. article_id, status, model and data: one call a row, for
+    the first `most` of each issue; failed rows stay pending."""
+    user = F.concat(F.lit("ISSUE DATE: "), F.coalesce(F.col("issue_date").cast("string"), F.lit("unknown")), F.lit("\nHEADLINE: "), _or_empty("headline"), F.lit("\n\nARTICLE TEXT:\n"), F.left(_or_empty("body"), F.lit(opening)))
+    calls = pending.filter(F.col("seq") <= most).select(F.col("id").alias("key"), user.alias("user"), F.struct("issue_id", "seq").alias("order"))
+    answers = ask(calls, providers, instructed(system, EXTRACTION_FORM), check_extraction, EXTRACTION, lanes)
+    return answers.select(F.col("key").alias("article_id"), "status", F.col("provider").alias("model"), F.col("value").alias("data"))
+
+
+def reply(providers: Providers, system: str, user: str) -> Outcome:
+    """One free text, on the driver."""
+    return providers.text([{"role": "system", "content": system}, {"role": "user", "content": user}])
 
 
 def embed(pending: DataFrame, encode: Callable[[list[str]], list[list[float]] | None], dim: int, size: int = 16) -> DataFrame:

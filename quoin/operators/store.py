@@ -1,11 +1,12 @@
 """State as snapshots: each change takes tables and returns the new ones, in one set-based pass.
 
-Ids are kept where a key exists and continue from the largest elsewhere. `Store` writes a snapshot to a folder of
-its own and moves a pointer file, so a reader never sees half a change and nothing that is read is overwritten.
+Ids are kept where a key exists and continue from the largest elsewhere. `Store` writes what changed to a folder of
+its own and then one log entry, so a reader never sees half a change and nothing that is read is overwritten.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,62 +15,102 @@ from pyspark.sql import functions as F
 from quoin import schemas
 
 CARD = ("id", "page_no", "headline", "body", "category", "exam_tags", "relevance_score", "incomplete")
+PARTS = {"articles": "issue_id"}  # tables of which a change writes the touched parts alone
+
+
+class Conflict(RuntimeError):
+    """Another writer's change came first; nothing was changed."""
 
 
 class Store:
-    """Tables below a folder that all executors see. The pointer is a one-row table of (name, path) versions."""
+    """Tables below a folder that all executors see. A change is a file of the log, numbered without gaps, that says
+    where parts of tables now lie; it is created only if no other writer has created that number since this store
+    last read the log."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.seen, self.paths = 0, {}  # (table, part) to path; part "" is the whole table
 
     def init(self) -> None:
         self.commit({n: self.spark.createDataFrame([], s) for n, s in schemas.TABLES.items()})
 
-    def _versions(self) -> DataFrame:
-        return self.spark.read.schema("seq bigint, name string, path string").json(f"{self.folder}/log")
-
-    def table(self, name: str) -> DataFrame:
-        row = self._versions().filter(F.col("name") == name).agg(F.max_by("path", "seq").alias("path")).first()
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(row.path)
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """All tables of a change become visible with one written log entry."""
-        paths = {}
+    def _file(self, number: int):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log/{number:012d}.json")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def refresh(self) -> None:
+        """Reads the log's new entries."""
+        while True:
+            system, path = self._file(self.seen + 1)
+            if not system.exists(path):
+                return
+            stream = system.open(path)
+            try:
+                entry = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            self.paths |= {(name, part): to for name, part, to in entry}
+            self.seen += 1
+
+    def table(self, name: str, only: list[int] | None = None) -> DataFrame:
+        """The table, or its parts with the given keys."""
+        self.refresh()
+        wanted = None if only is None else {str(k) for k in only}
+        paths = [to for (n, part), to in self.paths.items() if n == name and to and (wanted is None or part in wanted)]
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], schemas.TABLES[name])
+
+    def commit(self, tables: dict[str, DataFrame], only: list[int] | None = None) -> None:
+        """All tables of a change become visible at once. Of tables in parts, `only` names the keys that are
+        replaced by the given rows, all of which have such keys; without it all parts are."""
+        self.refresh()
+        entry: list[tuple[str, str, str]] = []
         for name, df in tables.items():
-            paths[name] = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(paths[name])
-        log = self.folder + "/log"
+            to = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+            if name in PARTS:
+                df.withColumn("part_key", F.col(PARTS[name])).repartition("part_key").write.partitionBy("part_key").parquet(to)
+                written = {str(r.part_key) for r in self.spark.read.schema(f"{schemas.TABLES[name]}, part_key bigint").parquet(to).select("part_key").distinct().collect()}
+                old = {part for n, part in self.paths if n == name} if only is None else {str(k) for k in only}
+                entry += [(name, part, f"{to}/part_key={part}" if part in written else "") for part in sorted(old | written)]
+            else:
+                df.write.parquet(to)
+                entry.append((name, "", to))
+        system, path = self._file(self.seen + 1)
+        if system.exists(path):
+            raise Conflict(f"{self.folder}: change {self.seen + 1} is another writer's")
+        stream = system.create(path, False)  # fails if it exists by now
         try:
-            last = self._versions().agg(F.max("seq")).first()[0] or 0
-        except Exception as e:  # the first commit finds no log
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = 0
-        self.spark.createDataFrame([(last + 1, n, p) for n, p in paths.items()], "seq bigint, name string, path string").coalesce(1).write.mode("append").json(log)
+            stream.write(json.dumps(entry).encode())
+        finally:
+            stream.close()
+        self.refresh()
 
 
-def with_ids(new: DataFrame, existing: DataFrame, order: list) -> DataFrame:
-    """`id` continues from the largest existing one, in the given order. Rows are counted in one task, so this is
-    for small relations (issues, votes); articles take `article_ids`."""
+def numbered(new: DataFrame, existing: DataFrame, block: Column, order: list) -> DataFrame:
+    """`id` continues from the largest existing one, by block and then by `order`. Blocks are counted first, so rows
+    are sorted a block at a time."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return new.crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + F.row_number().over(Window.orderBy(*order))).cast("bigint")).drop("_top")
+    blocks = new.withColumn("_block", block)
+    before = Window.orderBy(F.asc_nulls_first("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy("_block").agg(F.count("*").alias("_n")).select(F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = starts.crossJoin(F.broadcast(top))  # one row
+    number = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    joined = blocks.withColumn("_number", number).join(starts, F.col("_block").eqNullSafe(F.col("_b")))
+    return joined.withColumn("id", (F.col("_top") + F.col("_start") + F.col("_number")).cast("bigint")).drop("_block", "_b", "_start", "_top", "_number")
 
 
-def article_ids(new: DataFrame, existing: DataFrame, order: list) -> DataFrame:
-    """Ids that rise with `order` within an issue; issues follow each other."""
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    sizes = new.groupBy("issue_id").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("issue_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("issue_id").alias("_issue"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).crossJoin(F.broadcast(top))
-    number = F.row_number().over(Window.partitionBy("issue_id").orderBy(*order))
-    return new.join(starts, F.col("issue_id") == F.col("_issue")).withColumn("id", (F.col("_top") + F.col("_start") + number).cast("bigint")).drop("_issue", "_start", "_top")
+def one_a_date(files: DataFrame) -> DataFrame:
+    """Of several files of a date the one whose name, then hash, comes last. A file without date is an error."""
+    named = F.concat(F.lit("no issue date for "), F.coalesce("filename", F.lit("a file without name")))
+    dated = F.when(F.col("issue_date").isNull(), F.raise_error(named).cast("date")).otherwise(F.col("issue_date"))
+    last = Window.partitionBy("issue_date").orderBy(F.desc_nulls_last("filename"), F.desc_nulls_last("pdf_sha256"))
+    return files.withColumn("issue_date", dated).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
 def upsert_issues(issues: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """incoming: issue_date, filename, pdf_sha256, created_at, one row a date. Returns the new issues and the ids
-    whose articles must go because the file changed. Known dates keep id and created_at; status and note start
-    over."""
-    new = incoming.select(F.col("issue_date").alias("_d"), F.col("filename").alias("_f"), F.col("pdf_sha256").alias("_s"), F.col("created_at").alias("_c"))
+    """incoming: issue_date, filename, pdf_sha256, created_at, of which `one_a_date` counts. Returns the new issues and
+    the ids whose articles must go because the file changed. Known dates keep id and created_at; status and note
+    start over."""
+    new = one_a_date(incoming).select(F.col("issue_date").alias("_d"), F.col("filename").alias("_f"), F.col("pdf_sha256").alias("_s"), F.col("created_at").alias("_c"))
     joined = issues.join(new, F.col("issue_date") == F.col("_d"), "full_outer")
     seen, fresh = F.col("id").isNotNull(), F.col("_d").isNotNull()
     changed = joined.filter(seen & fresh & ~F.col("pdf_sha256").eqNullSafe(F.col("_s"))).select("id")
@@ -78,7 +119,7 @@ def upsert_issues(issues: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Da
         F.when(fresh, "processing").otherwise(F.col("status")).alias("status"), F.when(~fresh, F.col("note")).alias("note"), "created_at",
     )
     added = joined.filter(~seen).select(F.col("_d").alias("issue_date"), F.col("_f").alias("filename"), F.col("_s").alias("pdf_sha256"), F.lit("processing").alias("status"), F.lit(None).cast("string").alias("note"), F.col("_c").alias("created_at"))
-    return old.unionByName(with_ids(added, issues, ["issue_date"])), changed
+    return old.unionByName(numbered(added, issues, F.year("issue_date"), ["issue_date"])), changed
 
 
 def first_of_each(incoming: DataFrame, order: list) -> DataFrame:
@@ -86,10 +127,11 @@ def first_of_each(incoming: DataFrame, order: list) -> DataFrame:
     return incoming.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
 
 
-def insert_articles(articles: DataFrame, incoming: DataFrame, order: list) -> DataFrame:
-    """Unique by (issue_id, content_hash): the first wins, against what exists and among themselves."""
+def insert_articles(articles: DataFrame, incoming: DataFrame, order: list, every: DataFrame | None = None) -> DataFrame:
+    """Unique by (issue_id, content_hash): the first wins, against what exists and among themselves. Ids rise with
+    `order` within an issue, after the largest of `every`, where `articles` are only some of them."""
     new = first_of_each(incoming, order).join(articles.select("issue_id", "content_hash"), ["issue_id", "content_hash"], "left_anti")
-    new = article_ids(new, articles, order).withColumn("classify_status", F.lit("pending")).withColumn("exam_tags", F.array().cast("array<string>"))
+    new = numbered(new, articles if every is None else every, F.col("issue_id"), order).withColumn("classify_status", F.lit("pending")).withColumn("exam_tags", F.array().cast("array<string>"))
     return articles.unionByName(new, allowMissingColumns=True)
 
 
@@ -152,9 +194,12 @@ def set_embeddings(extractions: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.select(*(F.coalesce("_e", "embedding").alias(c) if c == "embedding" else F.col(c) for c in extractions.columns))
 
 
-def finish_issue(issues: DataFrame, issue_id: int, status: str, note: str | None) -> DataFrame:
-    mine = F.col("id") == issue_id
-    return issues.withColumn("status", F.when(mine, status).otherwise(F.col("status"))).withColumn("note", F.when(mine, F.nullif(F.lit(note or ""), F.lit(""))).otherwise(F.col("note")))
+def finish_issues(issues: DataFrame, ended: DataFrame) -> DataFrame:
+    """ended: id, status, note. An empty note is stored as null; other issues stay as they are."""
+    new = ended.select(F.col("id").alias("_id"), F.col("status").alias("_s"), F.nullif("note", F.lit("")).alias("_n"))
+    joined, mine = issues.join(new, F.col("id") == F.col("_id"), "left"), F.col("_id").isNotNull()
+    values = {"status": F.col("_s"), "note": F.col("_n")}
+    return joined.select(*(F.when(mine, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in issues.columns))
 
 
 def prune_victims(issues: DataFrame, keep: int, protect: int | None = None) -> DataFrame:
@@ -185,4 +230,4 @@ def delete_date(tables: dict[str, DataFrame], date: Column) -> dict[str, DataFra
 def save_feedback(feedback: DataFrame, votes: DataFrame) -> DataFrame:
     """votes: article_id, vote, note, created_at. Votes other than 1 and -1 are an error."""
     right = F.when(F.col("vote").isin(-1, 1), F.col("vote")).otherwise(F.raise_error(F.lit("vote must be 1 or -1")).cast("int"))
-    return feedback.unionByName(with_ids(votes.withColumn("vote", right), feedback, ["created_at", "article_id"]).select(*feedback.columns))
+    return feedback.unionByName(numbered(votes.withColumn("vote", right), feedback, F.date_trunc("hour", "created_at"), ["created_at", "article_id"]).select(*feedback.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quoin import schemas, views
 from quoin.functions import text as T
 from quoin.functions.similarity import partial_ratio_udf, token_set_ratio_udf
-from quoin.operators import dedup, enrich, evaluate, grounding, layout, prefilter, reports, search, store
+from quoin.operators import calls, dedup, enrich, evaluate, grounding, layout, prefilter, reports, search, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -560,7 +560,7 @@ def json_fence_parse(spark, d):
     end = F.when(F.col("id") % 2 == 0, "\n```").when(F.col("id") % 4 == 3, "}}").otherwise("")
     text = F.concat(fence, F.when(F.col("id") % 4 == 3, "{{"), F.to_json(F.struct("id", "category")), end)
     text = F.coalesce(text, F.concat(fence, F.to_json(F.struct("id", "category")), end))
-    parsed = enrich.parse_json_column(text, "id int, category string")
+    parsed = calls.parsed(text, "id int, category string")
     return views.documents(spark, d).select("id", parsed["id"].alias("number"), parsed["category"].alias("lang"))
 
 
@@ -573,7 +573,7 @@ def validate_items(spark, d):
     return views.documents(spark, d).select("id", schemas.valid_batch(F.array(item)).alias("valid"))
 
 
-def _rule_provider(messages: enrich.Messages) -> str:
+def _rule_provider(messages: list[calls.Message]) -> str:
     """Answers by rule, for offline runs: an article is relevant if its number is even."""
     import json
     import re
@@ -587,4 +587,4 @@ def _rule_provider(messages: enrich.Messages) -> str:
     FROM (SELECT *, {_WORK} AS seq FROM articles WHERE prefilter_passed AND classify_status IN ('pending', 'failed'))""")
 def classify_rule(spark, d):
     due = store.pending_classify(views.articles(spark, d))
-    return enrich.classify(due, enrich.Providers((("rule", _rule_provider),)), "rule").select("id", "status", "relevant", "category", "score")
+    return enrich.classify(due, calls.Providers((("rule", _rule_provider),)), "rule").select("id", "status", "relevant", "category", "score")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin import schemas
-from quoin.operators import dedup, enrich, evaluate, grounding, prefilter, reports, search, store
+from quoin.operators import calls, dedup, enrich, evaluate, grounding, prefilter, reports, search, store
 from quoin.operators.layout import Layout
 from quoin.plans import ingest
 from quoin.settings import Settings
@@ -135,9 +135,50 @@ def test_stale_versions(spark):
     assert {r.id for r in store.pending_extract(a, e, "v2").collect()} == {1, 2}
 
 
-def test_finish_issue(spark):
-    i = tables(spark, [DAY])["issues"]
-    assert tuple(store.finish_issue(i, 1, "partial", "").select("status", "note").first()) == ("partial", None)
+def test_finish_issues(spark):
+    i = tables(spark, [DAY, DAY + datetime.timedelta(1), DAY + datetime.timedelta(2)])["issues"]
+    ended = spark.createDataFrame([(1, "partial", ""), (2, "done", "2 pages")], "id bigint, status string, note string")
+    got = {r.id: (r.status, r.note) for r in store.finish_issues(i, ended).collect()}
+    assert got == {1: ("partial", None), 2: ("done", "2 pages"), 3: ("done", None)}
+
+
+def test_undated_and_repeated_dates(spark):
+    issues = tables(spark, [DAY])["issues"]
+    rows = [(DAY, "a.pdf", "1", None), (DAY, "b.pdf", "0", None), (DAY + datetime.timedelta(1), None, "2", None), (DAY + datetime.timedelta(1), "c.pdf", "3", None)]
+    incoming = spark.createDataFrame(rows, "issue_date date, filename string, pdf_sha256 string, created_at timestamp")
+    new, changed = store.upsert_issues(issues, incoming)
+    assert sorted((r.id, r.issue_date, r.filename) for r in new.collect()) == [(1, DAY, "b.pdf"), (2, DAY + datetime.timedelta(1), "c.pdf")]
+    assert [r.id for r in changed.collect()] == [1]
+    undated = spark.createDataFrame([(None, "x.pdf", "1", None)], incoming.schema)
+    with pytest.raises(Exception, match="no issue date for x.pdf"):
+        store.upsert_issues(issues, undated)[0].collect()
+
+
+def test_ids_go_on_by_block(spark):
+    old = spark.createDataFrame([(7,)], "id bigint")
+    new = spark.createDataFrame([(2, "b"), (1, "z"), (2, "a"), (None, "n")], "block bigint, name string")
+    got = {r.name: r.id for r in store.numbered(new, old, F.col("block"), ["name"]).collect()}
+    assert got == {"n": 8, "z": 9, "a": 10, "b": 11}
+
+
+def test_store_writes_touched_parts_and_refuses_a_second_writer(spark, tmp_path):
+    first = store.Store(spark, f"file://{tmp_path}/db")
+    first.init()
+    rows = spark.createDataFrame([(i, i % 3) for i in range(1, 10)], "id bigint, issue_id bigint")
+    articles = first.table("articles").unionByName(rows, allowMissingColumns=True)
+    first.commit({"articles": articles})
+    before = dict(first.paths)
+    first.commit({"articles": first.table("articles", [1]).filter("id > 1")}, [1, 5])
+    changed = {part for (name, part), to in first.paths.items() if before.get((name, part)) != to}
+    assert changed == {"1", "5"} and sorted(r.id for r in first.table("articles").collect()) == [2, 3, 4, 5, 6, 7, 8, 9]
+    first.commit({"articles": first.table("articles", [2]).limit(0)}, [2])
+    assert sorted(r.id for r in store.Store(spark, first.folder).table("articles").collect()) == [3, 4, 6, 7, 9]
+    second = store.Store(spark, first.folder)
+    second.refresh()
+    second.refresh = lambda: None  # what it read before the other's change
+    first.commit({"articles": first.table("articles", [0]).limit(0)}, [0])
+    with pytest.raises(store.Conflict):
+        second.commit({"articles": rows.limit(0)}, [1])
 
 
 # ---- search ----
@@ -193,7 +234,7 @@ def test_lax_values():
 
 def test_fallback_and_quota():
     def limited(_):
-        raise enrich.RateLimited
+        raise calls.RateLimited
 
     def broken(_):
         raise OSError
@@ -205,11 +246,58 @@ def test_fallback_and_quota():
         return "```json\n{\"items\": []}\n```" if len(messages) > 2 else "{"
 
     m = [{"role": "system", "content": ""}, {"role": "user", "content": ""}]
-    assert enrich.Providers((("a", limited), ("b", repaired))).structured(m, enrich.check_batch) == ([], "b") and asked == [2, 4]
-    with pytest.raises(enrich.QuotaExhausted):
-        enrich.Providers((("a", limited),)).run(m)
-    with pytest.raises(enrich.CallFailed):
-        enrich.Providers((("a", limited), ("b", broken))).run(m)
+    got = calls.Providers((("a", limited), ("b", repaired))).checked(m, enrich.check_batch)
+    assert (got.status, got.value, got.provider) == ("done", [], "b") and asked == [2, 4] and len(m) == 2
+    assert calls.Providers((("b", repaired),), repairs=0).checked(m, enrich.check_batch).status == "failed"
+    assert calls.Providers((("a", limited),)).text(m).status == "quota" and calls.Providers(()).text(m).status == "failed"
+    failed = calls.Providers((("a", limited), ("b", broken))).text(m)
+    assert failed.status == "failed" and "b: broken OSError" in failed.error
+    assert enrich.reply(calls.Providers((("c", lambda m: m[1]["content"] + "!"),)), "s", "hi").value == "hi!"
+
+
+def test_chain_by_name():
+    known = {"x": str, "y": repr}
+    assert [n for n, _ in calls.Providers.named(" y ,x,", known).chain] == ["y", "x"] and [n for n, _ in calls.Providers.named("", known, 4.0).chain] == ["x", "y"]
+    with pytest.raises(KeyError, match="z"):
+        calls.Providers.named("x, z", known)
+
+
+def test_calls_are_spaced():
+    now, slept = [100.0], []
+    limiter = calls.Limiter(4.0, lambda: now[0], slept.append)
+    for provider, at in (("a", 100.0), ("b", 101.0), ("a", 101.0), ("a", 110.0), ("a", 110.0)):
+        now[0] = at
+        limiter.rest(provider)
+    assert slept == [3.0, 4.0]
+
+
+def test_used_up_quota_ends_a_lane(spark):
+    import tempfile
+
+    log = tempfile.NamedTemporaryFile(delete=False).name
+
+    def some(messages):
+        with open(log, "a") as f:
+            f.write(messages[-1]["content"])
+        if messages[-1]["content"] == "c":
+            raise calls.RateLimited
+        return "{}"
+
+    table = spark.createDataFrame([(i, u, i) for i, u in enumerate("abcdef")], "key bigint, user string, order int").repartition(4)
+    got = calls.ask(table, calls.Providers((("p", some),)), "s", lambda x: None, "string").toPandas()
+    assert got.sort_values("key")["status"].tolist() == ["done", "done", *["quota"] * 4] and open(log).read() == "abc"
+
+
+@pytest.mark.parametrize("text", ['{"a": 1}', ' ```json\n{"a": 1}\n``` ', '```\n{"a": 1}```', '```json {"a": 1}'])
+def test_fences(spark, text):
+    assert json.loads(calls.unfenced(text)) == {"a": 1}
+    assert spark.createDataFrame([(text,)], "t string").select(calls.parsed(F.col("t"), "a int").alias("x")).first().x.a == 1
+
+
+def test_forms_say_what_checks_let_through():
+    assert enrich.BATCH_FORM["properties"]["items"]["items"]["required"] == ["id", "relevant", "category", "score", "reason"]
+    assert set(enrich.EXTRACTION_FORM["required"]) == {"summary", "key_points", "exam_relevance", "evidence"}
+    assert "maxLength" in calls.instructed("s", enrich.EXTRACTION_FORM)
 
 
 def test_classify_batches(spark):
@@ -217,10 +305,10 @@ def test_classify_batches(spark):
 
     def some(messages):
         if "[7]" not in messages[-1]["content"]:
-            raise enrich.RateLimited
+            raise calls.RateLimited
         return json.dumps({"items": [item(0, score=0.3), item(1), item(1, category="economy"), item(99)]})
 
-    got = {r.id: r for r in enrich.classify(rows, enrich.Providers((("p", some),)), "s").collect()}
+    got = {r.id: r for r in enrich.classify(rows, calls.Providers((("p", some),)), "s").collect()}
     assert got[1].status == "done" and not got[1].relevant and got[2].category == "economy" and got[3].status == "failed" and got[9].status == "quota"
 
 
@@ -239,7 +327,7 @@ def test_ingest_twice(spark, tmp_path):
         [("f", 1, 0, 40.0, 30.0, 500.0, 45.0, "CHENNAI, FRIDAY, NOVEMBER 8, 2019", 8.0, False, 33), ("f", 1, 1, 40.0, 60.0, 500.0, 82.0, "Court protects the privacy", 20.0, False, 26), ("f", 1, 2, 40.0, 100.0, 540.0, 300.0, words, 9.0, False, len(words))],
         schemas.BLOCKS,
     )
-    pages = spark.createDataFrame([("f", 1, 595.0, 842.0)], schemas.PAGES)
+    pages = spark.createDataFrame([("f", 1, 595.0, 842.0), ("f", 2, 595.0, 842.0)], schemas.PAGES)
     files = spark.createDataFrame([("f", "f.pdf", "sha1")], "issue string, filename string, pdf_sha256 string")
     log = tmp_path / "calls"
 
@@ -253,18 +341,43 @@ def test_ingest_twice(spark, tmp_path):
             f.write("e")
         return json.dumps({"summary": "14 cases", "key_points": [], "exam_relevance": "x", "evidence": [{"quote": "Article 21 protects privacy and bail"}]})
 
-    models = ingest.Models(enrich.Providers((("c", classify),)), enrich.Providers((("e", extract),)), lambda texts: [[0.1234567, 1.0]] * len(texts))
+    models = ingest.Models({"other": lambda _: "", "c": classify, "e": extract}, {"none": lambda _: None, "v": lambda texts: [[0.1234567, 1.0]] * len(texts)})
+    settings, steps = Settings(provider_chain="e", classify_chain="c", embed_model="v", embed_dim=2, min_interval_sec=0.0), []
     for _ in range(2):
-        stats = ingest.process(db, files, pages, blocks, models, Settings(embed_dim=2)).first()
+        stats = ingest.process(db, files, pages, blocks, models, settings, progress=lambda *x: steps.append(x)).first()
         assert (stats.issue_date, stats.status, stats.articles, stats.passed_prefilter, stats.relevant, stats.extracted) == (DAY, "done", 1, 1, 1, 1)
     assert log.read_text() == "ce"  # the second run finds nothing left to ask
+    assert steps == [(n, k, k) for k in (1, 0) for n in ("segmented", "prefilter", "classify", "extract", "embed")][:5] + [("segmented", 1, 1), *((n, 0, 0) for n in ("prefilter", "classify", "extract", "embed"))]
+    assert db.table("issues").first().note == "1 page(s) without text, which would need OCR: 2"
     e = db.table("extractions").first()
     assert e.validation_status == "verified" and e.embedding == pytest.approx([0.123457, 1.0])
     card = reports.brief(search.cards(db.table("articles"), db.table("issues"), db.table("extractions"))).first()
     assert card.seq == 1 and card.headline == "Court protects the privacy"
     changed = files.withColumn("pdf_sha256", F.lit("sha2"))
-    assert ingest.process(db, changed, pages, blocks, models, Settings(embed_dim=2)).first().extracted == 1
+    assert ingest.process(db, changed, pages, blocks, models, settings).first().extracted == 1
     assert log.read_text() == "cece" and Layout().min_words == 20
+    strict = Settings(provider_chain="e", min_interval_sec=0.0, prefilter_min_score=99.0, embeddings_enabled=False)
+    again = files.withColumn("pdf_sha256", F.lit("sha3"))
+    assert ingest.process(db, again, pages, blocks, models, strict).first().passed_prefilter == 0 and log.read_text() == "cece"
+    with pytest.raises(ValueError, match="no issue date for g.pdf"):
+        ingest.process(db, spark.createDataFrame([("g", "g.pdf", "x")], files.schema), pages, blocks, models, settings)
+    assert db.table("issues").count() == 1
+
+
+def test_used_up_quota_is_noted(spark, tmp_path):
+    db = store.Store(spark, f"file://{tmp_path}/db")
+    db.init()
+
+    def limited(_):
+        raise calls.RateLimited
+
+    words = "The Supreme Court held that privacy and bail matter. " * 5
+    blocks = spark.createDataFrame([("f", 1, 0, 40.0, 60.0, 500.0, 82.0, "Court protects the privacy", 20.0, False, 26), ("f", 1, 1, 40.0, 100.0, 540.0, 300.0, words, 9.0, False, len(words))], schemas.BLOCKS)
+    pages = spark.createDataFrame([("f", p, 595.0, 842.0) for p in (1, 2, 3)], schemas.PAGES)
+    files = spark.createDataFrame([("f", "f.pdf", "s", DAY)], "issue string, filename string, pdf_sha256 string, issue_date date")
+    stats = ingest.process(db, files, pages, blocks, ingest.Models({"p": limited}), Settings(min_interval_sec=0.0)).first()
+    assert stats.status == "partial" and stats.note == f"2 page(s) without text, which would need OCR: 2, 3; {ingest.QUOTA_NOTE}"
+    assert db.table("articles").first().classify_status == "pending"
 
 
 def test_labels_round_trip(spark, tmp_path):
