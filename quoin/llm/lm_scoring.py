@@ -14,8 +14,8 @@ adds up trigrams and their pairs at once. The bucket answers what other chunks a
 buckets as the corpus needs for each to be small, and a task holds one at a time. So a frequent n-gram moves one
 entry a chunk, and nothing about single n-grams reaches the driver: it gets four sums, and for each order a
 histogram whose bins (context bucket, log likelihood ratio in 64ths of a bit) are bounded by the numbers' range and
-hold mean ratios. Words are told apart by 64 bits, pairs by 56, the words before a pair by 32: of n different pairs
-about one in 2^57 / n shares its counts with another.
+hold mean ratios. Words are told apart by 64 bits, pairs by 48, the words before a pair by 24 more: of n different
+pairs about one in 2^49 / n shares its counts with another, of n words before one pair one in 2^25 / n.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ class Interpolation:
     dev_fold: int = 1
     buckets: int = 48
     rounds: int = 200
-    chunk_bytes: int = 6 << 20
+    chunk_bytes: int = 4 << 20
     task_bytes: int = 12 << 20  # counts that one task is to read, at about eight bytes a token
     base_add: float = 0.1
 
@@ -81,7 +81,7 @@ def _unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
 
 
-KEY_BITS = {1: 64, 2: 56}
+KEY_BITS, BEFORE_BITS = {1: 64, 2: 48}, 24
 ODD = np.uint64(0x9FB21C651E98DF25)  # a fixed multiplier
 
 
@@ -92,6 +92,15 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _pack_befores(befores: np.ndarray) -> bytes:
+    return np.ascontiguousarray(befores.view(np.uint8).reshape(-1, 4)[:, : BEFORE_BITS // 8]).tobytes()
+
+
+def _unpack_befores(raw: bytes) -> np.ndarray:
+    kept = np.frombuffer(raw, np.uint8).reshape(-1, BEFORE_BITS // 8)
+    return np.ascontiguousarray(np.pad(kept, ((0, 0), (0, 4 - BEFORE_BITS // 8)))).view("<u4").reshape(-1)
+
+
 def chunks(docs: DataFrame, p: Interpolation) -> DataFrame:
     """Documents as arrays of word codes with the hashes of the words; a chunk is about chunk_bytes of text."""
 
@@ -193,7 +202,7 @@ class Chunk:
         pair = _mixed(self.hash[context], self.hash[self.token]) >> np.uint64(64 - KEY_BITS[2])
         keys, at = np.unique(pair, return_inverse=True)
         word = self.hash[self.before(context, self.start)]
-        word = _mixed(word, keys[at]) >> np.uint64(32)
+        word = _mixed(word, keys[at]) >> np.uint64(64 - BEFORE_BITS)
         found, place = np.unique(at.astype(np.uint64) << np.uint64(32) | word, return_inverse=True)
         sizes = np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=keys.size)
         return Trigrams(keys, at, sizes, found.astype(np.uint32), place, *self._counts(place, found.size))
@@ -257,7 +266,7 @@ def exchange(rows: DataFrame, p: Interpolation) -> Counts:
                         out.append(
                             {
                                 "part": bucket * parts >> bits, "bucket": bucket, "chunk": row["chunk"], "ord": ord_, "keys": _pack_keys(ks[x:y]), "sizes": _pack(sizes[x:y]) if ord_ == 2 else None,
-                                "befores": befores[a:b].tobytes() if ord_ == 2 else None, "main": _pack(main[a:b]), "dev": _pack(dev[a:b]),
+                                "befores": _pack_befores(befores[a:b]) if ord_ == 2 else None, "main": _pack(main[a:b]), "dev": _pack(dev[a:b]),
                             }
                         )
                 if out:
@@ -294,7 +303,7 @@ def _answers(sent: list[dict]) -> list[dict]:
         levels, n_entries = [(at, distinct.size, main, dev, n_keys)], n_keys
     else:
         each = np.concatenate([_unpack(r["sizes"], np.uint32) for r in sent]).astype(np.int64)
-        befores = [np.frombuffer(r["befores"], np.uint32) for r in sent]
+        befores = [_unpack_befores(r["befores"]) for r in sent]
         n_entries = [b.size for b in befores]
         found, place = np.unique(np.repeat(at, each).astype(np.uint64) << np.uint64(32) | np.concatenate(befores), return_inverse=True)
         begins = np.cumsum(each) - each
