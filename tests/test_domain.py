@@ -1,10 +1,12 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quoin import schemas
+from quoin.functions.similarity import token_set_ratio
 from quoin.operators import calls, dedup, enrich, evaluate, grounding, prefilter, reports, search, store
 from quoin.operators.layout import Layout
 from quoin.plans import ingest
@@ -30,6 +32,42 @@ def test_story_on_two_pages(spark):
     assert set(grouped(spark, [short, short, ("", None, 3, None), ("", "", 4, None)])) == {0, 2, 3}  # no words: like nothing
 
 
+def plain_groups(rows):
+    """One story after another, longest first: (headline, body, page, date) to the pages that join a kept one."""
+    kept, pages = [], {}
+    for i in sorted(range(len(rows)), key=lambda i: (-len(rows[i][1] or ""), i)):
+        like = lambda k: rows[i][3] == rows[k][3] and all(token_set_ratio(a, b) >= 80 for a, b in ((rows[i][0], rows[k][0]), ((rows[i][1] or "")[:300], (rows[k][1] or "")[:300])))  # noqa: B023,E731
+        to = next((k for k in kept if like(k)), None)
+        if to is None:
+            kept.append(i)
+        pages.setdefault(i if to is None else to, []).extend([] if to is None else [rows[i][2]])
+    return {k: sorted(pages[k]) for k in kept}
+
+
+def test_groups_against_plain_rules(spark):
+    rng = random.Random(11)
+    some = "court privacy verdict bail rain monsoon coast election rates bank growth the of in and a".split()
+    rows = []
+    for i in range(260):
+        if i % 3 and rows:
+            head, body, _, day = rng.choice(rows)
+            head, body = head.split(), body.split()
+            for ws in (head, body):
+                for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                    if ws:
+                        ws[rng.randrange(len(ws))] = rng.choice([*some, "privacyx", "courts"])
+            head, body = " ".join(head), " ".join(body[: rng.choice([None, None, 12])])
+        else:
+            head, body, day = " ".join(rng.choices(some, k=rng.randint(1, 9))), " ".join(rng.choices(some, k=rng.randint(0, 90))), rng.choice([DAY, DAY, DAY + datetime.timedelta(1), None])
+        rows.append((head, body, rng.randint(1, 20), day))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, headline string, body string, page_no int, issue_date date").repartition(3)
+    wanted = plain_groups(rows)
+    assert 30 < len(wanted) < 200
+    for block in (1024, 16):
+        got = {r.id: r.also_on_pages for r in dedup.group_duplicates(df, ["id"], dedup.Duplicates(block=block)).collect()}
+        assert got == wanted
+
+
 # ---- prefilter ----
 def gate(spark, headline, body, section=None, least=0.0):
     df = spark.createDataFrame([(headline, body, section)], "headline string, body string, section string")
