@@ -14,8 +14,8 @@ adds up trigrams and their pairs at once. The bucket answers what other chunks a
 buckets as the corpus needs for each to be small, and a task holds one at a time. So a frequent n-gram moves one
 entry a chunk, and nothing about single n-grams reaches the driver: it gets four sums, and for each order a
 histogram whose bins (context bucket, log likelihood ratio in 64ths of a bit) are bounded by the numbers' range and
-hold mean ratios. Words are told apart by 64 bits, pairs by 48, the words before a pair by 24 more: of n different
-pairs about one in 2^49 / n shares its counts with another, of n words before one pair one in 2^25 / n.
+hold mean ratios. Words and pairs are told apart by 48 bits, the words before a pair by 24 more: of n different words
+or pairs about one in 2^49 / n shares its counts with another, of n words before one pair one in 2^25 / n.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from quoin.llm.common import DOCUMENTS, cut, pick, read
 from quoin.llm.lookup import Lookup
 
 HELD, DEV, MAIN = 0, 1, 2
-END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values, no word's hash but by chance
+END, START = np.uint64(0x9E3779B97F4A), np.uint64(0xC2B2AE3D27D4)  # fixed values, no word's hash but by chance
 CHUNKS = "chunk bigint, tokens bigint, doc_ids binary, valid binary, fold binary, n_words binary, hashes binary, codes binary"
 COUNTS = "part int, bucket bigint, chunk bigint, ord bigint, keys binary, sizes binary, befores binary, main binary, dev binary"
 TOTALS = "key bigint, ord bigint, bucket bigint, main binary, dev binary, n_main bigint, n_dev bigint, v_main bigint, v_all bigint"
@@ -48,7 +48,7 @@ class Interpolation:
     dev_fold: int = 1
     buckets: int = 48
     rounds: int = 200
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 8 << 20
     task_bytes: int = 12 << 20  # counts that one task is to read, at about eight bytes a token
     base_add: float = 0.1
 
@@ -81,7 +81,7 @@ def _unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
 
 
-KEY_BITS, BEFORE_BITS = {1: 64, 2: 48}, 24
+KEY_BITS, BEFORE_BITS = {1: 48, 2: 48}, 24
 ODD = np.uint64(0x9FB21C651E98DF25)  # a fixed multiplier
 
 
@@ -92,13 +92,14 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _pack_befores(befores: np.ndarray) -> bytes:
-    return np.ascontiguousarray(befores.view(np.uint8).reshape(-1, 4)[:, : BEFORE_BITS // 8]).tobytes()
+def _pack_low(values: np.ndarray, bits: int) -> bytes:
+    """The lowest `bits` of each value: hashes, which no compression makes smaller."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize)[:, : bits // 8]).tobytes()
 
 
-def _unpack_befores(raw: bytes) -> np.ndarray:
-    kept = np.frombuffer(raw, np.uint8).reshape(-1, BEFORE_BITS // 8)
-    return np.ascontiguousarray(np.pad(kept, ((0, 0), (0, 4 - BEFORE_BITS // 8)))).view("<u4").reshape(-1)
+def _unpack_low(raw: bytes, bits: int, kind) -> np.ndarray:
+    kept = np.frombuffer(raw, np.uint8).reshape(-1, bits // 8)
+    return np.ascontiguousarray(np.pad(kept, ((0, 0), (0, np.dtype(kind).itemsize - bits // 8)))).view(kind).reshape(-1)
 
 
 def chunks(docs: DataFrame, p: Interpolation) -> DataFrame:
@@ -116,7 +117,7 @@ def chunks(docs: DataFrame, p: Interpolation) -> DataFrame:
             before = np.concatenate([[0], np.cumsum(word)])
             offsets = before[offsets - offsets[0]]
             coded = flat.filter(pa.array(word)).dictionary_encode()
-            hashes = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+            hashes = np.fromiter(map(xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)) >> np.uint64(64 - KEY_BITS[1])
             row = {
                 "chunk": (part << 24) + seq,
                 "tokens": int(offsets[-1]) + len(ids),
@@ -124,7 +125,7 @@ def chunks(docs: DataFrame, p: Interpolation) -> DataFrame:
                 "valid": np.array([i is not None for i in ids], np.uint8).tobytes(),
                 "fold": np.array([fold_of(i, p) for i in ids], np.uint8).tobytes(),
                 "n_words": np.diff(offsets).astype(np.int64).tobytes(),
-                "hashes": hashes.tobytes(),
+                "hashes": _pack_low(hashes, KEY_BITS[1]),
                 "codes": _pack(np.asarray(coded.indices).astype(np.uint32)),
             }
             seq += 1
@@ -161,7 +162,7 @@ class Chunk:
     def __init__(self, row: dict):
         self.doc_ids, self.valid = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["valid"], np.uint8)
         self.fold, n = np.frombuffer(row["fold"], np.uint8), np.frombuffer(row["n_words"], np.int64)
-        self.hash = np.concatenate([np.frombuffer(row["hashes"], np.uint64), [END, START]])
+        self.hash = np.concatenate([_unpack_low(row["hashes"], KEY_BITS[1], np.uint64), [END, START]])
         self.end, self.start = self.hash.size - 2, self.hash.size - 1
         codes = _unpack(row["codes"], np.uint32)
         self.n_tokens = n + 1
@@ -266,7 +267,7 @@ def exchange(rows: DataFrame, p: Interpolation) -> Counts:
                         out.append(
                             {
                                 "part": bucket * parts >> bits, "bucket": bucket, "chunk": row["chunk"], "ord": ord_, "keys": _pack_keys(ks[x:y]), "sizes": _pack(sizes[x:y]) if ord_ == 2 else None,
-                                "befores": _pack_befores(befores[a:b]) if ord_ == 2 else None, "main": _pack(main[a:b]), "dev": _pack(dev[a:b]),
+                                "befores": _pack_low(befores[a:b], BEFORE_BITS) if ord_ == 2 else None, "main": _pack(main[a:b]), "dev": _pack(dev[a:b]),
                             }
                         )
                 if out:
@@ -303,7 +304,7 @@ def _answers(sent: list[dict]) -> list[dict]:
         levels, n_entries = [(at, distinct.size, main, dev, n_keys)], n_keys
     else:
         each = np.concatenate([_unpack(r["sizes"], np.uint32) for r in sent]).astype(np.int64)
-        befores = [_unpack_befores(r["befores"]) for r in sent]
+        befores = [_unpack_low(r["befores"], BEFORE_BITS, np.uint32) for r in sent]
         n_entries = [b.size for b in befores]
         found, place = np.unique(np.repeat(at, each).astype(np.uint64) << np.uint64(32) | np.concatenate(befores), return_inverse=True)
         begins = np.cumsum(each) - each
@@ -365,6 +366,18 @@ def _estimate(count: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 
 NEVER = -(1 << 20)
+RARE, NO_CHANCE = 1024, 65535  # held-out estimates are kept as parts of a bit, in two bytes
+
+
+def _as_bits(p: np.ndarray) -> np.ndarray:
+    bits = np.rint(-RARE * np.log2(p, out=np.zeros(p.size), where=p > 0))
+    return np.where(p > 0, np.minimum(bits, NO_CHANCE - 1), NO_CHANCE).astype(np.uint16)
+
+
+def _from_bits(bits: np.ndarray) -> np.ndarray:
+    return np.where(bits < NO_CHANCE, np.exp2(-bits.astype(np.float64) / RARE), 0.0)
+
+
 HELD_OUT = "bucket3 binary, bucket2 binary, p3 binary, p2 binary, p1 binary"
 
 
@@ -378,7 +391,7 @@ def held_out(rows: DataFrame, counts: Counts, n: int, p: Interpolation) -> DataF
             if dev.any():
                 c3, context3, c2, context2, c1 = (x[dev] for x in _known(chunk, counts, row["chunk"], scored=False))
                 found = (_context_bucket(context3, p).astype(np.uint8), _context_bucket(context2, p).astype(np.uint8))
-                found += tuple(x.astype(np.float32) for x in (_estimate(c3, context3), _estimate(c2, context2), c1 / max(n, 1)))
+                found += tuple(map(_as_bits, (_estimate(c3, context3), _estimate(c2, context2), c1 / max(n, 1))))
                 yield pa.RecordBatch.from_pylist([dict(zip(("bucket3", "bucket2", "p3", "p2", "p1"), map(_pack, found), strict=True))])
 
     return cut(rows.mapInArrow(tokens, HELD_OUT))
@@ -398,7 +411,7 @@ def histogram(held: DataFrame, order: int, weights: list[np.ndarray], p0: float)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            estimates = [_unpack(row[c], np.float32).astype(np.float64) for c in ("p1", "p2", "p3")]
+            estimates = [_from_bits(_unpack(row[c], np.uint16)) for c in ("p1", "p2", "p3")]
             buckets = [np.zeros(estimates[0].size, np.uint8), *(_unpack(row[c], np.uint8) for c in ("bucket2", "bucket3"))]
             own = estimates[order - 1]
             ratio = np.log2(own / _mixture(weights, p0, buckets, estimates), out=np.zeros(own.size), where=own > 0)
