@@ -48,7 +48,7 @@ class Interpolation:
     dev_fold: int = 1
     buckets: int = 48
     rounds: int = 200
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 5 << 20
     task_bytes: int = 12 << 20  # counts that one task is to read, at about eight bytes a token
     base_add: float = 0.1
 
@@ -173,13 +173,15 @@ class Chunk:
         self.token = np.empty(is_last.size, np.int32)
         self.token[is_last], self.token[~is_last] = self.end, codes
         self.of = np.repeat(self.fold, self.n_tokens)
-        self.row = np.repeat(np.arange(n.size), self.n_tokens)
+        self.row = np.repeat(np.arange(n.size, dtype=np.int32), self.n_tokens)
 
     def own(self, place: np.ndarray) -> np.ndarray:
         """How often each token's n-gram, given by its place, comes in its row; 0 in held-out rows, which count
         nowhere."""
-        _, at, each = np.unique(self.row << 32 | place, return_inverse=True, return_counts=True)
-        return np.where(self.of == HELD, 0, each[at])
+        _, at, each = np.unique(self.row.astype(np.int64) << 32 | place, return_inverse=True, return_counts=True)
+        out = each.astype(np.int32)[at]
+        out[self.of == HELD] = 0
+        return out
 
     def before(self, of: np.ndarray, first) -> np.ndarray:
         """Of each token what `of` holds for the one before it, and `first` at a sequence's start."""
