@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,30 +32,19 @@ _SLICE_BYTES = 10 << 20
 _BLOCK = 512
 
 
-class _Cache:
-    """The ids of chunks, in a flat pool, found by Arrow's hash lookup. `before` is put before each chunk. With
-    `blank`, what stands between two chunks, new ones are encoded many to a text, with a mark after each."""
-
-    MARK = "\x01"
+class _Generation:
+    """Chunks with their ids, which lie in a flat pool."""
 
-    def __init__(self, tokenizer, before: str, most: int, blank: str | None = None):
-        self.tokenizer, self.before, self.most, self.blank = tokenizer, before, most, blank
-        self.mark = tokenizer.encode((blank or "") + self.MARK, add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = pa.array([], pa.large_string())
+    def __init__(self):
+        self.slot: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > self.most:
-            self._clear()
-        found = pc.index_in(chunks, value_set=self.keys)
-        if found.null_count:
-            self._add(chunks.filter(pc.is_null(found)).unique())
-            found = pc.index_in(chunks, value_set=self.keys)
-        slots = np.asarray(found)
+    def slots(self, chunks: list[str]) -> np.ndarray:
+        """Their places, -1 for those that are not here."""
+        return np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.length[slots]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if ends.size else 0  # a slice has fewer than 2^31 ids
@@ -63,20 +52,53 @@ class _Cache:
         at += np.arange(total, dtype=np.int32)
         return self.pool[at], lengths
 
-    def _add(self, new: pa.Array) -> None:
-        first, at = len(self.keys), self.used
-        found = [self._together(new.slice(i, _BLOCK).to_pylist()) for i in range(0, len(new), _BLOCK)]
-        flat, lengths = (np.concatenate([f[i] for f in found]) for i in range(2))
-        while at + flat.size > self.pool.size:
+    def add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        first, at = len(self.slot), self.used
+        while at + ids.size > self.pool.size:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while first + len(new) > self.start.size:
+        while first + len(chunks) > self.start.size:
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.pool[at : at + flat.size] = flat
-        self.start[first : first + len(new)] = at + np.cumsum(lengths) - lengths
-        self.length[first : first + len(new)] = lengths
-        self.used += flat.size
-        self.keys = pa.concat_arrays([self.keys, new])
+        self.pool[at : at + ids.size] = ids
+        self.start[first : first + len(chunks)] = at + np.cumsum(lengths) - lengths
+        self.length[first : first + len(chunks)] = lengths
+        self.used += ids.size
+        self.slot.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        return np.arange(first, first + len(chunks))
+
 
+class _Cache:
+    """The ids of chunks in two generations: when the young one holds `most`, it becomes the old one, from which
+    chunks that come again are taken over, so that frequent ones stay. `before` is put before each chunk. With
+    `blank`, what stands between two chunks, new ones are encoded many to a text, with a mark after each."""
+
+    MARK = "\x01"
+
+    def __init__(self, tokenizer, before: str, most: int, blank: str | None = None):
+        self.tokenizer, self.before, self.most, self.blank = tokenizer, before, most, blank
+        self.mark = tokenizer.encode((blank or "") + self.MARK, add_special_tokens=False).ids
+        self.young, self.old = _Generation(), _Generation()
+
+    def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        coded = chunks.dictionary_encode()
+        slots = self._slots(coded.dictionary.to_pylist())
+        return self.young.ids(slots[np.asarray(coded.indices)])
+
+    def _slots(self, chunks: list[str]) -> np.ndarray:
+        """Of distinct chunks, all of which the young generation then has."""
+        if len(self.young.slot) > self.most:
+            self.old, self.young = self.young, _Generation()
+        slots = self.young.slots(chunks)
+        absent = np.flatnonzero(slots < 0)
+        if absent.size:
+            names = [chunks[i] for i in absent.tolist()]
+            before = self.old.slots(names)
+            known = before >= 0
+            slots[absent[known]] = self.young.add([names[i] for i in np.flatnonzero(known).tolist()], *self.old.ids(before[known]))
+            new = [names[i] for i in np.flatnonzero(~known).tolist()]
+            if new:
+                parts = [self._together(new[i : i + _BLOCK]) for i in range(0, len(new), _BLOCK)]
+                slots[absent[~known]] = self.young.add(new, *(np.concatenate([p[i] for p in parts]) for i in range(2)))
+        return slots
 
     def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.before + c for c in chunks], add_special_tokens=False)]
@@ -101,9 +123,9 @@ class _Cache:
 
 
 class ChunkEncoder:
-    """A cache that holds `most` chunks is emptied, which costs time only."""
+    """`most` chunks are kept, and as many that were kept before."""
 
-    def __init__(self, path: str, split: str, most: int = 600_000):
+    def __init__(self, path: str, split: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         if split not in ("space", "blank", "none"):
