@@ -58,13 +58,22 @@ def norm(c: Column, unify: bool = True) -> Column:
     return _tidy(nfkc(c) if unify else c)
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)`, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def pop_marker(c: Column, pattern: str) -> tuple[Column, Column]:
     """The page number of the first marker (null without one), and the text with it replaced by a space."""
-    found = F.regexp_extract(c, pattern, 0)
-    page = F.when(found != "", F.try_to_number(F.regexp_extract(c, pattern, 1), F.lit("999999999")).cast("int"))
-    at = F.instr(c, found)
-    rest = F.concat(F.substr(c, F.lit(1), at - 1), F.lit(" "), F.substr(c, at + F.length(found), F.lit(2147483647)))
-    return page, F.when(found != "", strip(rest)).otherwise(c)
+
+    def cut(t: Column, found: Column) -> Column:
+        at = F.instr(t, found)
+        rest = F.concat(F.substr(t, F.lit(1), at - 1), F.lit(" "), F.substr(t, at + F.length(found), F.lit(2147483647)))
+        page = F.try_to_number(F.regexp_extract(found, pattern, 1), F.lit("999999999")).cast("int")
+        return F.struct(F.when(found != "", page).alias("page"), F.when(found != "", strip(rest)).otherwise(t).alias("rest"))
+
+    popped = let(c, lambda t: let(F.regexp_extract(t, pattern, 0), lambda found: cut(t, found)))
+    return popped["page"], popped["rest"]
 
 
 def section_of(top_text: Column) -> Column:

@@ -21,6 +21,35 @@ def present_exact(needle: Column, hay: Column) -> Column:
     return F.coalesce((needle != "") & hay.contains(needle), F.lit(False))
 
 
+def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """texts: id and text; passages: item_id and needle; both normalised. id and item_id of every passage that a text
+    holds verbatim, which may begin and end within words.
+
+    Both sides meet by an equal key before they are compared. A passage of three words or more is keyed by up to
+    three of its inner words, which any text that holds it has as whole words; a shorter one by its first three
+    characters. Texts give only keys of the sizes that passages have."""
+    words = F.split("needle", " ")
+    inner = F.least(F.size(words) - 2, F.lit(3))
+    long = F.size(words) > 2
+    keyed = passages.filter("needle <> ''").withColumn("_words", F.when(long, inner).otherwise(0)).withColumn("_chars", F.when(long, 0).otherwise(F.least(F.length("needle"), F.lit(3))))
+    keyed = keyed.withColumn("_key", F.when(long, F.array_join(F.slice(words, F.lit(2), inner), " ")).otherwise(F.left("needle", F.lit(3))))
+    sizes = [(r._words, r._chars) for r in keyed.select("_words", "_chars").distinct().collect()]  # six at most
+    if not sizes:
+        return texts.select("id").crossJoin(passages.select("item_id")).limit(0)
+
+    def keys(text: Column, ws: Column, size: int, chars: int) -> Column:
+        last = (F.length(text) if chars else F.size(ws)) - (size or chars) + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        found = F.transform(starts, (lambda i: F.substr(text, i, F.lit(chars))) if chars else (lambda i: F.array_join(F.slice(ws, i, size), " ")))
+        return F.transform(F.array_distinct(found), lambda k: F.struct(F.lit(size).alias("_words"), F.lit(chars).alias("_chars"), k.alias("_key")))
+
+    # outer, as an inner one would have every key of a text worked out once more, to see whether there is any
+    every = T.let(F.col("text"), lambda t: T.let(F.split(t, " "), lambda ws: F.concat(*(keys(t, ws, *s) for s in sizes))))
+    dealt = texts.select("id", F.explode_outer(every).alias("k")).select("id", "k.*")
+    near = dealt.join(keyed, ["_words", "_chars", "_key"]).select("id", "item_id", "needle").join(texts, "id")
+    return near.filter(present_exact(F.col("needle"), F.col("text"))).select("id", "item_id").distinct()
+
+
 def present_in(needle: str, hay: str, cut: float) -> bool:
     if not needle:
         return False

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+
+from quoin.operators.dedup import group_duplicates
 
 # English words that say nothing alone.
 STOPWORDS = frozenset(
@@ -60,9 +60,26 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [stem(w) for w in ws])
+def stem_of(w: Column) -> Column:
+    """The same in the JVM, for a word in lower case."""
+    singular = F.when((F.length(w) > 4) & w.endswith("ies"), F.concat(F.left(w, F.length(w) - 3), F.lit("y")))
+    singular = singular.when((F.length(w) > 4) & w.rlike("(?:s|x|z|ch|sh)es$"), F.left(w, F.length(w) - 2))
+    singular = singular.when((F.length(w) > 3) & w.endswith("s") & ~w.rlike("(?:ss|us|is)$"), F.left(w, F.length(w) - 1)).otherwise(w)
+
+    def undoubled(root: Column) -> Column:
+        last = F.right(root, F.lit(1))
+        twice = (F.length(root) > 3) & (last == F.substr(root, F.length(root) - 1, F.lit(1))) & ~last.isin("l", "s", "z")
+        return F.when(twice, F.left(root, F.length(root) - 1)).otherwise(root)
+
+    def verb(w: Column) -> Column:
+        out = None
+        for end in ("ing", "ed"):
+            root = F.left(w, F.length(w) - len(end))
+            fits = w.endswith(end) & (F.length(root) > 2) & root.rlike("[aeiouy]")
+            out = F.when(fits, undoubled(root)) if out is None else out.when(fits, undoubled(root))
+        return out.otherwise(w)
+
+    return F.transform(F.array(singular), verb)[0]
 
 
 def query_terms(query: str, stemmed: bool = True) -> list[str]:
@@ -77,7 +94,7 @@ def term_rank(rows: DataFrame, query: str, limit: int = 30, where: Column | None
     terms = query_terms(query, stemmed)
     found = rows.filter(F.lit(bool(terms))) if where is None else rows.filter(where & F.lit(bool(terms)))
     words = F.filter(F.split(F.lower(F.coalesce("search_text", F.lit(""))), r"(?U)[^\w]+"), lambda w: w != "")
-    words = _stems(words) if stemmed else words
+    words = F.transform(words, stem_of) if stemmed else words
     hits = F.size(F.filter(words, lambda w: w.isin(*(terms or [""]))))
     scored = found.select("id", hits.alias("hits")).filter("hits > 0").select("id", (F.col("hits") / 10.0).alias("score"))
     return _top(scored, F.desc("score"), limit)
@@ -130,6 +147,13 @@ def hybrid_search(rows: DataFrame, query: str, embed: Callable[[list[str]], list
     return in_order(rows, fuse(rankings, k))
 
 
+def grouped(hits: DataFrame) -> DataFrame:
+    """Hits, or a brief's cards, with near-duplicates as one, in their order (rank or seq). This comes after all
+    filters and the choice of hits, so there may be fewer."""
+    order = "rank" if "rank" in hits.columns else "seq"
+    return group_duplicates(hits, [order]).orderBy(order)
+
+
 NO_HITS = "No matching notes found."
 
 

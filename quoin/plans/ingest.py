@@ -49,9 +49,10 @@ def detect_dates(files: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.withColumn("issue_date", T.issue_date(F.col("p1"), F.col("p2"), F.col("filename"))).drop("p1", "p2")
 
 
-def segmented(pages: DataFrame, blocks: DataFrame, p: layout.Layout = layout.Layout()) -> DataFrame:
-    """Articles with content_hash, long enough, in order of page and headline."""
-    done = layout.long_enough(layout.stitch(layout.articles(pages, blocks, p), p), p)
+def segmented(found: DataFrame, p: layout.Layout = layout.Layout()) -> DataFrame:
+    """found: what `layout.articles` gives, written, since stitching reads it several times. Articles with
+    content_hash, long enough."""
+    done = layout.long_enough(layout.stitch(found, p), p)
     return done.withColumn("content_hash", T.content_hash(F.col("headline"), F.col("body")))
 
 
@@ -88,7 +89,7 @@ def process(db: store.Store, files: DataFrame, pages: DataFrame, blocks: DataFra
     def articles() -> DataFrame:
         return db.table("articles", ids)
 
-    raw = segmented(pages, blocks).join(dated, "issue").withColumnRenamed("page", "page_no")
+    raw = segmented(_written(db, layout.articles(pages, blocks))).join(dated, "issue").withColumnRenamed("page", "page_no")
     incoming = raw.select("issue_id", "page_no", "section", "headline", "body", "content_hash", "incomplete", "head")
     db.commit({"articles": store.insert_articles(articles(), incoming, ["page_no", "head"], db.table("articles")).drop("head")}, ids)
     progress("segmented", len(ids), len(ids))

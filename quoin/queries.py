@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin import schemas, views
+from quoin import schemas, twins, views
 from quoin.functions import text as T
 from quoin.functions.similarity import partial_ratio_udf, token_set_ratio_udf
 from quoin.operators import calls, dedup, enrich, evaluate, grounding, layout, prefilter, reports, search, store
@@ -179,16 +181,13 @@ def retention_victims(spark, d):
 
 
 @query("retention_cascade", ["extractions", "issues", "feedback"], """, kept AS (SELECT id FROM issues WHERE id IN (SELECT id FROM issues ORDER BY issue_date DESC LIMIT 3)), a AS (SELECT id FROM articles WHERE issue_id IN (SELECT id FROM kept))
-    SELECT 'issues' AS relation, count(*) AS n FROM kept UNION ALL SELECT 'articles', count(*) FROM a UNION ALL SELECT 'extractions', count(*) FROM extractions WHERE article_id IN (SELECT id FROM a)
-    UNION ALL SELECT 'feedback', count(*) FROM feedback WHERE article_id IN (SELECT id FROM a)""")
+    SELECT 'issues' AS relation, id FROM kept UNION ALL SELECT 'articles', id FROM a UNION ALL SELECT 'extractions', article_id FROM extractions WHERE article_id IN (SELECT id FROM a)
+    UNION ALL SELECT 'feedback', id FROM feedback WHERE article_id IN (SELECT id FROM a)""")
 def retention_cascade(spark, d):
     t = _tables(spark, d)
     left = store.delete_issues(t, store.prune_victims(t["issues"], 3))
-    out = None
-    for name in ("issues", "articles", "extractions", "feedback"):
-        n = left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    ids = {"issues": "id", "articles": "id", "extractions": "article_id", "feedback": "id"}
+    return reduce(DataFrame.unionByName, (left[name].select(F.lit(name).alias("relation"), F.col(c).alias("id")) for name, c in ids.items()))
 
 
 @query("delete_date", ["articles"], "SELECT id, issue_date FROM articles WHERE issue_date <> DATE '2024-01-08'")
@@ -240,13 +239,13 @@ def set_classification(spark, d):
     return store.set_classification(a.withColumn("reason", F.lit(None).cast("string")), results).select("id", "classify_status", "relevant", "category")
 
 
-@query("set_embeddings", ["extractions"], """SELECT article_id, list_sum(list_transform(CASE WHEN article_id % 2 = 0 THEN [0.125, 0.25] ELSE embedding[1:2]::DOUBLE[] END, lambda x: round(x * 1000))) AS total
+@query("set_embeddings", ["extractions"], """SELECT article_id, list_sum(list_transform(CASE WHEN article_id % 2 = 0 THEN [0.125, 0.25] ELSE embedding::DOUBLE[] END, lambda x: round(x * 1000))) AS total
     FROM extractions WHERE article_id % 2 = 0 OR embedding IS NOT NULL""")
 def set_embeddings(spark, d):
     e = views.extractions(spark, d)
     vectors = e.filter("article_id % 2 = 0").select("article_id", F.array(F.lit(0.1250001), F.lit(0.25)).alias("embedding"))
     out = store.set_embeddings(e, vectors).filter("embedding is not null")
-    thousandths = F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double") * 1000))
+    thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000))
     return out.select("article_id", F.aggregate(thousandths, F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
@@ -256,17 +255,17 @@ def content_hash(spark, d):
     return views.documents(spark, d).select("id", T.content_hash(F.col("headline"), F.col("body")).alias("content_hash"))
 
 
-@query("norm_text", ["docs"], "SELECT id, trim(regexp_replace(lower(body), '[^0-9a-zऀ-ॿ]+', ' ', 'g')) AS normal FROM docs")
+@query("norm_text", ["docs"], "SELECT id, trim(regexp_replace(lower(text), '[^0-9a-zऀ-ॿ]+', ' ', 'g')) AS normal FROM docs")
 def norm_text(spark, d):
-    return views.documents(spark, d).select("id", T.norm(F.col("body"), unify=False).alias("normal"))
+    return views.documents(spark, d).select("id", T.norm(F.col("text"), unify=False).alias("normal"))
 
 
 _NUMBERS = "list_distinct(list_transform(regexp_extract_all({0}, '\\d[\\d,]*\\.?\\d*'), lambda x: rtrim(replace(x, ',', ''), '.')))"
 
 
-@query("number_sets", ["docs"], f"SELECT id, array_to_string(list_sort({_NUMBERS.format('body')}), ' ') AS numbers FROM docs")
+@query("number_sets", ["docs"], f"SELECT id, array_to_string(list_sort({_NUMBERS.format('text')}), ' ') AS numbers FROM docs")
 def number_sets(spark, d):
-    return views.documents(spark, d).select("id", F.array_join(F.array_sort(T.numbers(F.col("body"))), " ").alias("numbers"))
+    return views.documents(spark, d).select("id", F.array_join(F.array_sort(T.numbers(F.col("text"))), " ").alias("numbers"))
 
 
 _CLAIM = "(headline || ' 2024 ' || id)"
@@ -278,64 +277,61 @@ def unknown_numbers(spark, d):
     return views.documents(spark, d).select("id", F.array_join(grounding.unknown_numbers(claim, F.col("body")), " ").alias("missing"))
 
 
-@query("detect_date", ["docs"], """SELECT id, CASE WHEN id % 3 = 0 AND id % 28 > 0 THEN CAST(make_date(2024, CAST(id % 12 + 1 AS INTEGER), CAST(id % 28 AS INTEGER)) AS DATE)
-    WHEN id % 12 + 1 <= 12 AND id % 31 + 1 <= 28 THEN CAST(make_date(2023, CAST(id % 12 + 1 AS INTEGER), CAST(id % 31 + 1 AS INTEGER)) AS DATE)
-    ELSE CAST(try_strptime('2023-' || (id % 12 + 1) || '-' || (id % 31 + 1), '%Y-%m-%d') AS DATE) END AS detected FROM docs""")
+@query("detect_date", ["docs"], f"""SELECT id, coalesce({twins.printed_date('text')}, CASE WHEN id % 3 = 0 AND id % 28 > 0 THEN CAST(make_date(2024, CAST(id % 12 + 1 AS INTEGER), CAST(id % 28 AS INTEGER)) AS DATE)
+    ELSE CAST(try_strptime('2023-' || (id % 12 + 1) || '-' || (id % 31 + 1), '%Y-%m-%d') AS DATE) END) AS detected FROM docs""")
 def detect_date(spark, d):
-    docs = views.documents(spark, d, whole=True)
+    """The text is the first page; a second page and a file name are made from the id."""
     month = F.date_format(F.make_date(F.lit(2024), (F.col("id") % 12 + 1).cast("int"), F.lit(1)), "MMMM")
-    first = F.when((F.col("id") % 3 == 0) & (F.col("id") % 28 > 0), F.concat(F.lit("Late City. MONDAY, "), month, F.lit(" "), (F.col("id") % 28).cast("string"), F.lit(", 2024")))
+    second = F.when((F.col("id") % 3 == 0) & (F.col("id") % 28 > 0), F.concat(F.lit("Late City. MONDAY, "), month, F.lit(" "), (F.col("id") % 28).cast("string"), F.lit(", 2024")))
     name = F.concat(F.lit("paper_2023-"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lit("_"), F.lpad((F.col("id") % 31 + 1).cast("string"), 2, "0"), F.lit(".pdf"))
-    return docs.select("id", T.issue_date(F.concat_ws("\n", "headline", "body"), first, name).alias("detected"))
+    return views.documents(spark, d).select("id", T.issue_date(F.col("text"), second, name).alias("detected"))
 
 
-@query("continuation_markers", ["docs"], """SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id % 30 AS INTEGER) END AS page, CASE WHEN id % 2 = 0 THEN headline || '.  (' || page_no || ') end' ELSE headline || '.' END AS rest
-    FROM docs WHERE headline = trim(headline) AND headline <> ''""")
+_MARKED = "CASE WHEN id % 2 = 0 THEN headline || '. CONTINUED on A Page ' || (id % 30) || '(' || page_no || ') ' || body ELSE text END"
+
+
+@query("continuation_markers", ["docs"], f""", m AS MATERIALIZED (SELECT id, {_MARKED} AS marked FROM docs)
+    SELECT id, {twins.marker_page('marked', T.CONTINUED_ON)} AS page, {twins.without_marker('marked', T.CONTINUED_ON)} AS rest FROM m""")
 def continuation_markers(spark, d):
-    docs = views.documents(spark, d).filter("headline = trim(headline) and headline <> ''")
-    marked = F.when(F.col("id") % 2 == 0, F.concat("headline", F.lit(". CONTINUED on A Page "), (F.col("id") % 30).cast("string"), F.lit("("), F.col("page_no").cast("string"), F.lit(") end"))).otherwise(F.concat("headline", F.lit(".")))
-    page, rest = T.pop_marker(marked, T.CONTINUED_ON)
-    return docs.select("id", page.alias("page"), rest.alias("rest"))
+    """Every second text gets a marker after its first line."""
+    marker = F.concat(F.lit(". CONTINUED on A Page "), (F.col("id") % 30).cast("string"), F.lit("("), F.col("page_no").cast("string"), F.lit(") "))
+    marked = F.when(F.col("id") % 2 == 0, F.concat("headline", marker, "body")).otherwise(F.col("text"))
+    page, rest = T.pop_marker(F.col("marked"), T.CONTINUED_ON)
+    return views.documents(spark, d).select("id", marked.alias("marked")).select("id", page.alias("page"), rest.alias("rest"))
+
+
+_TOP = "CASE id % 4 WHEN 0 THEN text || chr(10) || 'the world today - sport' WHEN 1 THEN 'x Sport ' || text ELSE text || ' sports worlds' END"
 
 
-@query("section_detect", ["docs"], "SELECT id, CASE WHEN id % 4 = 0 THEN 'WORLD' WHEN id % 4 = 1 THEN 'SPORT' END AS label FROM docs")
+@query("section_detect", ["docs"], f"SELECT id, {twins.section(_TOP)} AS label FROM docs")
 def section_detect(spark, d):
-    top = F.when(F.col("id") % 4 == 0, "the world today - sport").when(F.col("id") % 4 == 1, "x Sport").otherwise("sports worlds")
+    kind = F.col("id") % 4
+    top = F.when(kind == 0, F.concat("text", F.lit("\nthe world today - sport"))).when(kind == 1, F.concat(F.lit("x Sport "), "text")).otherwise(F.concat("text", F.lit(" sports worlds")))
     return views.documents(spark, d).select("id", T.section_of(top).alias("label"))
 
 
-@query("clean_text")
+_DIRT = "ﬁne co\u00ad\nop mid\u00addle a-\nb \x01\ufffd"
+
+
+@query("clean_text", ["docs"], f"SELECT id, {twins.clean(f"""'{_DIRT}' || text""")} AS clean FROM docs")
 def clean_text(spark, d):
-    text = F.concat_ws("\n", "headline", "body")
-    return views.documents(spark, d, whole=True).select("id", T.clean_text(F.concat(F.lit("ﬁne co­\nop mid­dle a-\nb \x00"), text)).alias("clean"))
+    """Whole texts after a beginning that has all that is to be cleaned."""
+    return views.documents(spark, d).select("id", T.clean_text(F.concat(F.lit(_DIRT), "text")).alias("clean"))
 
 
 @query("similarity")
 def similarity(spark, d):
-    docs = views.documents(spark, d, whole=True)
+    """Whole headlines against whole bodies: much work for each row, so rows are dealt to all cores first."""
+    docs = views.documents(spark, d).select("id", "headline", "body").repartition(spark.sparkContext.defaultParallelism)
     return docs.select("id", token_set_ratio_udf("headline", "body").alias("token_set"), partial_ratio_udf("headline", "body").alias("part"))
 
 
-def _rule_sql(text: str, pattern: str) -> str:
-    return f"regexp_matches({text}, '(?i){pattern}')"
-
+_STRONG = twins.strong_hits(RULES)
+_DEFAULTS = prefilter.Rules()
 
-def _score_sql() -> str:
-    parts = []
-    for patterns, (base, more) in ((RULES.strong, RULES.strong_score), (RULES.weak, RULES.weak_score)):
-        for p in patterns:
-            whole = "headline || chr(10) || body"
-            parts.append(f"CASE WHEN {_rule_sql(whole, p)} THEN {base} + CASE WHEN {_rule_sql('headline', p)} THEN {more} ELSE 0.0 END ELSE 0.0 END")
-    return f"CAST({' + '.join(parts)} AS DOUBLE)"
 
-
-_STRONG = " + ".join(f"CAST({_rule_sql('headline || chr(10) || body', p)} AS INTEGER)" for p in RULES.strong)
-
-
-@query("prefilter_score", ["docs"], f"SELECT id, {_score_sql()} AS score, {_score_sql()} >= 2.0 AND NOT (coalesce(section = 'SPORT', false) AND {_STRONG} < 2) AS passed FROM docs")
+@query("prefilter_score", ["docs"], f"SELECT id, {twins.prefilter_score(RULES)} AS score, {twins.prefilter_score(RULES)} >= 2.0 AND NOT (coalesce(section = 'SPORT', false) AND {_STRONG} < 2) AS passed FROM docs")
 def prefilter_score(spark, d):
-    from dataclasses import replace
-
     return prefilter.prefilter(views.documents(spark, d), replace(RULES, min_score=2.0)).select("id", "score", "passed")
 
 
@@ -344,9 +340,17 @@ def section_skip(spark, d):
     return prefilter.prefilter(views.documents(spark, d), RULES).filter("passed").groupBy("section").agg(F.count("*").alias("n"))
 
 
-@query("prefilter_defaults")
+# Every fifth headline gets words of the default lists, every 31st a title that is junk.
+_HEADED = "headline || CASE WHEN id % 5 = 0 THEN ' Supreme Court grants bail in GDP case, Article 21' ELSE '' END || CASE WHEN id % 31 = 30 THEN ' Crossword' ELSE '' END"
+
+
+@query("prefilter_defaults", ["docs"], f""", h AS MATERIALIZED (SELECT id, section, body, {_HEADED} AS headline FROM docs), s AS MATERIALIZED (
+    SELECT id, section, {twins.has('headline', _DEFAULTS.junk)} AS junk, {twins.prefilter_score(_DEFAULTS)} AS score, {twins.strong_hits(_DEFAULTS)} AS strong, {twins.hits(_DEFAULTS)} AS hits FROM h)
+    SELECT id, CASE WHEN junk THEN 0.0 ELSE score END::DOUBLE AS score, NOT junk AND NOT (coalesce(section = 'SPORT', false) AND strong < 2) AS passed, CASE WHEN junk THEN '' ELSE hits END AS hits FROM s""")
 def prefilter_defaults(spark, d):
-    return prefilter.prefilter(views.documents(spark, d, whole=True)).select("id", "score", "passed", F.array_join("hits", " ").alias("hits"))
+    words = F.when(F.col("id") % 5 == 0, " Supreme Court grants bail in GDP case, Article 21").otherwise("")
+    docs = views.documents(spark, d).withColumn("headline", F.concat("headline", words, F.when(F.col("id") % 31 == 30, " Crossword").otherwise("")))
+    return prefilter.prefilter(docs).select("id", "score", "passed", F.array_join("hits", " ").alias("hits"))
 
 
 # ---- layout ----
@@ -392,7 +396,9 @@ def column_assemble(spark, d):
     return layout.assemble(_assigned(spark, d))
 
 
-@query("block_build")
+@query("block_build", ["blocks"], f""", {twins.BUILT}, grouped AS (SELECT issue, page, block, g, sum(n * size) / sum(n) AS size, sum(CASE WHEN bold THEN n ELSE 0 END) / sum(n) > 0.6 AS bold, sum(n) AS nchars
+    FROM lines JOIN walk USING (issue, page, block, i) GROUP BY ALL)
+    SELECT issue, page, CAST(row_number() OVER (PARTITION BY issue, page ORDER BY block, g) - 1 AS INTEGER) AS block_no, size, bold, CAST(nchars AS INTEGER) AS nchars FROM grouped""")
 def block_build(spark, d):
     """Lines as spans of a block, with sizes that make it split."""
     b = views.blocks(spark, d)
@@ -403,7 +409,7 @@ def block_build(spark, d):
     return layout.blocks(spans).select("issue", "page", "block_no", "size", "bold", "nchars")
 
 
-@query("segment")
+@query("segment", ["blocks"], f", {twins.SEGMENTS} SELECT issue, page, head, headline, body, continues_on, continued_from FROM segments")
 def segment(spark, d):
     found = layout.articles(views.pages(spark, d), views.blocks(spark, d))
     return found.select("issue", "page", "head", "headline", "body", "continues_on", "continued_from")
@@ -411,7 +417,7 @@ def segment(spark, d):
 
 @query("stitch")
 def stitch(spark, d):
-    docs = views.documents(spark, d, whole=True)
+    docs = views.documents(spark, d)
     a = docs.select(
         F.concat(F.lit("i"), F.col("issue_id").cast("string")).alias("issue"), "page_no", F.col("id").cast("int").alias("head"), "headline", "body", "section",
         F.when(F.col("id") % 3 == 0, F.col("page_no") + 1).alias("continues_on"), F.when(F.col("id") % 3 == 1, F.col("page_no") - 1).alias("continued_from"),
@@ -419,18 +425,22 @@ def stitch(spark, d):
     return layout.long_enough(layout.stitch(a)).select("issue", "page", "head", "incomplete", F.length("body").alias("chars"))
 
 
-@query("segment_report")
+# The twin has no continuations: it holds where no text prints a marker, so that none is incomplete.
+@query("segment_report", ["blocks"], f""", {twins.SEGMENTS}, pages_ AS (SELECT issue, page, sum(nchars) AS chars FROM blocks GROUP BY ALL)
+    SELECT p.issue, p.pages, p.scanned_pages, s.body_size, coalesce(a.articles, 0) AS articles, CAST(0 AS BIGINT) AS incomplete
+    FROM (SELECT issue, count(*) AS pages, coalesce(string_agg(CASE WHEN chars < 200 THEN page::VARCHAR END, ' ' ORDER BY page), '') AS scanned_pages FROM pages_ GROUP BY issue) p
+    JOIN sizes s USING (issue) LEFT JOIN (SELECT issue, count(*) AS articles FROM segments WHERE {twins.n_words('body')} >= 20 GROUP BY issue) a USING (issue)""")
 def segment_report(spark, d):
     b, p = views.blocks(spark, d), views.pages(spark, d)
-    final = b.filter("size > 10").select("issue", (F.col("nchars") % 2 == 0).alias("incomplete"))
+    found = layout.articles(p, b).persist()  # stitching reads it several times; an ingest writes it instead
+    final = layout.long_enough(layout.stitch(found))
     return layout.report(p, b, final).withColumn("scanned_pages", F.array_join(F.col("scanned_pages").cast("array<string>"), " "))
 
 
-@query("blocks_debug", ["blocks"], "SELECT issue, page, CAST(block_no AS INTEGER) AS block_no, size >= 9.0 * 1.35 AS headline_sized FROM blocks")
+@query("blocks_debug", ["blocks"], f", {twins.BODY_SIZE} SELECT issue, page, CAST(block_no AS INTEGER) AS block_no, size >= body_size * 1.35 AS headline_sized FROM blocks JOIN sizes USING (issue)")
 def blocks_debug(spark, d):
     b = views.blocks(spark, d)
-    sizes = b.select("issue").distinct().withColumn("body_size", F.lit(9.0))
-    return layout.blocks_debug(b, sizes).select("issue", "page", "block_no", "headline_sized")
+    return layout.blocks_debug(b, layout.body_size(b)).select("issue", "page", "block_no", "headline_sized")
 
 
 # ---- search ----
@@ -447,9 +457,9 @@ _TERM_SQL = f"""terms AS (SELECT id, hits / 10.0::DOUBLE AS score, CAST(row_numb
     len(list_filter(regexp_extract_all(lower(headline || chr(10) || body), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda w: list_contains({_TERMS}, w))) AS hits FROM docs) WHERE hits > 0 ORDER BY rank LIMIT 30)"""
 
 
-def _searchable(spark, d, whole=False):
+def _searchable(spark, d):
     v = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return views.documents(spark, d, whole).withColumn("search_text", F.concat_ws("\n", "headline", "body")).join(v, "id", "left")
+    return views.documents(spark, d).withColumn("search_text", F.concat_ws("\n", "headline", "body")).join(v, "id", "left")
 
 
 @query("term_rank_or", ["docs"], f", {_TERM_SQL} SELECT id, score, rank FROM terms")
@@ -470,14 +480,46 @@ def rrf_fusion(spark, d):
     return search.fuse([search.term_rank(rows, QUERY, stemmed=False), search.vector_rank(rows, VECTOR)]).select("id", "rank")
 
 
-@query("term_rank_stemmed")
+_STEMS = "['" + "', '".join(search.query_terms(QUERY)) + "']"
+
+
+def _stemmed_sql(name: str, text: str, source: str) -> str:
+    hits = f"len(list_filter({twins.words(text)}, lambda w: list_contains({_STEMS}, {twins.stem('w')})))"
+    return f"{name} AS (SELECT id, hits / 10.0::DOUBLE AS score, CAST(row_number() OVER (ORDER BY hits DESC, id) - 1 AS INTEGER) AS rank FROM (SELECT id, {hits} AS hits FROM {source}) WHERE hits > 0 ORDER BY rank LIMIT 30)"
+
+
+@query("term_rank_stemmed", ["docs"], f", {_stemmed_sql('stemmed', 'text', 'docs')} SELECT id, score, rank FROM stemmed")
 def term_rank_stemmed(spark, d):
-    return search.term_rank(_searchable(spark, d, whole=True), QUERY)
+    return search.term_rank(_searchable(spark, d), QUERY)
+
+
+_HYBRID_SQL = f""", english AS MATERIALIZED (SELECT * FROM cards WHERE category = 'en'), {_stemmed_sql('stemmed', 'search_text', 'english')}, near AS (SELECT id, row_number() OVER (ORDER BY dist, id) - 1 AS rank FROM (SELECT id,
+    1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS dist
+    FROM english, (SELECT {[round(x, 6) for x in VECTOR]}::DOUBLE[] AS q) WHERE embedding IS NOT NULL) ORDER BY rank LIMIT 30),
+    fused AS (SELECT id, CAST(row_number() OVER (ORDER BY score DESC, seen, id) - 1 AS INTEGER) AS rank FROM (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min({{'l': list, 'r': rank}}) AS seen
+    FROM (SELECT id, rank, 0 AS list FROM stemmed UNION ALL SELECT id, rank, 1 FROM near) GROUP BY id) ORDER BY rank LIMIT 8)"""
 
 
-@query("hybrid_search")
+def _hybrid(spark, d):
+    return search.hybrid_search(_cards(spark, d), QUERY, lambda texts: [VECTOR], where=search.filters(category="en"))
+
+
+@query("hybrid_search", ["cards"], _HYBRID_SQL + " SELECT f.id, f.rank, headline, issue_date FROM fused f JOIN english USING (id)")
 def hybrid_search(spark, d):
-    return search.hybrid_search(_cards(spark, d), QUERY, lambda texts: [VECTOR], where=search.filters(category="en")).select("id", "rank", "headline", "issue_date")
+    return _hybrid(spark, d).select("id", "rank", "headline", "issue_date")
+
+
+@query("search_grouped")
+def search_grouped(spark, d):
+    """Hits of which near-duplicates are one."""
+    return search.grouped(_hybrid(spark, d)).select("id", "rank", F.array_join(F.col("also_on_pages").cast("array<string>"), " ").alias("also_on_pages"))
+
+
+@query("brief_grouped")
+def brief_grouped(spark, d):
+    """The brief after its filters, with near-duplicates as one."""
+    shown = reports.verified(_brief(spark, d).filter(reports.ui_filter(["en", "de"], "general")))
+    return search.grouped(shown).select("issue_date", "seq", "id", F.array_join(F.col("also_on_pages").cast("array<string>"), " ").alias("also_on_pages"))
 
 
 @query("search_text", ["extractions"], """SELECT e.article_id AS id, concat_ws(chr(10), a.headline, summary, key_points[1], key_points[2], exam_relevance, provision, case_name, court) AS search_text
@@ -493,10 +535,10 @@ def answer_context(spark, d):
     return search.answer_context(hits)
 
 
-@query("cards_in_order", ["cards"], "SELECT id, headline, CAST(id % 7 AS INTEGER) AS rank FROM cards WHERE id < 50")
+@query("cards_in_order", ["cards"], f", {_VECTOR_SQL} SELECT id, headline, CAST(rank AS INTEGER) AS rank FROM cards JOIN vectors USING (id)")
 def cards_in_order(spark, d):
-    cards = _cards(spark, d)
-    return search.in_order(cards, cards.filter("id < 50").select("id", (F.col("id") % 7).cast("int").alias("rank"))).select("id", "headline", "rank")
+    """Of the documents nearest to a vector those that are cards, by nearness."""
+    return search.in_order(_cards(spark, d), search.vector_rank(_searchable(spark, d), VECTOR)).select("id", "headline", "rank")
 
 
 # ---- duplicates, grounding, evaluation, enrichment ----
@@ -508,7 +550,7 @@ def dedup_exact(spark, d):
 
 @query("dedup_fuzzy")
 def dedup_fuzzy(spark, d):
-    out = dedup.group_duplicates(views.documents(spark, d, whole=True).select("id", "issue_date", "headline", "body", "page_no"), ["id"])
+    out = dedup.group_duplicates(views.documents(spark, d).select("id", "issue_date", "headline", "body", "page_no"), ["id"])
     return out.select("id", "issue_date", "page_no", F.array_join(F.col("also_on_pages").cast("array<string>"), " ").alias("also_on_pages"))
 
 
@@ -518,22 +560,14 @@ def grounded(spark, d):
     return grounding.validate(rows).select("id", "status", F.array_join("warnings", "; ").alias("warnings"), F.size("data.evidence").alias("quotes"), F.size("data.provisions").alias("provisions"))
 
 
-@query("grounding_exact", ["docs"], """, h AS MATERIALIZED (SELECT id, trim(regexp_replace(lower(body), '[^0-9a-zऀ-ॿ]+', ' ', 'g')) AS hay FROM docs),
+@query("grounding_exact", ["docs"], """, h AS MATERIALIZED (SELECT id, trim(regexp_replace(lower(text), '[^0-9a-zऀ-ॿ]+', ' ', 'g')) AS hay FROM docs),
     n AS MATERIALIZED (SELECT item_id, trim(regexp_replace(lower(text), '[^0-9a-zऀ-ॿ]+', ' ', 'g')) AS needle FROM benchmark)
-    SELECT DISTINCT id, item_id FROM h, n WHERE contains(hay, needle)""")
+    SELECT DISTINCT id, item_id FROM h, n WHERE needle <> '' AND contains(hay, needle)""")
 def grounding_exact(spark, d):
-    """Which benchmark passages texts hold verbatim. Both sides meet by the passage's words 2 to 4, an equi-key
-    (its first word may start within a longer one, and its last end within one). Passages under five words have no
-    such key and are looked for in every text."""
-    docs = views.documents(spark, d).select("id", T.norm(F.col("body"), unify=False).alias("hay"))
+    """Which benchmark passages texts hold verbatim."""
+    docs = views.documents(spark, d).select("id", T.norm(F.col("text"), unify=False).alias("text"))
     items = views.read(spark, d, "benchmark").select("item_id", T.norm(F.col("text"), unify=False).alias("needle"))
-    threes = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 3), " "))
-    short = F.size(F.split("needle", " ")) < 5
-    starts = items.filter(~short).withColumn("key", F.array_join(F.slice(F.split("needle", " "), 2, 3), " "))
-    keyed = docs.select("id", F.explode(F.array_distinct(threes(F.split("hay", " ")))).alias("key"))
-    near = keyed.join(F.broadcast(starts) if starts.count() < 10_000 else starts, "key").join(docs, "id")
-    near = near.select("id", "item_id", "needle", "hay").unionByName(docs.crossJoin(items.filter(short)))
-    return near.filter(grounding.present_exact(F.col("needle"), F.col("hay"))).select("id", "item_id").distinct()
+    return grounding.holding(docs, items)
 
 
 @query("label_export", ["articles"], "SELECT issue_date, content_hash, page_no, headline, left(body, 250) AS snippet, '' AS human FROM articles")
@@ -564,11 +598,11 @@ def json_fence_parse(spark, d):
     return views.documents(spark, d).select("id", parsed["id"].alias("number"), parsed["category"].alias("lang"))
 
 
-@query("validate_items", ["docs"], "SELECT id, id % 3 <> 0 AND n_chars % 10 <= 5 AS valid FROM docs")
+@query("validate_items", ["docs"], "SELECT id, id % 3 <> 0 AND n_chars % 10 <= 5 AND length(headline) <= 300 AS valid FROM docs")
 def validate_items(spark, d):
     item = F.struct(
         F.col("id").cast("int").alias("id"), F.lit(True).alias("relevant"), F.when(F.col("id") % 3 != 0, "economy").otherwise("Economy").alias("category"),
-        F.array(F.lit("upsc")).alias("exam_tags"), ((F.col("n_chars") % 10) / 5.0).alias("score"), F.lit("why").alias("reason"),
+        F.array(F.lit("upsc")).alias("exam_tags"), ((F.col("n_chars") % 10) / 5.0).alias("score"), F.col("headline").alias("reason"),
     )
     return views.documents(spark, d).select("id", schemas.valid_batch(F.array(item)).alias("valid"))
 

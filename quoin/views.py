@@ -14,25 +14,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """id, issue_id, issue_date, page_no, headline (first line), body (the rest), section, n_chars.
-
-    Headlines are cut after 120 characters, as in the SQL twin, unless `whole` is set: then headline and body hold
-    all of the text."""
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, issue_id, issue_date, page_no, headline (the whole first line), body (the rest), text, section, n_chars."""
     d = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     cut = F.instr("text", F.lit("\n"))
     no = F.substr("source", F.lit(4)).cast("int")
-    line = F.substring_index("text", "\n", 1)
     return d.select(
         F.col("doc_id").alias("id"), no.cast("bigint").alias("issue_id"), F.date_add(F.lit(START).cast("date"), no).alias("issue_date"),
-        (F.col("doc_id") % 24 + 1).cast("int").alias("page_no"), (line if whole else F.left(line, F.lit(120))).alias("headline"),
-        F.when(cut > 0, F.substr("text", cut + 1)).otherwise("").alias("body"), F.when(F.col("doc_id") % 7 == 0, "SPORT").alias("section"), F.col("lang").alias("category"), "n_chars",
+        (F.col("doc_id") % 24 + 1).cast("int").alias("page_no"), F.substring_index("text", "\n", 1).alias("headline"),
+        F.when(cut > 0, F.substr("text", cut + 1)).otherwise("").alias("body"), "text", F.when(F.col("doc_id") % 7 == 0, "SPORT").alias("section"), F.col("lang").alias("category"), "n_chars",
     )
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with the state that labels give: quality 1 is relevant, no label not judged."""
-    a = documents(spark, sf_dir).withColumn("content_hash", T.content_hash(F.col("headline"), F.col("body")))
+    a = documents(spark, sf_dir).drop("text").withColumn("content_hash", T.content_hash(F.col("headline"), F.col("body")))
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     a = a.join(labels, "id", "left")
     third = F.col("id") % 3
@@ -74,19 +70,22 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases and clicks are votes for, errors against."""
-    e = read(spark, sf_dir, "events")
+    """Purchases and clicks are votes for, errors against, dealt to all documents in turn."""
+    n = read(spark, sf_dir, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    e = read(spark, sf_dir, "events").crossJoin(F.broadcast(n))  # one row
     vote = F.when(F.col("event_type").isin("purchase", "click"), 1).when(F.col("event_type") == "error", -1)
-    return e.select(F.col("event_id").alias("id"), (F.col("event_id") % 200).alias("article_id"), vote.alias("vote"), F.col("ts").alias("created_at")).filter("vote is not null")
+    return e.select(F.col("event_id").alias("id"), (F.col("event_id") % F.col("_n")).alias("article_id"), vote.alias("vote"), F.col("ts").alias("created_at")).filter("vote is not null")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's lines as blocks of one page: every fifth line a headline, in three columns of 180 points."""
+    """A document's lines as blocks of one page in three columns of 180 points. Every fifth line is a headline; of each
+    twenty the fourth goes on with the first below it, and the fourteenth is a deck of the eleventh."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
     column = F.col("n") % 3
     return d.select(
         F.col("source").alias("issue"), F.col("doc_id").cast("int").alias("page"), F.col("n").alias("block_no"), (column * 190.0 + (F.col("n") % 4)).alias("x0"), (F.col("n") * 12.0 + 30).alias("y0"),
-        (column * 190.0 + 180).alias("x1"), (F.col("n") * 12.0 + 40).alias("y1"), F.col("line").alias("text"), F.when(F.col("n") % 5 == 0, 20.25).otherwise(9.0).alias("size"),
+        (column * 190.0 + 180).alias("x1"), (F.col("n") * 12.0 + 43).alias("y1"), F.col("line").alias("text"),
+        F.when((F.col("n") % 5 == 0) | (F.col("n") % 20 == 3), 20.25).when(F.col("n") % 20 == 13, 13.0).otherwise(9.0).alias("size"),
         F.lit(False).alias("bold"), F.length("line").alias("nchars"),
     )
 
@@ -98,10 +97,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "docs": """docs AS (SELECT doc_id AS id, CAST(substr(source, 4) AS BIGINT) AS issue_id, CAST(DATE '2024-01-01' + CAST(substr(source, 4) AS INTEGER) AS DATE) AS issue_date,
-      CAST(doc_id % 24 + 1 AS INTEGER) AS page_no, left(split_part(coalesce(text, ''), chr(10), 1), 120) AS headline,
+      CAST(doc_id % 24 + 1 AS INTEGER) AS page_no, split_part(coalesce(text, ''), chr(10), 1) AS headline, coalesce(text, '') AS text,
       CASE WHEN strpos(coalesce(text, ''), chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body,
       CASE WHEN doc_id % 7 = 0 THEN 'SPORT' END AS section, lang AS category, n_chars FROM documents)""",
-    "articles": """articles AS (SELECT d.*, sha1(d.headline || '|' || d.body) AS content_hash, quality, toxic, quality = 1 AS relevant,
+    "articles": """articles AS (SELECT d.* EXCLUDE (text), sha1(d.headline || '|' || d.body) AS content_hash, quality, toxic, quality = 1 AS relevant,
       CASE WHEN id % 3 <> 0 THEN id % 3 = 1 END AS prefilter_passed, CASE WHEN id % 5 <> 0 THEN (n_chars % 100) / 10.0::DOUBLE END AS prefilter_score,
       CASE WHEN id % 11 = 0 THEN 'failed' WHEN quality IS NULL THEN 'pending' ELSE 'done' END AS classify_status,
       CASE WHEN id % 13 <> 0 THEN (n_chars % 1000) / 1000.0::DOUBLE END AS relevance_score,
@@ -114,13 +113,13 @@ SQL = {
       'on ' || category AS exam_relevance, CASE WHEN a.id % 5 = 0 THEN 'needs_review' WHEN a.id % 5 = 1 THEN 'partial' ELSE 'verified' END AS validation_status,
       CASE WHEN a.id % 3 <> 2 THEN 'v' || (a.id % 3 + 1) END AS prompt_version, headline || chr(10) || body AS search_text, embedding
       FROM articles a LEFT JOIN embeddings v ON v.vec_id = a.id WHERE relevant AND a.id % 4 <> 0)""",
-    "feedback": """feedback AS (SELECT event_id AS id, event_id % 200 AS article_id, CASE WHEN event_type IN ('purchase', 'click') THEN 1 WHEN event_type = 'error' THEN -1 END AS vote,
+    "feedback": """feedback AS (SELECT event_id AS id, event_id % (SELECT greatest(count(*), 1) FROM documents) AS article_id, CASE WHEN event_type IN ('purchase', 'click') THEN 1 WHEN event_type = 'error' THEN -1 END AS vote,
       ts AS created_at FROM events WHERE event_type IN ('purchase', 'click', 'error'))""",
     "cards": """cards AS (SELECT a.id, a.page_no, a.headline, a.body, a.category, a.exam_tags, a.relevance_score, a.issue_date, e.* EXCLUDE (article_id)
       FROM articles a JOIN issues i ON i.id = a.issue_id JOIN extractions e ON e.article_id = a.id)""",
     "brief": """brief AS (SELECT *, row_number() OVER (PARTITION BY issue_date ORDER BY relevance_score DESC NULLS LAST, page_no NULLS LAST, id) AS seq FROM cards)""",
-    "blocks": """blocks AS (SELECT issue, page, n AS block_no, (n % 3) * 190.0 + (n % 4) AS x0, n * 12.0 + 30 AS y0, (n % 3) * 190.0 + 180 AS x1, n * 12.0 + 40 AS y1, line AS text,
-      CASE WHEN n % 5 = 0 THEN 20.25 ELSE 9.0 END::DOUBLE AS size, length(line) AS nchars
+    "blocks": """blocks AS (SELECT issue, page, n AS block_no, (n % 3) * 190.0 + (n % 4) AS x0, n * 12.0 + 30 AS y0, (n % 3) * 190.0 + 180 AS x1, n * 12.0 + 43 AS y1, line AS text,
+      CASE WHEN n % 5 = 0 OR n % 20 = 3 THEN 20.25 WHEN n % 20 = 13 THEN 13.0 ELSE 9.0 END::DOUBLE AS size, length(line) AS nchars
       FROM (SELECT source AS issue, CAST(doc_id AS INTEGER) AS page, unnest(ls) AS line, unnest(range(len(ls))) AS n FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))""",
 }
 NEEDS = {"articles": ["docs"], "issues": ["docs"], "extractions": ["articles"], "cards": ["articles", "issues", "extractions"], "brief": ["cards"]}
@@ -138,4 +137,4 @@ def with_views(names: list[str], body: str) -> str:
 
     for n in names:
         need(n)
-    return "WITH " + ",\n".join(SQL[n] for n in seen) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in seen) + "\n" + body

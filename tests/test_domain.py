@@ -235,6 +235,14 @@ def test_terms(spark):
     assert search.term_rank(rows, "the of ?").count() == 0 and search.query_terms("") == []
 
 
+def test_stems_in_both_forms(spark):
+    rng = random.Random(3)
+    some = ["petitions", "parties", "boxes", "bus", "analysis", "glass", "rising", "bring", "red", "stopped", "falling", "buzzing", "tied", "ing", "sing", "running", "ss", "crashes", "s", "", "laws", "bias", "planned", "agreed", "ies", "dies"]
+    some += ["".join(rng.choices("aeistdnglzy", k=rng.randint(1, 6))) + rng.choice(["", "s", "es", "ies", "ing", "ed", "nned", "lling"]) for _ in range(500)]
+    df = spark.createDataFrame([(w,) for w in some], "w string").select("w", search.stem_of(F.col("w")).alias("s"))
+    assert [(r.w, r.s) for r in df.collect()] == [(w, search.stem(w)) for w in some]
+
+
 def test_search_without_vectors(spark):
     rows = spark.createDataFrame([(1, "a bail order", None), (2, "other", [1.0, 0.0])], "id bigint, search_text string, embedding array<float>")
     assert [r.id for r in search.hybrid_search(rows, "bail").collect()] == [1]
