@@ -198,8 +198,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
                     file = TokenFile(f.read_buffer())
-                bounds = file.bounds.tolist()
-                crc = [zlib.crc32(file.tokens(a, b).astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
+                bounds, ids = (4 * file.bounds).tolist(), memoryview(file.tokens(0, file.n_tokens).astype("<u4").tobytes())
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(file.doc_ids, pa.int64()), pa.array(start + file.bounds[:-1]), pa.array(np.diff(file.bounds)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
@@ -211,8 +211,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty and hold the end id alone; a null doc_id comes first; repeated rows are written
-    as often as they come; an empty table gives no files and no rows."""
+    """Null texts count as empty and hold the end id alone; a null doc_id comes first; rows that repeat an id go by
+    their texts, and repeated rows are written as often as they come. A text of any length is encoded whole and lies
+    in one file. An empty table gives no files and no rows."""
     import public_tokenizers
 
     folder = f"{shared_dir(spark)}/tokens"
