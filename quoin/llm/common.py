@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,12 @@ def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names and all executors see. Only where that is
-    unset, as in local tests, it is made in the machine's own temporary folder."""
+    """A new folder below the one that spark.checkpoint.dir names and all executors see. Where that is unset, it is
+    made in the machine's own temporary folder if Spark runs on this machine alone, and is an error otherwise."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/quoin-{os.getpid()}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

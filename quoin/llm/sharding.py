@@ -69,9 +69,10 @@ def _winner(key: Column, tree: Tree, path: Column) -> Column:
 def place(docs: DataFrame, tree: Tree, grown: Tree, blocks: int = 256) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, region, rack of every row.
 
-    Null texts have no bytes; a null doc_id hashes like the text "null"; repeated rows go to the same shard, to
-    slots of their own. Slots run over `blocks` hash blocks of a shard and doc_id within, so no task sorts a
-    whole shard."""
+    Null and empty texts have no bytes, and of a text of any length only its size and checksum go on; a null doc_id
+    hashes like the text "null"; repeated rows go to the same shard, to slots of their own. Slots run over `blocks`
+    hash blocks of a shard and by doc_id, size and checksum within, so no task sorts a whole shard; rows equal in
+    all of these are equal. Of equal draws the child with the least number wins. An empty table gives no rows."""
     docs = pick(docs, DOCUMENTS)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _key(F.col("doc_id")).alias("_key"))

@@ -739,6 +739,29 @@ def test_pipeline(spark, tmp_path):
     assert {i for i in sizes if 300 <= i < 500} == set() and 601 in sizes and 602 not in sizes
 
 
+def test_pipeline_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    data = tmp_path / "none"
+    for name, schema in (("documents", SCHEMA.replace("Doc_Id string, ", "").replace(", TEXT string", "")), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{data}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(data)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    data = tmp_path / "few"
+    spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{data}/labels.parquet")
+    spark.createDataFrame([(1, "some benchmark passage of this test")], "item_id bigint, text string").write.parquet(f"{data}/benchmark.parquet")
+    docs = spark.createDataFrame(rows([(1, "a text of some words"), (2, "a text of some words"), (3, "here is some benchmark passage of this test"), (None, None)]), SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(data))
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert sorted(map(str, ids_of(docs))) == ["1", "None"]
+    assert set(corpus_pipeline.STAGES[3][1](spark, docs, str(data)).toPandas()["length"]) == {1, 6}
+
+
 def test_entry_has_every_operator():
     import __spark_entry__ as entry
 
