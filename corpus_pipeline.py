@@ -14,22 +14,27 @@ from quoin.llm.common import read, shared_dir
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labelled rows outside its held-out fold, scores under 0.5. Null
-    texts count as empty and stay."""
+    texts count as empty and stay, as do rows without id by their texts; equal texts have equal scores, so repeated
+    rows stay or go together. An empty table, of documents or of labels, leaves all documents there are."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id."""
+    """One row of each SimHash component: that with the smallest doc_id, of equals that with the smallest
+    fingerprint, then the first read; rows without id come last. Null and empty texts are copies of each other, as
+    are repeated rows. An empty table stays empty."""
     return simhash.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs within its budget of edits."""
+    """Documents in which no benchmark item occurs within its budget of edits. Null and empty texts stay, repeated
+    rows stay or go together; an empty table stays empty, and an empty benchmark leaves all documents."""
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    """Pieces of the remaining documents in sequences of at most 2048 tokens. Null texts count as empty; every row
+    is packed, repeated ones as often as they come; an empty table gives no pieces."""
     return packing.pack(docs, packing.production())
 
 
