@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import importlib
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.operators import layout, reports, store
@@ -14,14 +14,24 @@ from quoin.settings import Settings
 from quoin.sources import files as sources
 
 
+def decoded(spark: SparkSession, db: store.Store, documents: str, decoder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, pages and blocks of documents, each decoded once."""
+    module = importlib.import_module(decoder)
+    raw = sources.files(spark, documents)
+    files = raw.select(F.col("filename").alias("issue"), "filename", F.col("sha256").alias("pdf_sha256"))
+    return files, ingest.written(db, sources.measured(raw, module.pages)), ingest.written(db, layout.blocks(ingest.written(db, sources.decoded(raw, module.spans))))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="quoin")
     p.add_argument("--db", required=True, help="folder of the tables, which all executors see")
     to = p.add_subparsers(dest="command", required=True)
     to.add_parser("init", help="write empty tables")
-    run = to.add_parser("ingest", help="process issues given as blocks and pages")
+    run = to.add_parser("ingest", help="process issues, as documents with a decoder or as tables of blocks and pages")
+    run.add_argument("--documents", help="folder or file")
+    run.add_argument("--decoder", help="module with the functions spans and pages, from a document's bytes to rows")
     for name in ("files", "blocks", "pages"):
-        run.add_argument(f"--{name}", required=True, help="Parquet folder")
+        run.add_argument(f"--{name}", help="Parquet folder")
     run.add_argument("--models", required=True, help="module:function that returns plans.ingest.Models")
     run.add_argument("--date", help="issue date, where it is known")
     gone = to.add_parser("delete", help="delete the issue of a date")
@@ -38,11 +48,14 @@ def main(argv: list[str] | None = None) -> None:
         db.init()
     elif args.command == "ingest":
         module, _, function = args.models.partition(":")
-        files = spark.read.parquet(args.files).select("issue", "filename", "pdf_sha256")
+        if bool(args.documents) != bool(args.decoder) or not args.documents and not (args.files and args.blocks and args.pages):
+            p.error("give --documents and --decoder, or --files, --blocks and --pages")
+        files, pages, blocks = decoded(spark, db, args.documents, args.decoder) if args.documents else (spark.read.parquet(args.files), sources.pages(spark, args.pages), sources.blocks(spark, args.blocks))
+        files = files.select("issue", "filename", "pdf_sha256")
         if args.date:
             files = files.withColumn("issue_date", F.lit(args.date).cast("date"))
         models = getattr(importlib.import_module(module), function)()
-        ingest.process(db, files, sources.pages(spark, args.pages), sources.blocks(spark, args.blocks), models, Settings.load(spark), progress=print).show(truncate=False)
+        ingest.process(db, files, pages, blocks, models, Settings.load(spark), progress=print).show(truncate=False)
     elif args.command == "delete":
         names = ("issues", "articles", "extractions", "feedback")
         day = F.lit(args.date).cast("date")

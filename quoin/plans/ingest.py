@@ -71,7 +71,7 @@ def process(db: store.Store, files: DataFrame, pages: DataFrame, blocks: DataFra
     `store.one_a_date` has it. `progress` gets a stage, how many of its rows are done, and how many there are."""
     if "issue_date" not in files.columns:
         files = detect_dates(files, blocks)
-    files = _written(db, files)
+    files = written(db, files)
     undated = [r.filename for r in files.filter("issue_date is null").select("filename").limit(20).collect()]
     if undated:
         raise ValueError(f"no issue date for {', '.join(map(str, undated))}: give issue_date")
@@ -82,43 +82,43 @@ def process(db: store.Store, files: DataFrame, pages: DataFrame, blocks: DataFra
     old = {n: db.table(n) for n in ("extractions", "feedback")} | {"articles": db.table("articles", replaced)}
     db.commit({"issues": issues} | (store.delete_articles(old, old["articles"].select("id")) if replaced else {}), replaced)
 
-    dated = _written(db, files.select("issue", "issue_date").join(db.table("issues").select(F.col("id").alias("issue_id"), "issue_date"), "issue_date"))
+    dated = written(db, files.select("issue", "issue_date").join(db.table("issues").select(F.col("id").alias("issue_id"), "issue_date"), "issue_date"))
     ids = [r.issue_id for r in dated.select("issue_id").collect()]  # one for each file
     mine = dated.select("issue_id")
 
     def articles() -> DataFrame:
         return db.table("articles", ids)
 
-    raw = segmented(_written(db, layout.articles(pages, blocks))).join(dated, "issue").withColumnRenamed("page", "page_no")
+    raw = segmented(written(db, layout.articles(pages, blocks))).join(dated, "issue").withColumnRenamed("page", "page_no")
     incoming = raw.select("issue_id", "page_no", "section", "headline", "body", "content_hash", "incomplete", "head")
     db.commit({"articles": store.insert_articles(articles(), incoming, ["page_no", "head"], db.table("articles")).drop("head")}, ids)
     progress("segmented", len(ids), len(ids))
 
-    scored = _written(db, prefilter.prefilter(store.pending_prefilter(articles()), replace(rules, min_score=max(rules.min_score, s.prefilter_min_score))).select("id", "passed", "score"))
+    scored = written(db, prefilter.prefilter(store.pending_prefilter(articles()), replace(rules, min_score=max(rules.min_score, s.prefilter_min_score))).select("id", "passed", "score"))
     db.commit({"articles": store.set_prefilter(articles(), scored)}, ids)
     _report(progress, "prefilter", scored, None)
 
     status = "done"
     due = store.pending_classify(articles())
-    answers = _written(db, enrich.classify(due, models.chain(s.classify_chain or s.provider_chain, s), models.classify_system, s.classify_batch_size, s.relevance_cut))
+    answers = written(db, enrich.classify(due, models.chain(s.classify_chain or s.provider_chain, s), models.classify_system, s.classify_batch_size, s.relevance_cut))
     db.commit({"articles": store.set_classification(articles(), answers.filter(F.col("status") != QUOTA))}, ids)
     status = _report(progress, "classify", answers, "status")
 
     if status == "done":
         due = store.pending_extract(articles(), db.table("extractions"), s.prompt_version).join(dated.select("issue_id", "issue_date"), "issue_id")
-        notes = _written(db, enrich.extract(due, models.chain(s.provider_chain, s), models.extract_system, s.max_notes_per_run))
+        notes = written(db, enrich.extract(due, models.chain(s.provider_chain, s), models.extract_system, s.max_notes_per_run))
         bodies = articles().select(F.col("id").alias("article_id"), "headline", "body")
         checked = grounding.validate(notes.filter("status = 'done'").drop("status").join(bodies, "article_id"))
         rows = checked.select(
             "article_id", "data", F.col("status").alias("validation_status"), "warnings", "model", F.lit(s.prompt_version).alias("prompt_version"),
             grounding.search_text(F.col("headline"), F.col("data")).alias("search_text"), now.alias("created_at"),
         )
-        db.commit({"extractions": store.upsert_extractions(db.table("extractions"), _written(db, rows))})
+        db.commit({"extractions": store.upsert_extractions(db.table("extractions"), written(db, rows))})
         status = _report(progress, "extract", notes, "status")
 
     if status == "done" and (embedder := models.embedder(s)):
-        need = _written(db, store.needing_embedding(articles(), db.table("extractions")))
-        vectors = _written(db, enrich.embed(need, embedder, s.embed_dim, s.embed_batch_size))
+        need = written(db, store.needing_embedding(articles(), db.table("extractions")))
+        vectors = written(db, enrich.embed(need, embedder, s.embed_dim, s.embed_batch_size))
         db.commit({"extractions": store.set_embeddings(db.table("extractions"), vectors)})
         progress("embed", vectors.count(), need.count())
 
@@ -126,8 +126,8 @@ def process(db: store.Store, files: DataFrame, pages: DataFrame, blocks: DataFra
     notes = scanned.select(F.col("issue_id").alias("id"), scan_note(F.col("scanned")).alias("scan"))
     ended = mine.select(F.col("issue_id").alias("id")).join(notes, "id", "left")
     ended = ended.select("id", F.lit(status).alias("status"), F.concat_ws("; ", "scan", F.lit(None if status == "done" else QUOTA_NOTE).cast("string")).alias("note"))
-    finished = _written(db, store.finish_issues(db.table("issues"), ended))
-    victims = _written(db, store.prune_victims(finished, s.keep_issues).join(mine.withColumnRenamed("issue_id", "id"), "id", "left_anti"))
+    finished = written(db, store.finish_issues(db.table("issues"), ended))
+    victims = written(db, store.prune_victims(finished, s.keep_issues).join(mine.withColumnRenamed("issue_id", "id"), "id", "left_anti"))
     out = [r.id for r in victims.select("id").collect()]  # issues that retention lets go
     tables = {n: db.table(n) for n in ("extractions", "feedback")} | {"issues": finished, "articles": db.table("articles", out)}
     db.commit(store.delete_issues(tables, victims), out)
@@ -142,7 +142,7 @@ def _report(progress: Callable[[str, int, int], None], stage: str, rows: DataFra
     return "partial" if n.quota else "done"
 
 
-def _written(db: store.Store, rows: DataFrame) -> DataFrame:
+def written(db: store.Store, rows: DataFrame) -> DataFrame:
     """A stage's answers, written once: later reads never call a model again."""
     path = f"{db.folder}/stages/{uuid.uuid4().hex}"
     rows.write.parquet(path)

@@ -30,6 +30,18 @@ def decoded(files: DataFrame, decode: Callable[[bytes], list[dict]]) -> DataFram
     return files.select("filename", "content").mapInPandas(run, SPANS)
 
 
+def measured(files: DataFrame, measure: Callable[[bytes], list[dict]]) -> DataFrame:
+    """page, width and height of each document's pages, also of those without text, by a given function."""
+    names = [c.split()[0] for c in PAGES.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for name, content in zip(rows["filename"], rows["content"], strict=True):
+                yield pd.DataFrame([p | {"issue": name} for p in measure(content)], columns=names)
+
+    return files.select("filename", "content").mapInPandas(run, PAGES)
+
+
 def spans(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SPANS).parquet(path)
 

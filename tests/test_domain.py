@@ -455,6 +455,44 @@ def test_files_and_decoder(spark, tmp_path):
     assert files.decoded(got, decode).first().text == "hello"
 
 
+DECODER = """
+import json
+
+def spans(raw):
+    return [{"page": 1, "block": n, "line": 0, "span": 0, "text": t, "size": s, "flags": 0, "font": "f", "x0": 40.0, "y0": y, "x1": 500.0, "y1": y + 22.0}
+            for n, (y, s, t) in enumerate(json.loads(raw))]
+
+def pages(raw):
+    return [{"page": n, "width": 595.0, "height": 842.0} for n in (1, 2)]
+
+def models():
+    from quoin.plans.ingest import Models
+    answer = {"items": [{"id": 0, "relevant": False, "category": "other", "score": 0.1, "reason": "r"}]}
+    return Models({"p": lambda messages: json.dumps(answer)})
+"""
+
+
+def test_documents_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    from quoin.__main__ import main
+
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "plain_decoder.py").write_text(DECODER)
+    monkeypatch.syspath_prepend(str(tmp_path / "code"))
+    spark.sparkContext.addPyFile(str(tmp_path / "code" / "plain_decoder.py"))
+    (tmp_path / "in").mkdir()
+    words = "The court held that privacy and bail matter to all of us. " * 4
+    (tmp_path / "in" / "paper_2020-03-02.json").write_text(json.dumps([[60.0, 20.0, "Court protects the privacy"], [100.0, 9.0, words]]))
+    db = f"file://{tmp_path}/db"
+    main(["--db", db, "init"])
+    main(["--db", db, "ingest", "--documents", f"{tmp_path}/in", "--decoder", "plain_decoder", "--models", "plain_decoder:models"])
+    assert "2020-03-02" in capsys.readouterr().out
+    t = store.Store(spark, db)
+    assert [(r.headline, r.classify_status, r.relevant) for r in t.table("articles").collect()] == [("Court protects the privacy", "done", False)]
+    assert t.table("issues").first().note.endswith("OCR: 2")
+    with pytest.raises(SystemExit):
+        main(["--db", db, "ingest", "--documents", "x", "--models", "plain_decoder:models"])
+
+
 def test_command_line(spark, tmp_path, capsys):
     from quoin.__main__ import main
 
