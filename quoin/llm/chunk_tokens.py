@@ -68,15 +68,21 @@ class _Generation:
 
 class _Cache:
     """The ids of chunks in two generations: when the young one holds `most`, it becomes the old one, from which
-    chunks that come again are taken over, so that frequent ones stay. `before` is put before each chunk. With
-    `blank`, what stands between two chunks, new ones are encoded many to a text, with a mark after each."""
+    chunks that come again are taken over, so that frequent ones stay. `before` is put before each chunk.
 
-    MARK = "\x01"
+    With `blank`, what stands between two chunks, new ones are encoded many to a text. Where each begins shows in the
+    ids where tokens tell: after a space, the one token that starts with it (byte-level BPE); for a chunk of letters,
+    which is one word, the one token that ends a word. Other chunks have a mark after each."""
+
+    MARK, SPACE, WORD_END = "\x01", "Ġ", "</w>"  # the latter two as vocabularies write them
 
     def __init__(self, tokenizer, before: str, most: int, blank: str | None = None):
         self.tokenizer, self.before, self.most, self.blank = tokenizer, before, most, blank
         self.mark = tokenizer.encode((blank or "") + self.MARK, add_special_tokens=False).ids
         self.young, self.old = _Generation(), _Generation()
+        vocabulary = tokenizer.get_vocab()
+        self.edge, self.starts = np.zeros(1 + max(vocabulary.values(), default=0), bool), before == " "
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith(self.SPACE) if self.starts else t.endswith(self.WORD_END))]] = True
 
     def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = chunks.dictionary_encode()
@@ -96,10 +102,29 @@ class _Cache:
             slots[absent[known]] = self.young.add([names[i] for i in np.flatnonzero(known).tolist()], *self.old.ids(before[known]))
             new = [names[i] for i in np.flatnonzero(~known).tolist()]
             if new:
-                parts = [self._together(new[i : i + _BLOCK]) for i in range(0, len(new), _BLOCK)]
-                slots[absent[~known]] = self.young.add(new, *(np.concatenate([p[i] for p in parts]) for i in range(2)))
+                self.young.add(*self._encoded(new))
+                slots[absent[~known]] = self.young.slots(new)
         return slots
 
+    def _encoded(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The chunks, which may come in another order, with their ids and numbers of ids."""
+        clear = chunks if self.starts else [c for c in chunks if c.isalpha()]
+        rest = [] if self.starts else [c for c in chunks if not c.isalpha()]
+        parts = [self._by_edges(clear[i : i + _BLOCK]) for i in range(0, len(clear), _BLOCK)]
+        parts += [self._together(rest[i : i + _BLOCK]) for i in range(0, len(rest), _BLOCK)]
+        return [*clear, *rest], *(np.concatenate([p[i] for p in parts]) for i in range(2))
+
+    def _by_edges(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.blank is None or not self.edge.any():
+            return self._together(chunks)
+        text = "".join(self.before + c for c in chunks) if self.starts else self.blank.join(chunks)
+        (encoded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(encoded.ids, np.uint32)
+        edges = np.flatnonzero(self.edge[ids])
+        if edges.size != len(chunks):
+            return self._together(chunks)
+        return ids, np.diff(edges, append=ids.size) if self.starts else np.diff(edges, prepend=-1)
+
     def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.before + c for c in chunks], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))

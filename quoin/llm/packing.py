@@ -134,8 +134,10 @@ def pieces(docs: DataFrame, packing: Packing) -> DataFrame:
 def pack(docs: DataFrame, packing: Packing) -> DataFrame:
     """One row per piece of every document, with sequence_id and offset.
 
-    Null texts count as empty: their only id is the end id. A null doc_id is kept. Repeated rows are packed as
-    often as they come. An empty table gives no rows. Pieces are written to the shared folder once, so the
+    Null and empty texts have the end id alone. A null doc_id is kept. Repeated rows are packed as often as they
+    come. A text of any length is encoded whole, in one task. Pieces of equal length are alike to the plan and take
+    their places by task and order of reading; of equally good sequences the one opened first is taken. An empty
+    table gives no rows. Pieces are written to the shared folder once, so the
     tokenizer runs once and ranks hold whatever is lost later."""
     cuts = cut(pieces(docs, packing))
     counts = {r.length: r.n for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row per length
