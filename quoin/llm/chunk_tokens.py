@@ -28,7 +28,7 @@ _RARE = "\\x1c-\\x1f\\x85\\xa0 ᠎ -​    　﻿"
 _ODD_ARROW = "[ ][\\t\\n\\v\\f\\r ]|[\\t\\n\\v\\f\\r][ ]|[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _IS_RARE = re.compile(f"[{_RARE}]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_SLICE_BYTES = 10 << 20
+_SLICE_BYTES = 6 << 20
 _BLOCK = 512
 
 
@@ -150,7 +150,7 @@ class _Cache:
 class ChunkEncoder:
     """`most` chunks are kept, and as many that were kept before."""
 
-    def __init__(self, path: str, split: str, most: int = 400_000):
+    def __init__(self, path: str, split: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         if split not in ("space", "blank", "none"):
