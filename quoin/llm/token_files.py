@@ -217,5 +217,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_dir(spark)}/tokens"
-    manifest = write_token_files(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), "blank", 2)
+    manifest = write_token_files(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), "word", 2)
     return read_token_files(manifest)

@@ -60,10 +60,10 @@ def none(spark):
 
 
 # ---- tokens, 5 and 9 ----
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab é\n\t '　\x1c.1Σ<|>", max_size=30), max_size=8))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\n\t '　\x1c.1Σ<|>,sİ\u0301\u0338-", max_size=30), max_size=8))
 def test_chunks_give_the_tokenizers_ids(some):
-    for name, split in (("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "blank"), ("byte_bpe_50k.json", "none")):
+    for name, split in (("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "blank"), ("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "none")):
         mine = chunk_tokens.encoder(public_tokenizers.path(name), split)
         ids, lengths = mine.encode(pa.array(some, pa.string()))
         plain = [e.ids for e in mine.tokenizer.encode_batch(some, add_special_tokens=False)]
