@@ -3,8 +3,8 @@
 A pre-tokenizer never joins what lies on both sides of certain blanks, so a text's ids are those of its chunks
 in a row. `split` names the rule:
 
-- "space": cut before a single space between two characters that are no white space (byte-level BPE, whose
-  words carry the space before them);
+- "space": cut before a single space between two characters that are no white space, and between a letter and ASCII
+  punctuation other than the apostrophe (byte-level BPE, whose words carry the space before them);
 - "blank": cut at ASCII white space and leave it out (tokenizers that drop white space);
 - "word": cut also between a letter and ASCII punctuation other than the apostrophe (of these, such whose words hold
   letters alone and take no more of what follows than an apostrophe and letters);
@@ -27,9 +27,10 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _RARE = "\\x1c-\\x1f\\x85\\xa0 ᠎ -​    　﻿"
-_ODD_ARROW = "[ ][\\t\\n\\v\\f\\r ]|[\\t\\n\\v\\f\\r][ ]|[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_ODD_ARROW = "\\x{02}|[ ][\\t\\n\\v\\f\\r ]|[\\t\\n\\v\\f\\r][ ]|[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 # Letters but most capitals, one of which (dotted I) becomes a letter and a mark in lower case.
 _WORD_ENDS = r"([\p{Ll}\p{Lo}\p{Lm}A-ZÀ-ÖØ-Þ])([!-&(-/:-@\[-`{-~])"
+_GLUE = "\x02"  # before punctuation that has been cut from a word; texts that hold it take the slower way
 _IS_RARE = re.compile(f"[{_RARE}]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SLICE_BYTES = 6 << 20
@@ -72,7 +73,8 @@ class _Generation:
 
 class _Cache:
     """The ids of chunks in two generations: when the young one holds `most`, it becomes the old one, from which
-    chunks that come again are taken over, so that frequent ones stay. `before` is put before each chunk.
+    chunks that come again are taken over, so that frequent ones stay. `before` is put before each chunk,
+    after its first `skip` characters are left out.
 
     With `blank`, what stands between two chunks, new ones are encoded many to a text. Where each begins shows in the
     ids where tokens tell: after a space, the one token that starts with it (byte-level BPE); for a chunk of letters,
@@ -80,8 +82,8 @@ class _Cache:
 
     MARK, SPACE, WORD_END = "\x01", "Ġ", "</w>"  # the latter two as vocabularies write them
 
-    def __init__(self, tokenizer, before: str, most: int, blank: str | None = None):
-        self.tokenizer, self.before, self.most, self.blank = tokenizer, before, most, blank
+    def __init__(self, tokenizer, before: str, most: int, blank: str | None = None, skip: int = 0):
+        self.tokenizer, self.before, self.most, self.blank, self.skip = tokenizer, before, most, blank, skip
         self.mark = tokenizer.encode((blank or "") + self.MARK, add_special_tokens=False).ids
         self.young, self.old = _Generation(), _Generation()
         vocabulary = tokenizer.get_vocab()
@@ -130,7 +132,7 @@ class _Cache:
         return ids, np.diff(edges, append=ids.size) if self.starts else np.diff(edges, prepend=-1)
 
     def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.before + c for c in chunks], add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.before + c[self.skip :] for c in chunks], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
@@ -166,6 +168,7 @@ class ChunkEncoder:
         else:
             self.bare = _Cache(self.tokenizer, "", most // 8)
             self.spaced = _Cache(self.tokenizer, " ", most, " ")
+            self.glued = _Cache(self.tokenizer, "", most // 8, skip=len(_GLUE))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as uint32, and each text's number of ids. A null text counts as empty."""
@@ -208,17 +211,20 @@ class ChunkEncoder:
         return out, both
 
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, _WORD_ENDS, rf"\1 {_GLUE}\2"), " ")
         flat, offsets = lists.flatten(), _offsets(lists)
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True  # the only chunks without a space before them
-        lengths = np.empty(len(flat), np.int64)
-        bare, lengths[first] = self.bare.ids(flat.filter(pa.array(first)))
-        rest, lengths[~first] = self.spaced.ids(flat.filter(pa.array(~first)))
-        is_bare = np.repeat(first, lengths)
-        ids = np.empty(is_bare.size, np.uint32)
-        ids[is_bare], ids[~is_bare] = bare, rest
-        return ids, _sums(lengths, offsets)
+        glued = np.asarray(pc.starts_with(flat, _GLUE)).astype(bool)
+        kind = np.where(glued, 2, 1)
+        kind[offsets[:-1]] = 0  # the first of a text has no space before it either
+        lengths, found = np.empty(len(flat), np.int64), []
+        for k, cache in enumerate((self.bare, self.spaced, self.glued)):
+            ids, lengths[kind == k] = cache.ids(flat.filter(pa.array(kind == k)))
+            found.append(ids)
+        of = np.repeat(kind.astype(np.int8), lengths)
+        out = np.empty(of.size, np.uint32)
+        for k, ids in enumerate(found):
+            out[of == k] = ids
+        return out, _sums(lengths, offsets)
 
     def _apart(self, texts: list[str], cut) -> tuple[np.ndarray, np.ndarray]:
         lists = [cut(t) for t in texts]
