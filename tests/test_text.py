@@ -1,6 +1,6 @@
 import datetime
 
-from hypothesis import given
+from hypothesis import example, given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -67,6 +67,7 @@ def test_lcs(a, b):
 
 
 @given(st.text("ab ", max_size=30), st.text("ab ", max_size=30))
+@example("b aaaaab", "aa aa ab b")  # 80 exactly
 def test_token_set_ratio_is_best_of_three(a, b):
     x, y = set(a.split()), set(b.split())
     got = token_set_ratio(a, b)
