@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from quoin.llm.decontamination import op2_decontamination
+from quoin.llm.divergence import OP13_SQL, op13_divergence_audit
 from quoin.llm.license_scan import op1_license_scan
 from quoin.llm.lm_scoring import op6_lm_scoring
 from quoin.llm.media import op8_media_columns
@@ -25,12 +26,14 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_token_files": op9_token_files,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
+    "op13_divergence_audit": op13_divergence_audit,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference_formatting": OP3_SQL,
     "op10_hash_tree_sharding": OP10_SQL,
+    "op13_divergence_audit": OP13_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:
