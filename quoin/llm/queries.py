@@ -14,6 +14,8 @@ from quoin.llm.sharding import OP10_SQL, op10_hash_tree_sharding
 from quoin.llm.simhash import op4_simhash_near_dedup
 from quoin.llm.token_files import op9_token_files
 from quoin.llm.toxicity import op7_toxicity
+from quoin.llm.upsert import op11_cow_upsert
+from quoin.llm.warc import op12_warc
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_token_files": op9_token_files,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
+    "op11_cow_upsert": op11_cow_upsert,
+    "op12_warc": op12_warc,
     "op13_divergence_audit": op13_divergence_audit,
     "pipeline": corpus_pipeline.run,
 }
