@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.operators import fulltext
 from quoin.operators.dedup import group_duplicates
 
 # English words that say nothing alone.
@@ -25,7 +26,7 @@ def cards(articles: DataFrame, issues: DataFrame, extractions: DataFrame) -> Dat
     """Articles with an extraction, and their issue's date."""
     a = articles.select("id", "issue_id", "page_no", "headline", "body", "category", "exam_tags", "relevance_score", "incomplete")
     i = issues.select(F.col("id").alias("issue_id"), "issue_date")
-    e = extractions.select(F.col("article_id").alias("id"), "data", "validation_status", "warnings", "search_text", "embedding")
+    e = extractions.select(F.col("article_id").alias("id"), "data", "validation_status", "warnings", "search_text", "embedding", *(c for c in ("tsv",) if c in extractions.columns))
     return a.join(i, "issue_id").join(e, "id").drop("issue_id")
 
 
@@ -139,9 +140,10 @@ def in_order(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def hybrid_search(rows: DataFrame, query: str, embed: Callable[[list[str]], list[list[float]] | None] | None = None, k: int = 8, where: Column | None = None) -> DataFrame:
-    """Cards in fused order. Both legs filter before their limit; without a query vector only terms count."""
+    """Cards in fused order. Both legs filter before their limit; without a query vector only terms count. Rows with
+    stored vectors (tsv) are ranked by these, others by their texts."""
     vectors = embed([query]) if embed else None
-    rankings = [term_rank(rows, query, where=where)]
+    rankings = [fulltext.search(rows, fulltext.any_of(query), where=where) if "tsv" in rows.columns else term_rank(rows, query, where=where)]
     if vectors:
         rankings.append(vector_rank(rows, vectors[0], where=where))
     return in_order(rows, fuse(rankings, k))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin import schemas
+from quoin.operators import fulltext
 
 CARD = ("id", "page_no", "headline", "body", "category", "exam_tags", "relevance_score", "incomplete")
 PARTS = {"articles": "issue_id"}  # tables of which a change writes the touched parts alone
@@ -175,10 +176,12 @@ def pending_extract(articles: DataFrame, extractions: DataFrame, version: str) -
 
 
 def upsert_extractions(extractions: DataFrame, incoming: DataFrame) -> DataFrame:
-    """A replaced row loses its embedding and keeps created_at."""
+    """A replaced row loses its embedding and keeps created_at. Where vectors are kept, they follow the search text."""
     kept = extractions.select("article_id", F.col("created_at").alias("_old"))
     new = incoming.join(kept, "article_id", "left").withColumn("created_at", F.coalesce("_old", "created_at")).drop("_old", "embedding")
     new = new.withColumn("embedding", F.lit(None).cast("array<float>"))
+    if "tsv" in extractions.columns:
+        new = fulltext.with_vectors(new)
     return extractions.join(incoming.select("article_id"), "article_id", "left_anti").unionByName(new)
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin import schemas, twins, views
-from quoin.functions import text as T
+from quoin.functions import stems, text as T
 from quoin.functions.similarity import partial_ratio_udf, token_set_ratio_udf
-from quoin.operators import calls, dedup, enrich, evaluate, grounding, layout, prefilter, reports, search, store
+from quoin.sources.shared import new_folder
+from quoin.operators import calls, dedup, enrich, evaluate, fulltext, grounding, layout, prefilter, reports, search, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -622,3 +623,53 @@ def _rule_provider(messages: list[calls.Message]) -> str:
 def classify_rule(spark, d):
     due = store.pending_classify(views.articles(spark, d))
     return enrich.classify(due, calls.Providers((("rule", _rule_provider),)), "rule").select("id", "status", "relevant", "category", "score")
+
+
+# ---- full text over stored vectors ----
+_WORDS_SQL = """texts AS (SELECT article_id AS id, unnest(regexp_extract_all(lower(search_text), '[\\p{L}\\p{N}\\x{0900}-\\x{097F}]+')) AS w, generate_subscripts(regexp_extract_all(lower(search_text), '[\\p{L}\\p{N}\\x{0900}-\\x{097F}]+'), 1) AS p FROM extractions),
+  kept AS (SELECT * FROM texts WHERE w NOT IN (STOP)), ws AS (SELECT DISTINCT w FROM kept), STEMS,
+  vector AS (SELECT id, stem AS term, p FROM kept JOIN stems USING (w))""".replace("STOP", ", ".join(f"'{w}'" for w in sorted(stems.STOP))).replace("STEMS", stems.stem_sql("ws"))
+
+
+def _sql_ctes(body: str) -> str:
+    return views.with_views(["extractions"], "").rstrip() + ",\n" + _WORDS_SQL + "\n" + body
+
+
+def _vectors(spark, d):
+    rows = views.extractions(spark, d).select(F.col("article_id").alias("id"), "search_text")
+    return fulltext.with_vectors(rows).drop("search_text")
+
+
+@query("search_vectors", sql=_sql_ctes("SELECT id, term, string_agg(p, ',' ORDER BY p) AS positions FROM vector GROUP BY id, term"))
+def search_vectors(spark, d):
+    """The stored vectors, a row a term."""
+    return _vectors(spark, d).select("id", F.explode("tsv").alias("t")).select("id", "t.term", F.array_join(F.col("t.positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query("cover_rank_any", sql=_sql_ctes("""SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM
+    (SELECT id, round(count(*) * 0.1, 6) AS score FROM vector WHERE term IN ('licens', 'version', 'public') GROUP BY id ORDER BY score DESC, id LIMIT 30)"""))
+def cover_rank_any(spark, d):
+    """A question in words: any of them counts."""
+    return fulltext.search(_vectors(spark, d), fulltext.any_of("Is this the licensed version of the public?"))
+
+
+@query("cover_rank_all", sql=_sql_ctes("""SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM (SELECT id, round(sum(0.1::DOUBLE / (1 + (p - p0) - (n - n0))), 6) AS score FROM
+    (SELECT *, max(p0) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM
+      (SELECT *, least(la, lb).p AS p0, least(la, lb).n AS n0 FROM
+        (SELECT id, p, n, max(CASE WHEN term = 'licens' THEN {'p': p, 'n': n} END) OVER w AS la, max(CASE WHEN term = 'version' THEN {'p': p, 'n': n} END) OVER w AS lb FROM
+          (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS n FROM vector WHERE term IN ('licens', 'version')) WINDOW w AS (PARTITION BY id ORDER BY n))
+       WHERE la IS NOT NULL AND lb IS NOT NULL))
+    WHERE before IS NULL OR p0 > before GROUP BY id ORDER BY score DESC, id LIMIT 30)"""))
+def cover_rank_all(spark, d):
+    """Both words, the nearer to each other the better."""
+    return fulltext.search(_vectors(spark, d), fulltext.all_of("licensing versions"))
+
+
+@query("index_search")
+def index_search(spark, d):
+    """The same question as cover_rank_any, put to an index of postings that is written first."""
+    rows = views.extractions(spark, d).select(F.col("article_id").alias("id"), "search_text")
+    rows = fulltext.with_vectors(rows).join(views.articles(spark, d).select("id", "issue_id"), "id")
+    index = fulltext.Index(spark, f"{new_folder(spark)}/postings", 8)
+    index.replace(rows, rows.select("issue_id"))
+    return index.search(fulltext.any_of("Is this the licensed version of the public?"))

@@ -29,7 +29,7 @@ ARTICLES = (
 )
 EXTRACTIONS = (
     f"article_id bigint, data {EXTRACTION}, validation_status string, warnings array<string>, model string, prompt_version string, "
-    "search_text string, embedding array<float>, created_at timestamp"
+    "search_text string, tsv array<struct<term: string, positions: array<int>>>, embedding array<float>, created_at timestamp"
 )
 FEEDBACK = "id bigint, article_id bigint, vote int, note string, created_at timestamp"
 TABLES = {"issues": ISSUES, "articles": ARTICLES, "extractions": EXTRACTIONS, "feedback": FEEDBACK}
