@@ -120,7 +120,7 @@ class Providers:
 
 
 def correction(answer: str, wrong: str, most: int = 600) -> list[Message]:
-    return [{"role": "assistant", "content": answer}, {"role": "user", "content": f"This does not fit: {wrong[:most]}. Send the whole JSON again, corrected, and nothing else."}]
+    return [{"role": "assistant", "content": answer}, {"role": "user", "content": f"Rejected: {wrong[:most]}"}]
 
 
 def unfenced(text: str) -> str:
@@ -138,7 +138,7 @@ def parsed(c: Column, schema: str) -> Column:
 
 def instructed(system: str, form: dict) -> str:
     """A system prompt with the JSON Schema that answers have to match."""
-    return f"{system}\n\nAnswer with JSON alone, without prose or Markdown. It has to match this JSON Schema:\n{json.dumps(form, ensure_ascii=False)}"
+    return f"{system}\n\nOutput format (JSON Schema):\n{json.dumps(form, ensure_ascii=False)}"
 
 
 def ask(calls: DataFrame, providers: Providers, system: str, check: Callable[[object], object], value: str, lanes: int = 1) -> DataFrame:

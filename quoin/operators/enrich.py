@@ -150,27 +150,13 @@ EXTRACTION_FORM = _object(
     event_date=_maybe({"type": "string", "format": "date"}), evidence=_list(_object(quote=_text(400, 15)), 5, 1),
 )
 
-CLASSIFY_SYSTEM = """You sort newspaper articles for people who prepare for law and civil-service examinations in India: judicial
-services, public prosecution, and the union and state public service commissions. They are asked about law and about current affairs.
-
-Each article comes with a number, its headline and its first lines. Say for every number whether an examiner could ask about it.
-Relevant are rulings, bills, appointments and institutions of law; and of current affairs the economy, environment, science, foreign relations,
-security, government schemes, social questions, prizes and offices, and the affairs of Bihar. Not relevant are notices, listings, weather, puzzles,
-advertisements, entertainment, ordinary sport, and crime or accidents without a point of law or policy.
-
-category: judgment only where a court has decided something; constitutional for the constitution and rights; statute_bill for laws and rules in the
-making; legal_institutional for courts and offices of law; intl_law for treaties as law; policy_governance, economy, environment_science, intl_relations,
-security_defence, social_issues, awards_misc and bihar_state as their names say; other for the rest.
-exam_tags: all of judiciary, apo, bpsc and upsc for current affairs; judiciary and apo for law, with others where it is general knowledge too.
-score: from 0 to 1, how useful it is; in doubt about a half, since a missed article is worse than a needless one.
-reason: a short sentence. Give one item for each number, under that number as id."""
-EXTRACT_SYSTEM = """You take examination notes from one newspaper article. Use nothing but what its text states: no outside knowledge, no
-guesses; null or an empty list where it says nothing.
-
-summary: plain facts, 600 characters at most. key_points: up to six short facts that could be asked: names, places, dates, figures, schemes.
-provisions: only articles, acts, sections, bills and rules that the text names. case: only where the text reports a case.
-exam_relevance: one sentence on why it matters. event_date: the day of the event, where the text gives it.
-evidence: one to four passages of 15 to 300 characters, copied letter by letter from the text, that bear the summary out."""
+CLASSIFY_SYSTEM = (
+    "Rate every numbered article for a reader's study notes and return an item with the same number as id. Pick the one category that fits best, and every tag whose readers "
+    "should see the article. The score is your estimate of how likely it belongs in the notes, and relevant says whether you would keep it. Give your reason in one line."
+)
+EXTRACT_SYSTEM = (
+    "Fill in the form from the article below and from nothing else. Leave a field null or empty if the article is silent on it. Each evidence quote must occur in the article exactly as you give it."
+)
 
 
 def _or_empty(c: str) -> Column:

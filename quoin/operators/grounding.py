@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
-from quoin.functions.similarity import partial_ratio
+from quoin.functions.similarity import partial_reaches
 
 FUZZY_FROM = 6  # shorter needles must be contained
 
@@ -53,7 +53,7 @@ def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
 def present_in(needle: str, hay: str, cut: float) -> bool:
     if not needle:
         return False
-    return needle in hay or len(needle) >= FUZZY_FROM and partial_ratio(needle, hay, cut) >= cut
+    return needle in hay or len(needle) >= FUZZY_FROM and partial_reaches(needle, hay, cut)
 
 
 def _all_present(cut: float):

@@ -157,6 +157,7 @@ def grouped(hits: DataFrame) -> DataFrame:
 
 
 NO_HITS = "No matching notes found."
+ANSWER_SYSTEM = "Every statement of your reply rests on a note below and ends with that note's number in brackets. Where no note covers the question, tell the reader that."
 
 
 def answer_context(hits: DataFrame, most: int = 6) -> DataFrame:
@@ -168,6 +169,7 @@ def answer_context(hits: DataFrame, most: int = 6) -> DataFrame:
     return top.select(n.alias("n"), note.alias("note"))
 
 
-def answer(question: str, hits: DataFrame, respond: Callable[[str], str]) -> str:
+def answer(question: str, hits: DataFrame, respond: Callable[[str, str], str], system: str = ANSWER_SYSTEM) -> str:
+    """respond: from a system prompt and the question with its notes to the reply."""
     notes = [r.note for r in answer_context(hits).orderBy("n").collect()]  # six rows at most
-    return respond(f"QUESTION: {question}\n\nNOTES:\n" + "\n\n".join(notes)) if notes else NO_HITS
+    return respond(system, f"QUESTION: {question}\n\nNOTES:\n" + "\n\n".join(notes)) if notes else NO_HITS

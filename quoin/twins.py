@@ -107,7 +107,7 @@ def n_words(text: str) -> str:
     return f"len(list_filter(regexp_split_to_array({text}, '{_SPACE}+'), lambda w: w <> ''))"
 
 
-# ---- layout, over the views `blocks` and pages of 1400 points ----
+# ---- layout, over the view `blocks`, which has its pages' heights ----
 BODY_SIZE = """sizes AS (SELECT issue, arg_max(s, {'n': n, 'p': -page, 'b': -block_no}) AS body_size FROM (
     SELECT issue, round_even(size * 2, 0) / 2 AS s, sum(nchars)::BIGINT AS n, min({'p': page, 'b': block_no}).p AS page, min({'p': page, 'b': block_no}).b AS block_no FROM blocks GROUP BY ALL) GROUP BY issue)"""
 
@@ -126,7 +126,7 @@ def _fold(name: str, source: str, holds: str, pick: str, text: str, deck: str) -
 
 
 SEGMENTS = f"""{BODY_SIZE},
-inside AS (SELECT * FROM blocks JOIN sizes USING (issue) WHERE y0 >= 1400 * 0.03 AND y1 <= 1400 * (1 - 0.03)),
+inside AS (SELECT * FROM blocks JOIN sizes USING (issue) WHERE y0 >= height * 0.03 AND y1 <= height * (1 - 0.03)),
 raw AS (SELECT * FROM inside WHERE size >= body_size * 1.35 AND length(text) BETWEEN 8 AND 220 AND NOT regexp_full_match({stripped('text')}, '\\p{{Nd}}+')),
 tall AS (SELECT issue, page, any_value(body_size) AS body_size, list({{'y0': y0, 'x0': x0, 'x1': x1, 'y1': y1, 'size': size, 'text': text, 'deck': []::VARCHAR[]}} ORDER BY y0, x0, block_no) AS boxes FROM raw GROUP BY issue, page),
 {_fold('merging', 'tall', _below('h', 'k', 1.2, 0.5) + ' AND abs(h.size - k.size) < 1.5', 'list_min', "k.text || chr(10) || h.text", 'k.deck')},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
@@ -57,9 +57,12 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.array(F.left("body", F.lit(40)), F.concat(F.lit("chars "), F.col("n_chars").cast("string")))
     provisions = F.when(F.col("id") % 3 == 0, F.array(F.struct(F.concat(F.lit("Section "), F.col("page_no").cast("string")).alias("name"), F.lit("section").alias("kind")))).otherwise(F.array().cast("array<struct<name: string, kind: string>>"))
     case = F.when(F.col("id") % 5 == 0, F.struct(F.lit("A v. B").alias("case_name"), F.lit("High Court").alias("court"), F.array(F.lit("X")).alias("bench"), F.lit(None).cast("string").alias("holding")))
+    # quotes as models give them: to the letter, with letters lost, with other words put in, or of nothing that is there
+    cut, n = F.substr("body", F.lit(10), F.lit(60)), F.col("id") % 8
+    quote = F.when(n == 1, F.regexp_replace(cut, "(.{14}).", "$1")).when(n == 3, F.concat(F.left(cut, F.lit(30)), F.lit(" it is said "), F.substr(cut, F.lit(31)))).when(n == 5, F.reverse(cut)).otherwise(cut)
     data = F.struct(
         F.left("body", F.lit(80)).alias("summary"), points.alias("key_points"), case.alias("case"), provisions.alias("provisions"), F.concat(F.lit("on "), F.col("category")).alias("exam_relevance"),
-        F.lit(None).cast("date").alias("event_date"), F.array(F.struct(F.substr("body", F.lit(10), F.lit(60)).alias("quote"))).alias("evidence"),
+        F.lit(None).cast("date").alias("event_date"), F.array(F.struct(quote.alias("quote"))).alias("evidence"),
     )
     return a.join(v, "id", "left").select(
         F.col("id").alias("article_id"), data.alias("data"),
@@ -77,14 +80,20 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), (F.col("event_id") % F.col("_n")).alias("article_id"), vote.alias("vote"), F.col("ts").alias("created_at")).filter("vote is not null")
 
 
+def _leaf(lines: Column) -> Column:
+    """A hundredth of the height of a page that has all these lines between its header and footer bands."""
+    return F.ceil((F.size(lines) * 12 + 15) / 94)
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's lines as blocks of one page in three columns of 180 points. Every fifth line is a headline; of each
     twenty the fourth goes on with the first below it, and the fourteenth is a deck of the eleventh."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
-    column = F.col("n") % 3
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", _leaf(lines).alias("leaf"), F.posexplode(lines).alias("n", "line"))
+    column, top = F.col("n") % 3, F.col("n") * 12.0 + F.col("leaf") * 3 + 1
     return d.select(
-        F.col("source").alias("issue"), F.col("doc_id").cast("int").alias("page"), F.col("n").alias("block_no"), (column * 190.0 + (F.col("n") % 4)).alias("x0"), (F.col("n") * 12.0 + 30).alias("y0"),
-        (column * 190.0 + 180).alias("x1"), (F.col("n") * 12.0 + 43).alias("y1"), F.col("line").alias("text"),
+        F.col("source").alias("issue"), F.col("doc_id").cast("int").alias("page"), F.col("n").alias("block_no"), (column * 190.0 + (F.col("n") % 4)).alias("x0"), top.alias("y0"),
+        (column * 190.0 + 180).alias("x1"), (top + 13).alias("y1"), F.col("line").alias("text"),
         F.when((F.col("n") % 5 == 0) | (F.col("n") % 20 == 3), 20.25).when(F.col("n") % 20 == 13, 13.0).otherwise(9.0).alias("size"),
         F.lit(False).alias("bold"), F.length("line").alias("nchars"),
     )
@@ -92,7 +101,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("issue"), F.col("doc_id").cast("int").alias("page"), F.lit(595.0).alias("width"), F.lit(1400.0).alias("height"))
+    height = (_leaf(F.split(F.coalesce("text", F.lit("")), "\n")) * 100).cast("double")
+    return d.select(F.col("source").alias("issue"), F.col("doc_id").cast("int").alias("page"), F.lit(595.0).alias("width"), height.alias("height"))
 
 
 SQL = {
@@ -118,9 +128,9 @@ SQL = {
     "cards": """cards AS (SELECT a.id, a.page_no, a.headline, a.body, a.category, a.exam_tags, a.relevance_score, a.issue_date, e.* EXCLUDE (article_id)
       FROM articles a JOIN issues i ON i.id = a.issue_id JOIN extractions e ON e.article_id = a.id)""",
     "brief": """brief AS (SELECT *, row_number() OVER (PARTITION BY issue_date ORDER BY relevance_score DESC NULLS LAST, page_no NULLS LAST, id) AS seq FROM cards)""",
-    "blocks": """blocks AS (SELECT issue, page, n AS block_no, (n % 3) * 190.0 + (n % 4) AS x0, n * 12.0 + 30 AS y0, (n % 3) * 190.0 + 180 AS x1, n * 12.0 + 43 AS y1, line AS text,
+    "blocks": """blocks AS (SELECT issue, page, n AS block_no, (n % 3) * 190.0 + (n % 4) AS x0, n * 12.0 + leaf * 3 + 1 AS y0, (n % 3) * 190.0 + 180 AS x1, n * 12.0 + leaf * 3 + 14 AS y1, line AS text, leaf * 100 AS height,
       CASE WHEN n % 5 = 0 OR n % 20 = 3 THEN 20.25 WHEN n % 20 = 13 THEN 13.0 ELSE 9.0 END::DOUBLE AS size, length(line) AS nchars
-      FROM (SELECT source AS issue, CAST(doc_id AS INTEGER) AS page, unnest(ls) AS line, unnest(range(len(ls))) AS n FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))""",
+      FROM (SELECT source AS issue, CAST(doc_id AS INTEGER) AS page, unnest(ls) AS line, unnest(range(len(ls))) AS n, ceil((len(ls) * 12 + 15) / 94) AS leaf FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))""",
 }
 NEEDS = {"articles": ["docs"], "issues": ["docs"], "extractions": ["articles"], "cards": ["articles", "issues", "extractions"], "brief": ["cards"]}
 

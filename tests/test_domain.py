@@ -249,8 +249,8 @@ def test_search_without_vectors(spark):
     assert [r.id for r in search.hybrid_search(rows, "bail", lambda _: None).collect()] == [1]
     assert {r.id for r in search.hybrid_search(rows, "bail", lambda _: [[1.0, 0.0]]).collect()} == {1, 2}
     cards = rows.selectExpr("*", "current_date() issue_date", "1 page_no", "'h' headline", "named_struct('summary', 's', 'key_points', array('k', 'l')) data")
-    assert search.answer("q", search.hybrid_search(cards, "of"), str) == search.NO_HITS
-    assert search.answer("q", search.hybrid_search(cards, "bail"), lambda x: x).endswith("p.1) h\ns\n- k\n- l")
+    assert search.answer("q", search.hybrid_search(cards, "of"), lambda s, x: x) == search.NO_HITS
+    assert search.answer("q", search.hybrid_search(cards, "bail"), lambda s, x: f"{s} {x}").endswith("p.1) h\ns\n- k\n- l")
 
 
 # ---- evaluation ----

@@ -60,3 +60,12 @@ def test_printed_dates_are_detected(spark, tables):
     d = tables(["CHENNAI, FRIDAY, NOVEMBER 8, 2019\nOther text.", f"{'long line ' * 20}Monday March 2, 2020", "A title\nof Sunday, June 7, 2020", "No date"])
     got = {r.id: str(r.detected) for r in QUERIES["detect_date"](spark, d).collect()}
     assert got == {0: "2019-11-08", 1: "2020-03-02", 2: "2020-06-07", 3: "2024-04-03"}
+
+
+def test_every_line_lies_between_the_bands(spark, tables):
+    from quoin import views
+    from quoin.operators import layout
+
+    d = tables(["one line", "first\n" + "line\n" * 500 + "last", "", "a\nb"])
+    every = views.blocks(spark, d)
+    assert every.count() == 1 + 502 + 1 + 2 == layout.body_bands(views.pages(spark, d), every).count()
