@@ -4,9 +4,9 @@ P3(w | u v) = a ML(w | u v) + (1 - a) P2(w | v), P2 in the same way from P1(w),
 type and one for all unknown ones. Trigrams, bigrams and unigrams are maximum-likelihood estimates of the training
 rows. The weights a depend on the order and on the bucket of the context's frequency (powers of two); they are
 learned from the lowest order up by expectation-maximisation on a fold deleted from the counts: the EM sees the
-training rows without that fold as counts and the fold as held-out text. Scores use the counts of all training
-rows with those of the scored row itself deleted: a training row is scored as if it were held out, so its score
-tells what the rest of the corpus makes of it. Each row is a sequence from two start marks to an end token.
+training rows without that fold as counts and the fold as held-out text. `score` is by one model, with the counts of all
+training rows; `deleted_score` is by the same weights and the counts without the scored row's own, as if a training
+row were held out, so it tells what the rest of the corpus makes of it. Each row is a sequence from two start marks to an end token.
 
 Texts become chunks of word hashes once, written to the shared folder. A chunk sends its n-grams with their counts
 to hash buckets, as sorted arrays: single words, and pairs of words with the words before them, so that a bucket
@@ -329,9 +329,9 @@ def _answers(sent: list[dict]) -> list[dict]:
     return [*packed, {"key": SUMS, "ord": ord_, "bucket": bucket, "main": None, "dev": None, **nothing}]
 
 
-def _known(chunk: Chunk, counts: Counts, number: int, scored: bool) -> tuple[np.ndarray, ...]:
+def _known(chunk: Chunk, counts: Counts, number: int, scored: bool) -> list[tuple[np.ndarray, ...]]:
     """For each token the counts over all chunks of the trigram, its context, the pair, its context, and the word:
-    those of the main fold, or, to be `scored`, of all training rows but its own."""
+    those of the main fold, or, to be `scored`, first of all training rows and then of all but its own."""
     keys, at1, main1, dev1 = chunk.words()
     three = chunk.trigrams()
     main2, dev2 = three.pairs(three.main), three.pairs(three.dev)
@@ -353,10 +353,10 @@ def _known(chunk: Chunk, counts: Counts, number: int, scored: bool) -> tuple[np.
     starts = ends[0] if ends.size else 0  # as many starts as ends
     out = all_three, chunk.before(pair, starts), pair, chunk.before(word, starts), word
     if not scored:
-        return out
+        return [out]
     own3, own2, own1 = chunk.own(three.place), chunk.own(three.at), chunk.own(at1)
     first = (chunk.fold != HELD).astype(np.int64)
-    return tuple(c - own for c, own in zip(out, (own3, chunk.before(own2, first), own2, chunk.before(own1, first), own1), strict=True))
+    return [out, tuple(c - own for c, own in zip(out, (own3, chunk.before(own2, first), own2, chunk.before(own1, first), own1), strict=True))]
 
 
 def _context_bucket(context: np.ndarray, p: Interpolation) -> np.ndarray:
@@ -391,7 +391,7 @@ def held_out(rows: DataFrame, counts: Counts, n: int, p: Interpolation) -> DataF
             chunk = Chunk(row)
             dev = chunk.of == DEV
             if dev.any():
-                c3, context3, c2, context2, c1 = (x[dev] for x in _known(chunk, counts, row["chunk"], scored=False))
+                c3, context3, c2, context2, c1 = (x[dev] for x in _known(chunk, counts, row["chunk"], scored=False)[0])
                 found = (_context_bucket(context3, p).astype(np.uint8), _context_bucket(context2, p).astype(np.uint8))
                 found += tuple(map(_as_bits, (_estimate(c3, context3), _estimate(c2, context2), c1 / max(n, 1))))
                 yield pa.RecordBatch.from_pylist([dict(zip(("bucket3", "bucket2", "p3", "p2", "p1"), map(_pack, found), strict=True))])
@@ -450,8 +450,8 @@ def learn(found: list, order: int, p: Interpolation) -> np.ndarray:
 
 
 def score(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. Base scores and n_known are
-    by the counts of all training rows; the score of a training row is by those of the others.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, deleted_score of every row. All but the
+    last are by the counts of all training rows; deleted_score, of a training row, is by those of the others.
 
     Null texts count as empty: their only token is the end. Rows without id are held out, as crc32 of nothing is
     0. Repeated rows count as often as they come, and rows that repeat an id are scored each by its own text. A text
@@ -469,11 +469,13 @@ def score(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row)
-            c3, context3, c2, context2, c1 = _known(chunk, counts, row["chunk"], scored=True)
+            whole, deleted = _known(chunk, counts, row["chunk"], scored=True)
             others = np.repeat(np.where(chunk.fold == HELD, n, n - chunk.n_tokens), chunk.n_tokens)
-            buckets = [np.zeros(c1.size, np.uint8), _context_bucket(context2, p), _context_bucket(context3, p)]
-            model = np.log10(_mixture(weights, 1 / (v + 1), buckets, [_estimate(c1, others), _estimate(c2, context2), _estimate(c3, context3)]))
-            c1 += chunk.own(chunk.token)
+            models = []
+            for (c3, context3, c2, context2, c1), of in ((whole, np.full(others.size, n)), (deleted, others)):
+                buckets = [np.zeros(c1.size, np.uint8), _context_bucket(context2, p), _context_bucket(context3, p)]
+                models.append(np.log10(_mixture(weights, 1 / (v + 1), buckets, [_estimate(c1, of), _estimate(c2, context2), _estimate(c3, context3)])))
+            c1 = whole[-1]
             base = np.log10((c1 + p.base_add) / (n + p.base_add * (v + 1)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -483,12 +485,12 @@ def score(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFrame:
                     pa.array(np.add.reduceat((c1 > 0).astype(np.int64), chunk.firsts)),
                     pa.array(np.full(chunk.fold.size, n, np.int64)),
                     pa.array(np.add.reduceat(base, chunk.firsts)),
-                    pa.array(np.add.reduceat(model, chunk.firsts)),
+                    *(pa.array(np.add.reduceat(model, chunk.firsts)) for model in models),
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "deleted_score"],
             )
 
-    return rows.mapInArrow(apply, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return rows.mapInArrow(apply, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, deleted_score double")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,8 @@ def test_one_row_of_each_component(spark):
 def plain_lm(every, p):
     """Scores from plain counters, and weights by EM over single held-out tokens."""
     tokens = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [0] for _, t in every]
-    folds = [lm_scoring.fold_of(i, p) for i, _ in every]
+    of = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+    folds = [{0: lm_scoring.HELD, 1: lm_scoring.DEV}.get(of(i), lm_scoring.MAIN) for i, _ in every]
 
     def counted(which):
         grams = Counter()
@@ -272,9 +273,10 @@ def plain_lm(every, p):
     for (i, _), f, ts in zip(every, folds, tokens, strict=True):
         own = Counter(g for gram3 in views(ts) for g in gram3) + Counter([(1,), (1, 1)]) if f != lm_scoring.HELD else Counter()
         others = {g: every_gram[g] - own[g] for gram3 in views(ts) for g in [*gram3, *(x[:-1] for x in gram3)]}
-        model = sum(math.log10(mixed(weights, 1 / (v + 1), estimates(others, n - len(ts) * (f != lm_scoring.HELD), g))) for g in views(ts))
+        deleted = sum(math.log10(mixed(weights, 1 / (v + 1), estimates(others, n - len(ts) * (f != lm_scoring.HELD), g))) for g in views(ts))
+        model = sum(math.log10(mixed(weights, 1 / (v + 1), estimates(every_gram, n, g))) for g in views(ts))
         base = sum(math.log10((every_gram[t,] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)
-        out.append((i, f == lm_scoring.HELD, len(ts), sum(every_gram[t,] > 0 for t in ts), n, base, model))
+        out.append((i, f == lm_scoring.HELD, len(ts), sum(every_gram[t,] > 0 for t in ts), n, base, model, deleted))
     return out
 
 
@@ -285,9 +287,10 @@ def test_lm_scores(spark, docs, none, texts):
     every = texts + more
     got = lm_scoring.score(docs.union(spark.createDataFrame(rows(more), SCHEMA)), p).collect()
     order = lambda r: (str(r[0]), r[2], r[5])
-    for r, (*exact, base, model) in zip(sorted(got, key=order), sorted(plain_lm(every, p), key=order), strict=True):
+    for r, (*exact, base, model, deleted) in zip(sorted(got, key=order), sorted(plain_lm(every, p), key=order), strict=True):
         assert list(r[:5]) == exact
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model, rel=1e-4)
+        assert r.deleted_score == pytest.approx(deleted, rel=1e-4)
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert lm_scoring.score(none, p).count() == 0
