@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
-Every template is cut into budget + 1 runs of words, so a text that holds it with at most its budget of differing
-words holds one of the runs unchanged; one pass of an Aho-Corasick automaton over a text's words finds them, and the
-words around them are where the template is looked for. There, Myers' algorithm on words finds every stretch within
-the budget: these are the candidate blocks. Each is compressed with zstandard alone and with its template as raw
-dictionary (both as lower-case words, so that line breaks and capitals don't count), and blocks are ranked by the
-bytes saved. From the top of the ranking down, a block that no winner overlaps is a winner; its exact differences in
-wording confirm it and are reported word by word, with numbers apart as versions.
+Candidate blocks: every template is cut into budget + 1 runs of words, so a text that holds it with at most its budget
+of differing words holds one of the runs unchanged; one pass of an Aho-Corasick automaton over a text's words finds
+them, and around them Myers' algorithm on words finds the stretches within the budget. Each candidate is compressed
+with zstandard alone and with every template as raw dictionary (all as lower-case words, so that line breaks and
+capitals don't count), and the templates are ranked by the bytes they save. From the top of the ranking down, the first
+template whose exact differences in wording confirm it names the block: they are within its budget, no word that
+names the license is missing, and none that names another is there. Blocks go by the bytes saved, and a block that
+overlaps none before it is a winner; its differences are reported word by word, with numbers apart as versions.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm.common import DOCUMENTS, pick, read
 from quoin.llm.decontamination import Myers, pieces
-from quoin.llm.license_texts import TEMPLATES
+from quoin.llm.license_texts import CC_PARTS, NAMING, TEMPLATES
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,10 @@ def words_of(text: str) -> list[str]:
     return [m.lower() for m in _WORD.findall(text)]
 
 
+def _numbers(words: list[str]) -> tuple[str, ...]:
+    return tuple(w for w in words if w[0].isdigit())
+
+
 @dataclass(frozen=True)
 class Notice:
     """`begin` and `end` count words of the text."""
@@ -84,7 +89,19 @@ class Scanner:
         self.budget = {n: p.budget(len(ws)) for n, ws in self.words.items()}
         self.myers = {n: (Myers(ws), Myers(ws[::-1])) for n, ws in self.words.items()}
         self.alone = compressor()
-        self.given = {n: compressor(dict_data=z.ZstdCompressionDict(" ".join(ws).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for n, ws in self.words.items()}
+        self.given = []
+        for ws in self.words.values():
+            known = z.ZstdCompressionDict(" ".join(ws).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=p.level)
+            self.given.append(compressor(dict_data=known))
+        self.naming = {n: NAMING | CC_PARTS if "cc" in ws else NAMING for n, ws in self.words.items()}
+        self.named = {n: self.naming[n].intersection(ws) for n, ws in self.words.items()}
+        self.numbers = {n: _numbers(ws) for n, ws in self.words.items()}
+        alike: dict[tuple, set[tuple]] = {}
+        for n, ws in self.words.items():
+            alike.setdefault(tuple(w for w in ws if not w[0].isdigit()), set()).add(self.numbers[n])
+        self.versions = {n: alike[tuple(w for w in ws if not w[0].isdigit())] for n, ws in self.words.items()}  # of templates that differ in numbers alone
+        self.allowed = {n: self.named[n] | self.naming[n].intersection(words_of(n)) for n in self.words}
         runs: dict[str, list[tuple[str, int]]] = {}
         for n, ws in self.words.items():
             for at, run in pieces(ws, self.budget[n]):
@@ -95,7 +112,7 @@ class Scanner:
         if runs:
             self.automaton.make_automaton()
         self.any = bool(runs)
-        self.saved = lru_cache(100_000)(self._saved)
+        self.ranking = lru_cache(100_000)(self._ranking)
         self.differences = lru_cache(100_000)(self._differences)
 
     def regions(self, words: list[str]) -> dict[str, list[list[int]]]:
@@ -112,14 +129,20 @@ class Scanner:
         return {n: _joined(sorted(ranges)) for n, ranges in found.items()}
 
     def stretches(self, name: str, words: list[str]) -> list[tuple[int, int]]:
-        """Stretches within the template's budget, apart from each other: the least differences first, of equals the
-        one nearest to the template's length, then the one that ends first."""
+        """Stretches within the template's budget and of its naming words, apart from each other: the least differences
+        first, of equals the one nearest to the template's length, then the one that ends first."""
         (ahead, back), k, m, near = self.myers[name], self.budget[name], len(self.words[name]), []
         for end, d in enumerate(ahead.distances(words), 1):
-            if d <= k:
-                sizes = enumerate(back.distances(words[max(0, end - m - k) : end][::-1], anchored=True), 1)
-                off, size = min((abs(size - m), size) for size, each in sizes if each == d)
-                near.append((d, off, end, size))
+            if d > k:
+                continue
+            have, best = set(), None
+            for size, each in enumerate(back.distances(words[max(0, end - m - k) : end][::-1], anchored=True), 1):
+                if words[end - size] in self.naming[name]:
+                    have.add(words[end - size])
+                if each <= k and self.named[name] <= have <= self.allowed[name] and (best is None or (each, abs(size - m)) < best[:2]):
+                    best = each, abs(size - m), end, size
+            if best:
+                near.append(best)
         taken, out = bytearray(len(words)), []
         for _, _, end, size in sorted(near):
             if not any(taken[end - size : end]):
@@ -127,9 +150,23 @@ class Scanner:
                 out.append((end - size, end))
         return out
 
-    def _saved(self, name: str, stretch: str) -> tuple[int, int]:
-        raw = stretch.encode()
-        return len(self.alone.compress(raw)), len(self.given[name].compress(raw))
+    def _confirmed(self, name: str, words: list[str]) -> bool:
+        """Every difference counts: words within the budget, none of them a naming word, and no version that another
+        template of the same wording has."""
+        have = self.naming[name].intersection(words)
+        if not self.named[name] <= have <= self.allowed[name] or abs(len(words) - len(self.words[name])) > self.budget[name]:
+            return False
+        if (numbers := _numbers(words)) != self.numbers[name] and numbers in self.versions[name]:
+            return False
+        return list(self.myers[name][0].distances(words, anchored=True))[-1] <= self.budget[name]
+
+    def _ranking(self, block: str) -> tuple[int, int, str] | None:
+        """The block's size compressed alone and with the template that saves most of those that are confirmed, and that
+        template. All templates are ranked; of equal savings the nearer length counts, then the one named first."""
+        raw, words = block.encode(), block.split(" ")
+        plain = len(self.alone.compress(raw))
+        sizes = sorted((len(c.compress(raw)), abs(len(words) - len(self.words[n])), i, n) for i, (n, c) in enumerate(zip(self.names, self.given, strict=True)))
+        return next(((plain, size, n) for size, _, _, n in sizes if size < plain and self._confirmed(n, words)), None)
 
     def _differences(self, name: str, stretch: str) -> tuple[str, str, str]:
         words, template = stretch.split(" "), self.words[name]
@@ -138,24 +175,23 @@ class Scanner:
             if tag != "equal":
                 missing += template[a:b]
                 added += words[c:d]
-        return " ".join(missing), " ".join(added), " ".join(w for w in words if w[0].isdigit())
+        return " ".join(missing), " ".join(added), " ".join(_numbers(words))
 
     def winners(self, words: list[str]) -> list[Notice]:
-        """From the top of the ranking down, the candidates that overlap none before them."""
-        ranking = []
-        for name, regions in self.regions(words).items():
-            for a, b in regions:
-                for begin, end in self.stretches(name, words[a:b]):
-                    stretch = " ".join(words[a + begin : a + end])
-                    plain, conditional = self.saved(name, stretch)
-                    # of equal savings the nearer length, then the template that comes first
-                    off = abs(end - begin - len(self.words[name]))
-                    ranking.append((conditional - plain, off, self.names.index(name), a + begin, a + end, stretch, plain, conditional))
+        """Of the candidate blocks, by bytes saved, those that overlap none before them."""
+        blocks = {(a + begin, a + end) for name, regions in self.regions(words).items() for a, b in regions for begin, end in self.stretches(name, words[a:b])}
+        ranked = []
+        for begin, end in blocks:
+            block = " ".join(words[begin:end])
+            if found := self.ranking(block):
+                plain, conditional, name = found
+                off = abs(end - begin - len(self.words[name]))
+                ranked.append((conditional - plain, off, self.names.index(name), begin, end, block, plain, conditional))
         taken, out = bytearray(len(words)), []
-        for *_, number, begin, end, stretch, plain, conditional in sorted(ranking):
+        for _, _, number, begin, end, block, plain, conditional in sorted(ranked):
             if not any(taken[begin:end]):
                 taken[begin:end] = b"\1" * (end - begin)
-                out.append(Notice(begin, end, self.names[number], plain, conditional, *self.differences(self.names[number], stretch)))
+                out.append(Notice(begin, end, self.names[number], plain, conditional, *self.differences(self.names[number], block)))
         return sorted(out, key=lambda n: n.begin)
 
     def notices(self, words: list[str]) -> list[Notice]:

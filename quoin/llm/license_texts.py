@@ -8,7 +8,9 @@ NOTICES: dict[str, str] = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "GPL-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "AGPL-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MPL-notice": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
@@ -159,4 +161,28 @@ TEXTS: dict[str, str] = {
     ),
 }
 
-TEMPLATES = NOTICES | TEXTS
+TEXTS |= {"GPL-2.0-opening": TEXTS["GPL-opening"].replace("version 3", "version 2"), "GPL-2.0": TEXTS["GPL"].replace("version 3", "version 2")}
+
+# Identifiers of licenses, and the names that notices give them.
+IDENTIFIERS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+NAMES = {
+    "MIT": "MIT", "Apache": "Apache", "BSD": "BSD", "ISC": "ISC", "zlib": "zlib", "BSL-1.0": "Boost Software", "MPL": "Mozilla Public", "EPL": "Eclipse Public", "GPL": "GNU General Public",
+    "LGPL": "GNU Lesser General Public", "AGPL": "GNU Affero General Public", "Artistic": "Artistic",
+}
+
+SHORT: dict[str, str] = {f"{i}-spdx": f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS} | {f"{i}-field": f"License: {i}" for i in IDENTIFIERS}
+SHORT |= {f"{i}-released": f"Released under the {n} License." for i, n in NAMES.items() if i != "MIT"} | {f"{i}-licensed": f"Licensed under the {n} License." for i, n in NAMES.items()}
+SHORT |= {f"{i}-software": f"This software is released under the {n} license." for i, n in NAMES.items() if i != "zlib"}
+SHORT |= {f"{g}-{v}-or-later-short": f"{g}, version {v} or later" for g in ("GPL", "LGPL", "AGPL") for v in ("2", "2.1", "3")} | {f"GPL-{v}-short": f"GNU GPL v{v}" for v in ("2", "3")}
+SHORT |= {"Apache-2.0-short": "Apache License, Version 2.0"}
+
+# Words that tell licenses apart: a notice that lacks one of its template's, or has another's, is not of that license.
+NAMING = frozenset(
+    "mit apache bsd isc zlib boost bsl mozilla mpl eclipse epl gnu gpl lgpl agpl lesser affero artistic cc creative commons attribution sharealike noncommercial noderivatives unlicense wtfpl".split()
+)
+CC_PARTS = frozenset("by sa nc nd".split())  # these only beside cc
+
+TEMPLATES = NOTICES | TEXTS | SHORT
