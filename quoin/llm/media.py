@@ -1,10 +1,13 @@
 """Media columns: texts' bytes as PNG images, read back chunk by chunk, with cosine-transform hashes.
 
 The payload, padded with zero bytes to rows of 64, is an 8-bit grey image 64 wide. Writing takes for each row the
-one of PNG's five filters with the least sum of absolute values, or filter 0 throughout where the bytes' entropy is
-no larger without filters, as in text; reading checks the signature, each
+one of PNG's five filters that leaves the fewest different bytes, of equals the one with the least sum of absolute
+values: rows of text mostly stay as they are, smooth and repeating ones are filtered. Reading checks the signature, each
 chunk's crc32, the order of chunks and the stream's length, inflates and unfilters with numpy. Images higher than
-`band` rows are filtered and unfiltered a band at a time, so memory follows the band and the payload.
+`band` rows are filtered a band at a time.
+
+Undoing a filter needs the bytes to the left, above and between them, so bytes are set free along diagonals: with those
+of one, all of the next are known. A step takes a diagonal of many images of about one height at once.
 
 The feature is the image's low frequencies: means over a 32 x 32 grid, a type-II cosine transform, and one bit
 for each of the lowest 8 x 8 coefficients without the first: above their median or not.
@@ -48,17 +51,15 @@ def _filtered(image: np.ndarray, above: np.ndarray) -> np.ndarray:
     left, up_left = (np.pad(x[:, :-1], ((0, 0), (1, 0))) for x in (image, up))
     mean = ((left.astype(np.uint16) + up) >> 1).astype(np.uint8)
     options = np.stack([image, image - left, image - up, image - mean, image - _paeth(left, up, up_left)])
-    cost = np.abs(options.view(np.int8).astype(np.int16)).sum(axis=2)
-    best = cost.argmin(axis=0)
+    # rows come in order of (different bytes, sum of absolute values, filter)
+    values = np.sort(options, axis=2)
+    different = (values[:, :, 1:] != values[:, :, :-1]).sum(axis=2, dtype=np.int32)
+    cost = np.abs(options.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int32)
+    best = (different << 16 | cost).argmin(axis=0)
     rows = options[best, np.arange(len(image))]
     return np.hstack([best[:, None].astype(np.uint8), rows])
 
 
-def _entropy(values: np.ndarray) -> float:
-    n = np.bincount(values.reshape(-1), minlength=256) / values.size
-    return -float((n[n > 0] * np.log2(n[n > 0])).sum())
-
-
 def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
@@ -67,11 +68,9 @@ def write_png(payload: bytes, width: int = WIDTH, level: int = 6, band: int = 40
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0))]
     deflate, above = zlib.compressobj(level), np.zeros(width, np.uint8)
-    plain = _entropy(image[:band]) <= _entropy(_filtered(image[:band], above)[:, 1:])
     for i in range(0, len(image), band):
         part = image[i : i + band]
-        rows = np.pad(part, ((0, 0), (1, 0))) if plain else _filtered(part, above)
-        if data := deflate.compress(rows.tobytes()):
+        if data := deflate.compress(_filtered(part, above).tobytes()):
             out.append(_chunk(b"IDAT", data))
         above = part[-1]
     return b"".join([*out, _chunk(b"IDAT", deflate.flush()), _chunk(b"IEND", b"")])
@@ -79,6 +78,11 @@ def write_png(payload: bytes, width: int = WIDTH, level: int = 6, band: int = 40
 
 def read_png(raw: bytes) -> np.ndarray:
     """The image of an 8-bit grey, not interlaced PNG. Anything that is not whole and right raises ValueError."""
+    return unfiltered([filtered_rows(raw)])[0]
+
+
+def filtered_rows(raw: bytes) -> np.ndarray:
+    """The image's rows as they are stored, each with its filter before it, after all checks."""
     if raw[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, size, inflate, rows, ended = 8, None, zlib.decompressobj(), [], False
@@ -112,49 +116,72 @@ def read_png(raw: bytes) -> np.ndarray:
     pixels = b"".join([*rows, inflate.flush()])
     if not ended or not inflate.eof or len(pixels) != size[1] * (size[0] + 1):
         raise ValueError("image data cut short")
-    return _unfiltered(np.frombuffer(pixels, np.uint8).reshape(size[1], size[0] + 1))
+    rows = np.frombuffer(pixels, np.uint8).reshape(size[1], size[0] + 1)
+    if rows.size and rows[:, 0].max() > 4:
+        raise ValueError("unknown filter")
+    return rows
 
 
-def _unfiltered(rows: np.ndarray) -> np.ndarray:
-    """Runs of rows with filters 0, 1 and 2 are undone at once, as plain copies or running sums modulo 256; rows
-    with filters 3 and 4 depend on their own left neighbours, pixel by pixel."""
-    kinds, data = rows[:, 0], rows[:, 1:]
-    if kinds.size and kinds.max() > 4:
-        raise ValueError("unknown filter")
-    out = np.empty_like(data)
-    above = np.zeros(data.shape[1], np.uint8)
-    new = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]]) if kinds.size else np.zeros(0, np.int64)
-    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(data)], strict=False):
-        kind = kinds[a]
-        if kind == 0:
-            out[a:b] = data[a:b]
-        elif kind == 1:
-            out[a:b] = np.cumsum(data[a:b], axis=1, dtype=np.uint8)
-        elif kind == 2:
-            out[a:b] = np.cumsum(data[a:b], axis=0, dtype=np.uint8) + above
+def unfiltered(images: list[np.ndarray], together: int = 1 << 16) -> list[np.ndarray]:
+    """The images of stored rows. Images that use none but filters 0 and 2 are undone as a whole, as no byte of theirs needs
+    its left neighbour; others go in groups of about `together` bytes of equal width, the heights near each other."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(images)
+    hard = []
+    for i, rows in enumerate(images):
+        if np.isin(rows[:, 0], (0, 2)).all():
+            out[i] = _undo_up(rows)
         else:
-            for i in range(a, b):
-                up = above if i == a else out[i - 1]
-                out[i] = _undo_left(kind, data[i].tolist(), up.tolist())
-        above = out[b - 1]
+            hard.append(i)
+    hard.sort(key=lambda i: (images[i].shape[1], len(images[i])))
+    while hard:
+        width = images[hard[0]].shape[1]
+        same = sum(images[i].shape[1] == width for i in hard)
+        most = max(1, min(same, together // (images[hard[0]].size or 1)))
+        for i, image in zip(hard[:most], _undo_diagonals([images[i] for i in hard[:most]]), strict=True):
+            out[i] = image
+        hard = hard[most:]
     return out
 
 
-def _undo_left(kind: int, row: list[int], up: list[int]) -> list[int]:
-    left = corner = 0
-    out = []
-    for x, b in zip(row, up, strict=True):
-        if kind == 3:
-            left = (x + ((left + b) >> 1)) & 255
-        else:
-            p = left + b - corner
-            da, db, dc = abs(p - left), abs(p - b), abs(p - corner)
-            left = (x + (left if da <= db and da <= dc else b if db <= dc else corner)) & 255
-            corner = b
-        out.append(left)
+def _undo_up(rows: np.ndarray) -> np.ndarray:
+    """Runs of rows with filter 2 are running sums modulo 256 on the row before them."""
+    kinds, out = rows[:, 0], rows[:, 1:].copy()
+    new = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]]) if kinds.size else np.zeros(0, np.int64)
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(rows)], strict=False):
+        if kinds[a] == 2:
+            if a:
+                out[a] += out[a - 1]
+            out[a:b] = np.cumsum(out[a:b], axis=0, dtype=np.uint8)
     return out
 
 
+def _undo_diagonals(images: list[np.ndarray]) -> list[np.ndarray]:
+    """Byte (r, c) is on diagonal r + c: it needs bytes of the two diagonals before alone. Rows past an image's end have
+    filter 0, as have margins above and to the left, all zero."""
+    high, width = max(map(len, images)), images[0].shape[1] - 1
+    kinds = np.zeros((len(images), high), np.uint8)
+    data = np.zeros((len(images), high + width, width), np.uint8)  # skewed: (r + c, c)
+    columns = np.arange(width)
+    for image, kind, skewed in zip(images, kinds, data, strict=True):
+        kind[: len(image)] = image[:, 0]
+        skewed[np.arange(len(image))[:, None] + columns, columns] = image[:, 1:]
+    before = older = np.zeros((len(images), width + 1), np.int16)  # by column + 1
+    for d in range(high + width - 1):
+        c = columns[max(0, d - high + 1) : d + 1]
+        kind = kinds[:, d - c]
+        left, up, corner = before[:, c], before[:, c + 1], older[:, c]
+        up, corner = (np.where(d > c, x, 0) for x in (up, corner))  # nothing is above the first row
+        p = left + up - corner
+        to_left, to_up, to_corner = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(kind, (np.int16(0), left, up, (left + up) >> 1, paeth))
+        now = np.zeros_like(before)
+        now[:, c + 1] = (data[:, d, c] + guess) & 255
+        data[:, d, c] = now[:, c + 1]
+        older, before = before, now
+    return [skewed[np.arange(len(image))[:, None] + columns, columns] for image, skewed in zip(images, data, strict=True)]
+
+
 @lru_cache
 def _cosines(n: int, low: int) -> np.ndarray:
     return np.cos(np.pi / n * np.outer(np.arange(low), np.arange(n) + 0.5))
@@ -178,7 +205,9 @@ SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 st
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media, a binary column of PNG files. Null texts count as empty, one row of zeros."""
+    """doc_id, n_bytes and media, a binary column of PNG files. Null texts count as empty, one row of zeros; texts of any
+    length are one image each. Repeated rows repeat their image; an empty table gives none; only doc_id and text are
+    looked at, of columns with one name the first."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,21 +221,23 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes give when read back; a null medium gives nulls, a damaged one raises."""
+    """What the stored bytes give when read back; a null medium gives nulls, a damaged one raises. Repeated rows repeat, an
+    image of any height is read whole, and an empty table gives no rows."""
 
-    def load(raw: bytes | None) -> tuple:
-        if raw is None:
-            return (None,) * 6
-        image = read_png(raw)
+    def told(raw: bytes, image: np.ndarray) -> tuple:
         payload = image.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), cosine_hash(image)
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for b in batches:
-            found = list(zip(*(load(m.as_py()) for m in b.column(2)), strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], ["doc_id", "n_bytes", *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                raws = b.column(2).to_pylist()
+                images = iter(unfiltered([filtered_rows(raw) for raw in raws if raw is not None]))
+                found = list(zip(*((None,) * 6 if raw is None else told(raw, next(images)) for raw in raws), strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
     return pick(media, {"doc_id": "bigint", "n_bytes": "bigint", "media": "binary"}).mapInArrow(read_all, SCHEMA)
 
