@@ -1,25 +1,18 @@
-"""python -m quoin --db FOLDER init | ingest | delete | stats | inspect: thin drivers over the plans."""
+"""python -m quoin --db FOLDER init | ingest | watch | delete | stats | inspect: thin drivers over the plans."""
 
 from __future__ import annotations
 
 import argparse
 import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quoin.operators import layout, reports, store
 from quoin.plans import ingest
 from quoin.settings import Settings
 from quoin.sources import files as sources
-
-
-def decoded(spark: SparkSession, db: store.Store, documents: str, decoder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, pages and blocks of documents, each decoded once."""
-    module = importlib.import_module(decoder)
-    raw = sources.files(spark, documents)
-    files = raw.select(F.col("filename").alias("issue"), "filename", F.col("sha256").alias("pdf_sha256"))
-    return files, ingest.written(db, sources.measured(raw, module.pages)), ingest.written(db, layout.blocks(ingest.written(db, sources.decoded(raw, module.spans))))
+from quoin.streaming.ingest import ingest_uploads
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -34,6 +27,12 @@ def main(argv: list[str] | None = None) -> None:
         run.add_argument(f"--{name}", help="Parquet folder")
     run.add_argument("--models", required=True, help="module:function that returns plans.ingest.Models")
     run.add_argument("--date", help="issue date, where it is known")
+    watch = to.add_parser("watch", help="process documents as they are uploaded to a folder, each once")
+    watch.add_argument("--documents", required=True)
+    watch.add_argument("--decoder", required=True)
+    watch.add_argument("--models", required=True)
+    watch.add_argument("--checkpoint", help="folder that remembers what was handled")
+    watch.add_argument("--forever", action="store_true", help="wait for more instead of ending with what is there")
     gone = to.add_parser("delete", help="delete the issue of a date")
     gone.add_argument("date")
     to.add_parser("stats", help="a row for each issue")
@@ -46,11 +45,17 @@ def main(argv: list[str] | None = None) -> None:
     db = store.Store(spark, args.db)
     if args.command == "init":
         db.init()
+    elif args.command == "watch":
+        module, _, function = args.models.partition(":")
+        decoder, models = importlib.import_module(args.decoder), getattr(importlib.import_module(module), function)()
+        query = ingest_uploads(db, args.documents, decoder.spans, decoder.pages, models, Settings.load(spark), args.checkpoint or f"{args.db}/uploads", once=not args.forever)
+        query.awaitTermination()
     elif args.command == "ingest":
         module, _, function = args.models.partition(":")
         if bool(args.documents) != bool(args.decoder) or not args.documents and not (args.files and args.blocks and args.pages):
             p.error("give --documents and --decoder, or --files, --blocks and --pages")
-        files, pages, blocks = decoded(spark, db, args.documents, args.decoder) if args.documents else (spark.read.parquet(args.files), sources.pages(spark, args.pages), sources.blocks(spark, args.blocks))
+        decoder = importlib.import_module(args.decoder) if args.documents else None
+        files, pages, blocks = ingest.decoded(db, sources.files(spark, args.documents), decoder.spans, decoder.pages) if decoder else (spark.read.parquet(args.files), sources.pages(spark, args.pages), sources.blocks(spark, args.blocks))
         files = files.select("issue", "filename", "pdf_sha256")
         if args.date:
             files = files.withColumn("issue_date", F.lit(args.date).cast("date"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.sources.ledger import Ledger
+
 Message = dict[str, str]
 ANSWERED, LIMITED, BROKEN = "answered", "limited", "broken"
 DONE, FAILED, QUOTA = "done", "failed", "quota"
@@ -104,15 +106,29 @@ class Providers:
         used_up = made and all(a.outcome == LIMITED for a in made)
         return Outcome(QUOTA if used_up else FAILED, error="; ".join(f"{a.provider}: {a.outcome} {a.text}" for a in made) or "no provider")
 
-    def checked(self, messages: list[Message], check: Callable[[object], object], limiter: Limiter | None = None) -> Outcome:
-        """An answer in JSON that `check` lets through; it raises ValueError for others."""
-        limiter, wrong = limiter or Limiter(self.interval), ""
+    def kept(self, messages: list[Message], check: Callable[[object], object], ledger: Ledger | None) -> Outcome | None:
+        """What the ledger holds for these messages, if `check` still lets it through."""
+        found = ledger.get(*(m["content"] for m in messages)) if ledger else None
+        try:
+            return Outcome(DONE, check(json.loads(unfenced(found["text"]))), found["provider"]) if found else None
+        except ValueError:
+            return None
+
+    def checked(self, messages: list[Message], check: Callable[[object], object], limiter: Limiter | None = None, ledger: Ledger | None = None) -> Outcome:
+        """An answer in JSON that `check` lets through; it raises ValueError for others. With a ledger it is kept at once,
+        and a question that has an answer there is not asked again."""
+        if found := self.kept(messages, check, ledger):
+            return found
+        limiter, wrong, asked = limiter or Limiter(self.interval), "", [m["content"] for m in messages]
         for _ in range(1 + self.repairs):
             got = self.text(messages, limiter)
             if got.status != DONE:
                 return got
             try:
-                return Outcome(DONE, check(json.loads(unfenced(str(got.value)))), got.provider)
+                value = check(json.loads(unfenced(str(got.value))))
+                if ledger:
+                    ledger.put({"provider": got.provider, "text": str(got.value)}, *asked)
+                return Outcome(DONE, value, got.provider)
             except ValueError as e:
                 wrong = str(e)
                 messages = messages + correction(str(got.value), wrong)
@@ -141,10 +157,10 @@ def instructed(system: str, form: dict) -> str:
     return f"{system}\n\nOutput format (JSON Schema):\n{json.dumps(form, ensure_ascii=False)}"
 
 
-def ask(calls: DataFrame, providers: Providers, system: str, check: Callable[[object], object], value: str, lanes: int = 1) -> DataFrame:
+def ask(calls: DataFrame, providers: Providers, system: str, check: Callable[[object], object], value: str, lanes: int = 1, ledger: Ledger | None = None) -> DataFrame:
     """calls: key, user and order. One row for each: key, status, provider, error and value, a column of the given
     type, null but for done calls. A lane makes its calls in `order`; once all quotas are used up, it makes no more:
-    the rest of its rows have the status quota."""
+    the rest of its rows have the status quota, but for those that a ledger answers."""
     shape = f"key bigint, status string, provider string, error string, value {value}"
     names = [c.split()[0] for c in ("key", "status", "provider", "error", "value")]
 
@@ -153,8 +169,9 @@ def ask(calls: DataFrame, providers: Providers, system: str, check: Callable[[ob
         for rows in frames:
             out = []
             for key, user in zip(rows["key"], rows["user"], strict=True):
-                got = over or providers.checked([{"role": "system", "content": system}, {"role": "user", "content": user}], check, limiter)
-                over = got if got.status == QUOTA else None
+                messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+                got = (providers.kept(messages, check, ledger) or over) if over else providers.checked(messages, check, limiter, ledger)
+                over = got if got.status == QUOTA else over
                 out.append((key, got.status, got.provider, got.error, got.value))
             yield pd.DataFrame(out, columns=names)
 

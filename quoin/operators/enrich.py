@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quoin.operators.calls import DONE, QUOTA, Invalid, Outcome, Providers, ask, instructed
 from quoin.schemas import CATEGORIES, CLASSIFY_ITEM, EXAM_TAGS, EXTRACTION, PROVISION_KINDS
+from quoin.sources.ledger import Ledger
 
 
 def _need(ok: bool, what: str) -> None:
@@ -166,7 +167,7 @@ def _or_empty(c: str) -> Column:
 CLASSIFIED = "id bigint, status string, relevant boolean, category string, exam_tags array<string>, score double, reason string"
 
 
-def classify(pending: DataFrame, providers: Providers, system: str = CLASSIFY_SYSTEM, size: int = 8, cut: float = 0.4, opening: int = 700, lanes: int = 1) -> DataFrame:
+def classify(pending: DataFrame, providers: Providers, system: str = CLASSIFY_SYSTEM, size: int = 8, cut: float = 0.4, opening: int = 700, lanes: int = 1, ledger: Ledger | None = None) -> DataFrame:
     """pending: id, issue_id, seq, headline, body. One call for each `size` rows of an issue, by seq. A row whose
     number the answer lacks, or whose batch failed, is failed; with used-up quota its status is quota. Of several
     answers for a row the last counts; relevant needs a score of `cut`, compared before it is rounded."""
@@ -174,7 +175,7 @@ def classify(pending: DataFrame, providers: Providers, system: str = CLASSIFY_SY
     batches = rows.groupBy("issue_id", "batch").agg(F.min("row.id").alias("key"), F.array_sort(F.collect_list("row")).alias("rows"))
     numbered = F.transform("rows", lambda r, i: F.concat(F.lit("["), i.cast("string"), F.lit("] HEADLINE: "), r["h"], F.lit("\nTEXT: "), r["t"]))
     calls = batches.select("key", F.array_join(numbered, "\n\n").alias("user"), F.struct("issue_id", "batch").alias("order"))
-    answers = ask(calls, providers, instructed(system, BATCH_FORM), check_batch, f"array<{CLASSIFY_ITEM}>", lanes)
+    answers = ask(calls, providers, instructed(system, BATCH_FORM), check_batch, f"array<{CLASSIFY_ITEM}>", lanes, ledger)
     each = batches.select("key", F.posexplode("rows.id").alias("n", "id")).join(answers, "key")
     mine = F.filter("value", lambda a: a["id"] == F.col("n"))
     each = each.select("id", "status", F.when(F.size(mine) > 0, F.element_at(mine, -1)).alias("a"))
@@ -183,12 +184,12 @@ def classify(pending: DataFrame, providers: Providers, system: str = CLASSIFY_SY
     return each.select("id", status.alias("status"), (F.col("a.relevant") & (F.col("a.score") >= cut)).alias("relevant"), "a.category", "a.exam_tags", "a.score", "a.reason")
 
 
-def extract(pending: DataFrame, providers: Providers, system: str = EXTRACT_SYSTEM, most: int = 50, opening: int = 12_000, lanes: int = 1) -> DataFrame:
+def extract(pending: DataFrame, providers: Providers, system: str = EXTRACT_SYSTEM, most: int = 50, opening: int = 12_000, lanes: int = 1, ledger: Ledger | None = None) -> DataFrame:
     """pending: id, issue_id, seq, issue_date, headline, body. article_id, status, model and data: one call a row, for
     the first `most` of each issue; failed rows stay pending."""
     user = F.concat(F.lit("ISSUE DATE: "), F.coalesce(F.col("issue_date").cast("string"), F.lit("unknown")), F.lit("\nHEADLINE: "), _or_empty("headline"), F.lit("\n\nARTICLE TEXT:\n"), F.left(_or_empty("body"), F.lit(opening)))
     calls = pending.filter(F.col("seq") <= most).select(F.col("id").alias("key"), user.alias("user"), F.struct("issue_id", "seq").alias("order"))
-    answers = ask(calls, providers, instructed(system, EXTRACTION_FORM), check_extraction, EXTRACTION, lanes)
+    answers = ask(calls, providers, instructed(system, EXTRACTION_FORM), check_extraction, EXTRACTION, lanes, ledger)
     return answers.select(F.col("key").alias("article_id"), "status", F.col("provider").alias("model"), F.col("value").alias("data"))
 
 
@@ -197,8 +198,8 @@ def reply(providers: Providers, system: str, user: str) -> Outcome:
     return providers.text([{"role": "system", "content": system}, {"role": "user", "content": user}])
 
 
-def embed(pending: DataFrame, encode: Callable[[list[str]], list[list[float]] | None], dim: int, size: int = 16) -> DataFrame:
-    """pending: article_id, search_text. Vectors in calls of `size` texts; a batch whose call fails, or gives other
+def embed(pending: DataFrame, encode: Callable[[list[str]], list[list[float]] | None], dim: int, size: int = 16, lanes: int = 8) -> DataFrame:
+    """pending: article_id, search_text. Vectors in calls of `size` texts, by as many tasks at once as there are lanes; a batch whose call fails, or gives other
     lengths, is left out and stays pending."""
 
     def call(frames):
@@ -215,4 +216,4 @@ def embed(pending: DataFrame, encode: Callable[[list[str]], list[list[float]] |
                     vectors += [[float(x) for x in v] for v in got]
             yield pd.DataFrame({"article_id": pd.Series(ids, dtype="int64"), "embedding": vectors})
 
-    return pending.select("article_id", "search_text").mapInPandas(call, "article_id bigint, embedding array<float>")
+    return pending.select("article_id", "search_text").repartition(lanes, "article_id").sortWithinPartitions("article_id").mapInPandas(call, "article_id bigint, embedding array<float>")

@@ -8,6 +8,7 @@ the parts of this run's issues alone.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -18,7 +19,9 @@ from quoin.functions import text as T
 from quoin.operators import enrich, grounding, layout, prefilter, reports, store
 from quoin.operators.calls import QUOTA, Message, Providers
 from quoin.settings import Settings
+from quoin.sources import files as sources
 from quoin.sources.files import page_texts
+from quoin.sources.ledger import Ledger
 
 Embed = Callable[[list[str]], list[list[float]] | None]
 
@@ -98,15 +101,15 @@ def process(db: store.Store, files: DataFrame, pages: DataFrame, blocks: DataFra
     db.commit({"articles": store.set_prefilter(articles(), scored)}, ids)
     _report(progress, "prefilter", scored, None)
 
-    status = "done"
+    status, ledger = "done", Ledger(f"{db.folder}/answers/{quote(s.prompt_version, safe='')}")  # a run that is killed repeats no call
     due = store.pending_classify(articles())
-    answers = written(db, enrich.classify(due, models.chain(s.classify_chain or s.provider_chain, s), models.classify_system, s.classify_batch_size, s.relevance_cut))
+    answers = written(db, enrich.classify(due, models.chain(s.classify_chain or s.provider_chain, s), models.classify_system, s.classify_batch_size, s.relevance_cut, ledger=ledger))
     db.commit({"articles": store.set_classification(articles(), answers.filter(F.col("status") != QUOTA))}, ids)
     status = _report(progress, "classify", answers, "status")
 
     if status == "done":
         due = store.pending_extract(articles(), db.table("extractions"), s.prompt_version).join(dated.select("issue_id", "issue_date"), "issue_id")
-        notes = written(db, enrich.extract(due, models.chain(s.provider_chain, s), models.extract_system, s.max_notes_per_run))
+        notes = written(db, enrich.extract(due, models.chain(s.provider_chain, s), models.extract_system, s.max_notes_per_run, ledger=ledger))
         bodies = articles().select(F.col("id").alias("article_id"), "headline", "body")
         checked = grounding.validate(notes.filter("status = 'done'").drop("status").join(bodies, "article_id"))
         rows = checked.select(
@@ -147,3 +150,9 @@ def written(db: store.Store, rows: DataFrame) -> DataFrame:
     path = f"{db.folder}/stages/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return db.spark.read.schema(rows.schema).parquet(path)
+
+
+def decoded(db: store.Store, raw: DataFrame, spans: Callable[[bytes], list[dict]], measure: Callable[[bytes], list[dict]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, pages and blocks of documents (filename, sha256, content), each decoded once."""
+    files = raw.select(F.col("filename").alias("issue"), "filename", F.col("sha256").alias("pdf_sha256"))
+    return files, written(db, sources.measured(raw, measure)), written(db, layout.blocks(written(db, sources.decoded(raw, spans))))

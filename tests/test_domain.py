@@ -361,7 +361,7 @@ def test_classify_batches(spark):
 def test_embed_leaves_failures_out(spark):
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "article_id bigint, search_text string").coalesce(1)
     encode = lambda texts: [[1.0]] * len(texts) if "t0" in texts else None
-    assert {r.article_id for r in enrich.embed(rows, encode, 1, 2).collect()} == {0, 1}
+    assert {r.article_id for r in enrich.embed(rows, encode, 1, 2, lanes=1).collect()} == {0, 1}
 
 
 # ---- the whole ingest ----
@@ -401,10 +401,10 @@ def test_ingest_twice(spark, tmp_path):
     assert card.seq == 1 and card.headline == "Court protects the privacy"
     changed = files.withColumn("pdf_sha256", F.lit("sha2"))
     assert ingest.process(db, changed, pages, blocks, models, settings).first().extracted == 1
-    assert log.read_text() == "cece" and Layout().min_words == 20
+    assert log.read_text() == "ce" and Layout().min_words == 20
     strict = Settings(provider_chain="e", min_interval_sec=0.0, prefilter_min_score=99.0, embeddings_enabled=False)
     again = files.withColumn("pdf_sha256", F.lit("sha3"))
-    assert ingest.process(db, again, pages, blocks, models, strict).first().passed_prefilter == 0 and log.read_text() == "cece"
+    assert ingest.process(db, again, pages, blocks, models, strict).first().passed_prefilter == 0 and log.read_text() == "ce"
     with pytest.raises(ValueError, match="no issue date for g.pdf"):
         ingest.process(db, spark.createDataFrame([("g", "g.pdf", "x")], files.schema), pages, blocks, models, settings)
     assert db.table("issues").count() == 1
