@@ -70,6 +70,11 @@ def _norm_each(xs: Column) -> Column:
     return F.transform(F.split(T.nfkc(joined), "\x1f"), lambda x: F.trim(F.regexp_replace(F.lower(x), "[^0-9a-zऀ-ॿ]+", " ")))
 
 
+def present_each(claims: Column, hay: Column, cut: float) -> Column:
+    """For each of the claims whether a normalised text holds it, to the letter or nearly."""
+    return _all_present(cut)(_norm_each(claims), hay)
+
+
 def unknown_numbers(claim: Column, body: Column) -> Column:
     """Numbers of the claim that the body lacks, sorted as text."""
     return F.array_sort(F.array_except(T.numbers(claim), T.numbers(body)))

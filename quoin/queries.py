@@ -673,3 +673,53 @@ def index_search(spark, d):
     index = fulltext.Index(spark, f"{new_folder(spark)}/postings", 8)
     index.replace(rows, rows.select("issue_id"))
     return index.search(fulltext.any_of("Is this the licensed version of the public?"))
+
+
+# ---- similarity of short texts, as clients have them ----
+_NORMAL = "trim(regexp_replace(lower({}), '[^0-9a-zऀ-ॿ]+', ' ', 'g'))"
+
+
+def _client_names(spark, d):
+    c = views.read(spark, d, "clients").select("client_id", "master_id", F.coalesce("name", F.lit("")).alias("name"))
+    m = c.groupBy(F.col("client_id").alias("master_id")).agg(F.min("name").alias("master"))
+    return c.join(m, "master_id", "left").select("client_id", "name", F.coalesce("master", F.lit("")).alias("master"))
+
+
+@query("client_names", sql=f"""WITH RECURSIVE named AS (SELECT c.client_id AS k, coalesce(c.name, '') AS a, coalesce(m.name, '') AS b FROM clients c LEFT JOIN clients m ON m.client_id = c.master_id),
+  plain AS (SELECT k, {_NORMAL.format("a")} AS a, {_NORMAL.format("b")} AS b FROM named),
+  {twins.token_sides("sides", "named")}, {twins.stretches("parts", "named")}, {twins.stretches("plain_parts", "plain")},
+  asked AS (SELECT l AS a, r AS b FROM sides UNION SELECT s, w FROM parts UNION SELECT s, w FROM plain_parts), {twins.LCS},
+  best AS (SELECT k, max(200.0::DOUBLE * n / (len(s) + len(w))) AS v FROM parts JOIN lcs ON a = s AND b = w GROUP BY k),
+  plain_best AS (SELECT k, max(200.0::DOUBLE * n / (len(s) + len(w))) AS v FROM plain_parts JOIN lcs ON a = s AND b = w GROUP BY k)
+  SELECT k AS client_id, {twins.token_set("lcs.n")} AS token_set, CASE WHEN named.a = '' OR named.b = '' THEN CASE WHEN named.a = named.b THEN 100.0 ELSE 0.0 END ELSE best.v END::DOUBLE AS part,
+    plain.a <> '' AND (contains(plain.b, plain.a) OR (len(plain.a) >= 6 AND coalesce(plain_best.v, 0) >= 88)) AS present
+  FROM named JOIN sides USING (k) JOIN plain USING (k) JOIN lcs ON lcs.a = l AND lcs.b = r LEFT JOIN best USING (k) LEFT JOIN plain_best USING (k)""")
+def client_names(spark, d):
+    """How near each client's name is to that of its master: by words, by its best stretch, and as a claim about it."""
+    c = _client_names(spark, d)
+    held = grounding.present_each(F.array("name"), T.norm(F.col("master")), 88)[0]
+    return c.select("client_id", token_set_ratio_udf("name", "master").alias("token_set"), partial_ratio_udf("name", "master").alias("part"), held.alias("present"))
+
+
+_LIKE = dedup.Duplicates(headline=60, body=60)
+
+
+@query("client_groups", sql=f"""WITH RECURSIVE rows_ AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY len(body) DESC, client_id) AS v FROM
+    (SELECT client_id, CAST(updated_at AS DATE) AS day, nation_id, coalesce(name, '') AS name, concat_ws(' ', city, segment, source) AS body FROM clients)),
+  met AS (SELECT p.day, p.v, q.v AS e, p.name AS n1, q.name AS n2, p.body AS b1, q.body AS b2 FROM rows_ p JOIN rows_ q ON q.day IS NOT DISTINCT FROM p.day AND q.v < p.v),
+  texts AS (SELECT row_number() OVER () AS k, a, b FROM (SELECT n1 AS a, n2 AS b FROM met UNION SELECT b1, b2 FROM met)),
+  {twins.token_sides("sides", "texts")}, asked AS (SELECT DISTINCT l AS a, r AS b FROM sides), {twins.LCS},
+  near AS (SELECT t.a, t.b FROM texts t JOIN sides USING (k) JOIN lcs ON lcs.a = l AND lcs.b = r WHERE {twins.token_set("lcs.n")} >= 60),
+  alike AS (SELECT day, v, list(e) AS es FROM met WHERE EXISTS (SELECT 1 FROM near WHERE a = n1 AND b = n2) AND EXISTS (SELECT 1 FROM near WHERE a = b1 AND b = b2) GROUP BY ALL),
+  turns AS (SELECT r.day, r.v, coalesce(es, []) AS es FROM rows_ r LEFT JOIN alike a ON a.day IS NOT DISTINCT FROM r.day AND a.v = r.v),
+  led AS (SELECT DISTINCT day, 0::BIGINT AS v, []::BIGINT[] AS leaders, NULL::BIGINT AS leader FROM rows_ UNION ALL
+    SELECT day, v, CASE WHEN first IS NULL THEN list_append(leaders, v) ELSE leaders END, coalesce(first, v) FROM
+      (SELECT w.day, t.v, w.leaders, list_filter(w.leaders, lambda x: list_contains(t.es, x))[1] AS first FROM led w JOIN turns t ON t.day IS NOT DISTINCT FROM w.day AND t.v = w.v + 1)),
+  groups AS (SELECT l.day, l.leader, r.client_id, r.nation_id, l.v = l.leader AS keeps FROM led l JOIN rows_ r ON r.day IS NOT DISTINCT FROM l.day AND r.v = l.v)
+  SELECT min(CASE WHEN keeps THEN client_id END) AS client_id, coalesce(string_agg(CASE WHEN NOT keeps THEN nation_id::VARCHAR END, ',' ORDER BY nation_id), '') AS also FROM groups GROUP BY day, leader""")
+def client_groups(spark, d):
+    """Clients of a day with names and descriptions that are alike, grouped like stories that are printed twice."""
+    c = views.read(spark, d, "clients").select(
+        "client_id", F.col("updated_at").cast("date").alias("issue_date"), F.col("nation_id").alias("page_no"), F.coalesce("name", F.lit("")).alias("headline"), F.concat_ws(" ", "city", "segment", "source").alias("body"),
+    )
+    return dedup.group_duplicates(c, ["client_id"], _LIKE).select("client_id", F.array_join(F.col("also_on_pages").cast("array<string>"), ",").alias("also"))

@@ -61,12 +61,13 @@ def page_texts(blocks: DataFrame, last: int = 2) -> DataFrame:
 
 
 def gold_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Labelled CSV files with their number in the list and the row's place in its file."""
+    """Labelled CSV files, or folders of them, with their number in the list and the row's place: files of a folder by
+    name, then the row in its file (a file is read by one task, so its rows' numbers rise)."""
     schema = "content_hash string, page_no string, headline string, snippet string, human string"
     out = None
     for n, path in enumerate(paths):
         rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        rows = rows.select("content_hash", "human", F.lit(n).alias("file_no"), F.monotonically_increasing_id().alias("row_no"))
+        rows = rows.select("content_hash", "human", F.lit(n).alias("file_no"), F.struct(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n")).alias("row_no"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -148,3 +148,30 @@ BUILT = """lines AS (SELECT issue, page, block_no // 6 AS block, block_no AS lin
   row_number() OVER (PARTITION BY issue, page, block_no // 6 ORDER BY block_no) AS i FROM blocks WHERE trim(text, ' ' || chr(9) || chr(13)) <> ''),
 walk AS (SELECT issue, page, block, i, n * size AS w, n::BIGINT AS k, 0 AS g FROM lines WHERE i = 1 UNION ALL SELECT * FROM (SELECT issue, page, block, i, CASE WHEN fresh THEN 0 ELSE w END + n * size, CASE WHEN fresh THEN 0 ELSE k END + n, g + CAST(fresh AS INTEGER)
   FROM (SELECT l.*, w, k, g, greatest(w / k, size) / least(w / k, size) > 1.25 AS fresh FROM walk JOIN lines l ON l.issue = walk.issue AND l.page = walk.page AND l.block = walk.block AND l.i = walk.i + 1)))"""
+
+# ---- similarity of short texts (120 characters at most), over a table `asked` of pairs (a, b) ----
+LCS = """walk AS (SELECT a, b, 0 AS i, (1::HUGEINT << len(a)) - 1 AS bits FROM asked UNION ALL SELECT a, b, i + 1, ((bits + (bits & hit)) | (bits - (bits & hit))) & ((1::HUGEINT << len(a)) - 1)
+    FROM (SELECT *, list_sum(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN a[j] = b[i + 1] THEN 1::HUGEINT << (j - 1) ELSE 0::HUGEINT END))::HUGEINT AS hit FROM walk WHERE i < len(b) AND len(a) > 0)),
+  lcs AS (SELECT a, b, CASE WHEN len(a) = 0 THEN 0 ELSE len(a) - bit_count(bits) END AS n FROM walk WHERE i = len(b) OR len(a) = 0)"""
+
+
+def token_sides(name: str, source: str) -> str:
+    """`name`: the rows of `source` (k, a, b) with their distinct words x and y, those in both, and each side's others as l and r."""
+    own = lambda c: f"list_filter(list_distinct(regexp_split_to_array({c}, '\\s+')), lambda w: w <> '')"
+    rest = lambda a, b: f"array_to_string(list_sort(list_filter({a}, lambda w: NOT list_contains({b}, w))), ' ')"
+    return f"""{name} AS (SELECT k, x, y, array_to_string(list_sort(list_intersect(x, y)), ' ') AS base, {rest("x", "y")} AS l, {rest("y", "x")} AS r
+    FROM (SELECT k, {own("a")} AS x, {own("b")} AS y FROM {source}))"""
+
+
+def token_set(n: str) -> str:
+    """From the columns of token_sides and the LCS `n` of l and r."""
+    joint = "(len(base) + CASE WHEN base <> '' THEN 1 ELSE 0 END)"
+    arm = lambda side: f"CASE WHEN base <> '' THEN 200.0::DOUBLE * len(base) / (2 * len(base) + 1 + len({side})) ELSE 0 END"
+    return f"""CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN base <> '' AND (l = '' OR r = '') THEN 100.0
+    ELSE greatest({arm("l")}, {arm("r")}, 200.0::DOUBLE * ({joint} + {n}) / (2 * {joint} + len(l) + len(r))) END::DOUBLE"""
+
+
+def stretches(name: str, source: str) -> str:
+    """`name`: for the rows of `source` (k, a, b) the shorter text s and every stretch w of the longer one that counts."""
+    return f"""{name} AS (SELECT k, s, substr(t, greatest(i, 0) + 1, least(i + len(s), len(t)) - greatest(i, 0)) AS w
+    FROM (SELECT *, unnest(range(1 - len(s), len(t))) AS i FROM (SELECT k, CASE WHEN len(a) > len(b) THEN b ELSE a END AS s, CASE WHEN len(a) > len(b) THEN a ELSE b END AS t FROM {source}) WHERE s <> ''))"""
