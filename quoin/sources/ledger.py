@@ -13,7 +13,8 @@ import uuid
 from dataclasses import dataclass
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
+    """Arrow's file system for a path, with the names that Spark has for schemes, and the path in it."""
     from pyarrow import fs
 
     scheme, _, rest = uri.partition("://")
@@ -33,14 +34,14 @@ class Ledger:
     def get(self, *asked: str) -> dict | None:
         from pyarrow.fs import FileType
 
-        fs, path = _filesystem(self._place(*asked))
+        fs, path = filesystem(self._place(*asked))
         if fs.get_file_info(path).type != FileType.File:
             return None
         with fs.open_input_file(path) as f:
             return json.loads(f.read())
 
     def put(self, answer: dict, *asked: str) -> None:
-        fs, path = _filesystem(self._place(*asked))
+        fs, path = filesystem(self._place(*asked))
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         half = f"{path}.{uuid.uuid4().hex}"
         with fs.open_output_stream(half, compression=None) as f:
