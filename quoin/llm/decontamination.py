@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.common import DOCUMENTS, cut, pick, read
+from quoin.llm.lookup import Rows
 
 
 @dataclass(frozen=True)
 class Decontamination:
-    """Edits allowed: `rate` of an item's characters, rounded down. Items too short for an edit must occur as whole
-    words; longer ones may begin and end within words."""
+    """Edits allowed: `rate` of an item's characters, rounded down. An item is looked for with a space before and after
+    it, which texts have around all their words: to begin or end within a word costs an edit."""
 
     rate: float = 0.1
     block_chars: int = 4 << 20
@@ -114,16 +116,15 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], p: Decontamination):
         import ahocorasick
 
-        self.items, self.p = items, p
         self.budget = [p.budget(len(t)) for _, t in items]
+        items = [(i, f" {t} ") for i, t in items]
+        self.items, self.p = items, p
         places: dict[str, list[tuple[int, int, list]]] = {}
         for n, (_, text) in enumerate(items):
             cut = pieces(text, self.budget[n])
             edges = [*(at for at, _ in cut), len(text)]
             runs = {(a, b): (edges[a], text[edges[a] : edges[b]], b - a - 1) for chain in chains(len(cut)) for a, b in chain}
             for (at, piece), chain in zip(cut, chains(len(cut)), strict=True):
-                if not self.budget[n]:
-                    at, piece = -1, f" {text} "
                 places.setdefault(piece, []).append((n, at, [runs[r] for r in chain]))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
@@ -168,9 +169,10 @@ class Matcher:
         if self.empty or not text:
             return []
         spans: dict[int, list[list[int]]] = {}
-        for end, (size, where) in self.automaton.iter(f" {text} "):
+        length, text = len(text), f" {text} "
+        for end, (size, where) in self.automaton.iter(text):
             for n, at, chain in where:
-                k, begin = self.budget[n], end - size - at
+                k, begin = self.budget[n], end - size + 1 - at
                 if chain and not self._kept(begin, chain, text):
                     continue
                 a, b = begin - k, begin + len(self.items[n][1]) + k
@@ -188,7 +190,7 @@ class Matcher:
                 if d <= self.budget[n] and (best is None or (d, a + end) < best):
                     best = (d, a + end)
             if best:
-                found.append((self.items[n][0], best[0], self.budget[n], best[1]))
+                found.append((self.items[n][0], best[0], self.budget[n], min(length, max(0, best[1] - 2))))  # without the spaces
         return found
 
 
@@ -267,13 +269,25 @@ def _passes(spark: SparkSession, benchmark: DataFrame, p: Decontamination, searc
 def clean(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """The rows whose text matches no item, with all columns.
 
+    With more items than executors hold at once, each block of items gives only the numbers of the rows it matches, and
+    the rows are read and dropped once at the end; `docs` must then give its rows alike each time, as a table does.
+
     Null and empty texts stay, as do repeated rows with clean texts; an empty table stays empty, and an empty
     benchmark leaves all rows. Texts of any length are searched whole. Ties don't matter: any match counts."""
-    kept = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    spark, blocks = docs.sparkSession, _blocks(benchmark, p)
+    rows = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
     text = F.col(f"_{docs.columns.index('text')}").cast("string")
-    for kept in _passes(docs.sparkSession, benchmark, p, lambda shared: kept.filter(~_leaky(shared, p)(text))):  # noqa: B023
-        pass
-    return kept.toDF(*docs.columns)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return rows.filter(~_leaky(spark.sparkContext.broadcast(first), p)(text)).toDF(*docs.columns)
+    rows, found = rows.withColumn("_row", F.monotonically_increasing_id()), []
+    for block in chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast(block)
+        found.append(cut(rows.filter(_leaky(shared, p)(text)).select("_row")))
+        shared.destroy()
+    return Rows(reduce(DataFrame.unionByName, found).distinct()).drop(rows, "_row").drop("_row").toDF(*docs.columns)
 
 
 def _leaky(shared, p: Decontamination):

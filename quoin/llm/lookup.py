@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.common import filesystem, shared_dir
@@ -57,6 +57,13 @@ class Rows:
 
     def keep(self, df: DataFrame, number: str) -> DataFrame:
         """The rows whose number is in the set."""
+        return df.filter(self._known(F.col(number)))
+
+    def drop(self, df: DataFrame, number: str) -> DataFrame:
+        """The rows whose number is not in the set."""
+        return df.filter(~self._known(F.col(number)))
+
+    def _known(self, number: Column) -> Column:
         table, held = self.table, {}
 
         def places(part: int) -> np.ndarray:
@@ -74,4 +81,4 @@ class Rows:
                 out[mine] = np.isin(n[mine] & ((1 << 33) - 1), places(p), assume_unique=True)
             return pa.array(out)
 
-        return df.filter(known(number))
+        return known(number)

@@ -607,9 +607,7 @@ def test_decontamination(spark, none):
         for item_id, item in items:
             n = decontamination.normal(item)
             text = decontamination.normal(t)
-            if n and not p.budget(len(n)):
-                wanted[i, item_id, 0] += f" {n} " in f" {text} "
-            elif n and (d := plain_best(n, text)[0]) <= p.budget(len(n)):
+            if n and text and (d := plain_best(f" {n} ", f" {text} ")[0]) <= p.budget(len(n)):
                 wanted[i, item_id, d] += 1
     wanted = +wanted
     assert {(204, 8, 0), (206, 9, 0), (207, 10, 0), (208, 10, 0), (210, 12, 0)} <= set(wanted)
