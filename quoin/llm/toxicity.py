@@ -1,22 +1,25 @@
 """Toxicity: a learned lexicon as a trie, crossed with Levenshtein automata, and windows that tell quotation from
 abuse.
 
-Fitting takes at most `train_rows` labelled rows outside the held-out fold (those with the least hash), of which
-copies (equal label and least shingle hash) count once. Words, and stems that start several of them, become terms
+Fitting takes at most `train_rows` labelled rows outside the held-out fold (those with the least hash). Of rows with
+one label that are near copies (five words in a row, similarity of 0.8 or more, told by bands of MinHash values) one
+counts. Words, and stems that start several of them, become terms
 where their share of toxic rows is high and beyond chance. The trie holds the words; the Levenshtein automata of
 all of them run over it together: a state is a set of trie nodes, each with the least edits that lead there, and
 states and their transitions are made when a text first needs them, then kept. A hit is exact, a stem, obscured (0 for o, @ for a, ...), or one or two edits away, and direct or
-quoted: quotation marks around it, or a word of reporting, within `window` words. What hits of each kind and number
-are worth is the smoothed share of toxic rows among the sample's rows with such hits; the surest kind counts.
+quoted: quotation marks around it, or a word of reporting, within `window` words. Evidence is in nats: the
+log odds of the sample's rows with this kind of hit of this term. Of direct and of quoted hits the strongest word
+counts, and the other different words by the logarithm of their sum, however many there are; all add up, with weights from a logistic regression on the sample.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,9 @@ REPORTING = frozenset(
 )
 
 KINDS = ("exact", "stem", "obscured", "edit1", "edit2")
-PRIOR = {"exact": 0.9, "stem": 0.85, "obscured": 0.8, "edit1": 0.5, "edit2": 0.4}  # before anything is seen
+PRIOR = {"exact": 1.0, "stem": 1.0, "obscured": 0.95, "edit1": 0.85, "edit2": 0.6}  # parts of a term's evidence before anything is seen
 QUOTED = 0.4  # what quotation leaves of these
-MANY = 4
+SHINGLE, BANDS, DEPTH = 5, 16, 8  # of similar rows (0.8) 95 % share a band, of those at 0.5 6 %, at 0.1 none
 
 
 @dataclass(frozen=True)
@@ -132,9 +135,14 @@ class Trie:
 
 @dataclass
 class Lexicon:
+    """`strength` is the evidence of each kind of hit of each word and stem (stems with a star), `weight` counts
+    the strongest direct and quoted word, the other direct and quoted ones and the length of a text with hits, `floor`
+    is the score without hits."""
+
     words: tuple[str, ...] = ()
     stems: tuple[str, ...] = ()
-    worth: dict[tuple[str, bool, int], float] = field(default_factory=dict)
+    strength: dict[tuple[str, str], float] = field(default_factory=dict)
+    weight: tuple[float, ...] = (1.0, QUOTED, 1.0, QUOTED, 0.0)
     floor: float = 0.05
 
     def __post_init__(self):
@@ -159,27 +167,31 @@ class Lexicon:
         self.pattern = "|".join(parts)
         self.longest = max(map(len, self.words), default=0) + 2
 
-    def kind(self, word: str) -> str | None:
+    def kind(self, word: str) -> tuple[str, str] | None:
+        """What kind of hit a word is, and of which term."""
         if word not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[word] = self._kind(word)
         return self.cache[word]
 
-    def _kind(self, word: str) -> str | None:
-        if word in self.known:
-            return "exact"
-        if word.startswith(self.stems):
-            return "stem"
+    def _kind(self, word: str) -> tuple[str, str] | None:
+        if term := self._term(word):
+            return ("stem" if term.endswith("*") else "exact"), term
         clear = word.translate(OBSCURED)
-        if clear != word and (clear in self.known or clear.startswith(self.stems)) and not clear.isdigit():
-            return "obscured"
+        if clear != word and any(map(str.isalpha, word)) and (term := self._term(clear)):
+            return "obscured", term
         if 4 <= len(word) <= self.longest and (found := self.trie.search(word)):
-            return f"edit{found[0]}" if found[0] else None
+            return (f"edit{found[0]}", found[1]) if found[0] else None
         return None
 
-    def rows_with_hits(self, texts: pa.Array) -> tuple[np.ndarray, dict[str, str]]:
-        """Which texts have words that are hits, and those words' kinds. Distinct words are filtered by pattern and
+    def _term(self, word: str) -> str | None:
+        if word in self.known:
+            return word
+        return next((f"{s}*" for s in self.stems if word.startswith(s)), None)
+
+    def rows_with_hits(self, texts: pa.Array) -> tuple[np.ndarray, dict[str, tuple[str, str]]]:
+        """Which texts have words that are hits, and those words' kinds and terms. Distinct words are filtered by pattern and
         then matched."""
         if not self.pattern or not len(texts):
             return np.zeros(len(texts), bool), {}
@@ -195,35 +207,30 @@ class Lexicon:
         offsets = offsets - offsets[0]
         return total[offsets[1:]] > total[offsets[:-1]], kinds
 
-    def hits(self, text: str, kinds: dict[str, str], window: int) -> Counter:
-        """Number of different words hit, by (kind, quoted). A word counts as quoted only if it never is direct."""
+    def evidence(self, text: str, kinds: dict[str, tuple[str, str]], window: int) -> list[float]:
+        """What the strongest direct and quoted words say, then what the others do, then the logarithm of the number
+        of different words, among which some are near a term by chance (0 without hits). A word counts as quoted only if it never is direct."""
         low = text.lower()
         words = [m.span() for m in re.finditer(r"(?:[^\W_]|[@$])+", low)]
-        seen: dict[str, tuple[str, bool]] = {}
+        seen: dict[str, bool] = {}
         for i, (a, b) in enumerate(words):
-            kind = kinds.get(low[a:b])
-            if kind is None:
+            if low[a:b] not in kinds or seen.get(low[a:b]) is False:
                 continue
             lo, hi = words[max(0, i - window)][0], words[min(len(words) - 1, i + window)][1]
             before, after = low[lo:a], low[b:hi]
             marks = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-            quoted = marks or any(low[x:y] in REPORTING for x, y in words[max(0, i - window) : i])
-            old = seen.get(low[a:b])
-            seen[low[a:b]] = (kind, quoted and (old is None or old[1]))
-        return Counter(seen.values())
-
-    def score(self, text: str, kinds: dict[str, str], window: int) -> float:
-        return max((self.worth.get(k, prior(*k)) for k in graded(self.hits(text, kinds, window))), default=self.floor)
-
+            seen[low[a:b]] = marks or any(low[x:y] in REPORTING for x, y in words[max(0, i - window) : i])
+        most, total = [0.0, 0.0], [0.0, 0.0]
+        for word, quoted in sorted(seen.items()):
+            nats = self.strength.get(kinds[word], PRIOR[kinds[word][0]])
+            most[quoted] = max(most[quoted], nats)
+            total[quoted] += nats
+        rest = [math.log1p(max(0.0, t - m)) for m, t in zip(most, total, strict=True)]
+        return [*most, *rest, math.log(len({low[a:b] for a, b in words})) if seen else 0.0]
 
-def graded(hits: Counter) -> list[tuple[str, bool, int]]:
-    """(kind, quoted, number of different words up to `MANY`)."""
-    return [(kind, quoted, min(n, MANY)) for (kind, quoted), n in hits.items()]
-
-
-def prior(kind: str, quoted: bool, n: int) -> float:
-    p = PRIOR[kind] * (QUOTED if quoted else 1)
-    return p if kind.startswith("edit") else 1 - (1 - p) ** n
+    def score(self, text: str, kinds: dict[str, tuple[str, str]], window: int) -> float:
+        x = math.log(self.floor / (1 - self.floor)) + sum(w * e for w, e in zip(self.weight, self.evidence(text, kinds, window), strict=True))
+        return 1 / (1 + math.exp(-x)) if x > -500 else 0.0
 
 
 def fold(doc_id, p: Toxicity) -> int:
@@ -250,22 +257,48 @@ def _surprise(toxic: int, n: int, share: float) -> float:
     return n * sum(a * np.log(a / b) for a, b in ((q, share), (1 - q, 1 - share)) if a > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Lexicon:
-    from xxhash import xxh64_intdigest
+def _bands(text: str) -> list[int]:
+    """Keys of the text's MinHash bands. A text of any length is read whole, some thousand shingles at a time."""
+    from xxhash import xxh64_digest, xxh64_intdigest
+
+    w = text.lower().split()
+    shingles = {" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
+    hashes = np.fromiter(map(xxh64_intdigest, shingles), np.uint64, len(shingles))
+    rng = np.random.default_rng(7)
+    factors, terms = (rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) for _ in range(2))
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = (hashes[at : at + 4096, None] ^ terms) * (factors * np.uint64(2) + np.uint64(1))
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0), out=least)
+    return np.frombuffer(b"".join(xxh64_digest(least[i : i + DEPTH].tobytes()) for i in range(0, len(least), DEPTH)), np.int64).tolist()
+
 
-    docs = pick(docs, DOCUMENTS)
-    sample = _sample(docs, labels, p)
+def _distinct(sample: DataFrame) -> DataFrame:
+    """text and toxic of the sample without near copies: a row stays if in none of its bands another row of its label
+    has a smaller hash. Bands are aggregated before the shuffle, so a large group of copies is no hot key."""
+    from xxhash import xxh64_intdigest
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            least = []
-            for t in texts:
-                w = t.lower().split()
-                least.append(min((xxh64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least, pa.int64())], ["text", "toxic", "least"])
+            row = [xxh64_intdigest(t) - (1 << 63) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(row, pa.int64()), pa.array(map(_bands, texts), pa.list_(pa.int64()))],
+                ["text", "toxic", "row", "bands"],
+            )
+
+    marked = cut(sample.mapInArrow(mark, "text string, toxic int, row bigint, bands array<bigint>"))
+    bands = marked.select("toxic", "row", F.posexplode("bands").alias("band", "key"))
+    first = bands.groupBy("toxic", "band", "key").agg(F.min("row").alias("row"))
+    stay = first.groupBy("toxic", "row").agg(F.count("*").alias("n")).filter(F.col("n") == BANDS).drop("n")
+    return cut(marked.drop("bands").dropDuplicates(["toxic", "row"]).join(stay, ["toxic", "row"]).select("text", "toxic"))
+
 
-    once = cut(sample.mapInArrow(mark, "text string, toxic int, least bigint").dropDuplicates(["toxic", "least"]))
+def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Lexicon:
+    """A lexicon from at most `train_rows` labelled rows outside the held-out fold; the driver sees terms, and no more
+    than these rows' evidence. Null texts count as empty, rows without id or label are left out. Tables without toxic
+    rows, or without others, give an empty lexicon, whose floor is under a half."""
+    once = _distinct(_sample(pick(docs, DOCUMENTS), labels, p))
     sizes = {r.toxic: r.n for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, rows = sizes.get(1, 0), sum(sizes.values())
     if not toxic or toxic == rows:
@@ -292,32 +325,85 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Lexicon
     for s in sorted((w[:-1] for w in sure if w.endswith("*")), key=lambda s: (len(s), s)):
         if not s.startswith(tuple(stems)) and sum(w.startswith(s) for w in words) >= p.stem_words:
             stems.append(s)
-    lexicon = Lexicon(tuple(sorted(w for w in sure & words if len(w) > 2)), tuple(stems))
-    return _weigh(lexicon, once, share, p)
+    terms = (*sorted(sure & words), *(f"{s}*" for s in stems))
+    base = math.log(share / (1 - share))
+    own = {w: math.log((t + 0.5) / (n - t + 0.5)) - base for w in terms for t, n in [found[w]]}
+    lexicon = Lexicon(tuple(sorted(sure & words)), tuple(stems))
+    return _weigh(replace(lexicon, strength=_strength(lexicon, own, base, once, p)), once, p)
+
+
+def _strength(lexicon: Lexicon, own: dict[str, float], base: float, once: DataFrame, p: Toxicity) -> dict[tuple[str, str], float]:
+    """Evidence of each kind of hit of each term: the log odds of the sample's rows with such hits, smoothed by
+    `strength` rows of what the kind leaves of the term's `own`. So a misspelling tells as much as the term does,
+    unless the words near it turn out to be others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            maybe, words = lexicon.rows_with_hits(b.column(0))
+            for text, toxic, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), maybe.tolist(), strict=True):
+                if m:
+                    hits = {words[w] for w in re.findall(r"(?:[^\W_]|[@$])+", text.lower()) if w in words}
+                    n.update((*hit, int(toxic == 1)) for hit in hits)
+        yield pa.RecordBatch.from_pylist([{"kind": k, "term": t, "toxic": x, "n": c} for (k, t, x), c in n.items()], pa.schema([("kind", pa.string()), ("term", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
+
+    seen = once.mapInArrow(count, "kind string, term string, toxic int, n bigint").groupBy("kind", "term", "toxic").agg(F.sum("n").alias("n"))
+    rows = {(r.kind, r.term, r.toxic): r.n for r in seen.collect()}
+    out = {}
+    for term, nats in own.items():
+        for kind in KINDS:
+            clean, toxic = (rows.get((kind, term, x), 0) for x in (0, 1))
+            q = 1 / (1 + math.exp(-PRIOR[kind] * nats - base))
+            out[kind, term] = max(0.0, math.log((toxic + p.strength * q) / (clean + p.strength * (1 - q))) - base)
+    return out
 
 
-def _weigh(lexicon: Lexicon, once: DataFrame, share: float, p: Toxicity) -> Lexicon:
-    """Worth of each kind and number of hits: the share of toxic rows among those whose surest hits these are."""
-    order = sorted(((k, q, n) for k in KINDS for q in (False, True) for n in range(1, MANY + 1)), key=lambda x: -prior(*x))
-    place = {k: i for i, k in enumerate(order)}
+def _weigh(lexicon: Lexicon, once: DataFrame, p: Toxicity) -> Lexicon:
+    """The lexicon with weights and floor from the sample's evidence, equal rows as one with their number."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             maybe, words = lexicon.rows_with_hits(b.column(0))
-            kinds = []
-            for text, m in zip(b.column(0).to_pylist(), maybe.tolist(), strict=True):
-                kinds.append(min((place[k] for k in graded(lexicon.hits(text, words, p.window))), default=-1) if m else -1)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), b.column(1)], ["kind", "toxic"])
-
-    counts: dict[int, list[int]] = {}
-    for r in once.select("text", "toxic").mapInArrow(best, "kind int, toxic int").groupBy("kind", "toxic").count().collect():
-        counts.setdefault(r.kind, [0, 0])[1 if r.toxic == 1 else 0] += r["count"]
-    clean, toxic = counts.get(-1, [0, 0])
-    worth = {}
-    for key, i in place.items():
-        c, t = counts.get(i, [0, 0])
-        worth[key] = (t + p.strength * prior(*key)) / (t + c + p.strength)
-    return Lexicon(lexicon.words, lexicon.stems, worth, min(0.45, (toxic + 0.5) / (clean + toxic + 1)))
+            said = [lexicon.evidence(t, words, p.window) if m else [0.0] * len(lexicon.weight) for t, m in zip(b.column(0).to_pylist(), maybe.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.list_(pa.float64())), b.column(1)], ["said", "toxic"])
+
+    found = once.mapInArrow(speak, "said array<double>, toxic int").groupBy("said", "toxic").count().collect()
+    found.sort(key=lambda r: (r.said, r.toxic))  # sums in one order
+    x = np.array([[1.0, *r.said] for r in found])
+    start = np.array([0.0, *lexicon.weight])
+    beta = logistic(x, np.array([float(r.toxic) for r in found]), np.array([float(r["count"]) for r in found]), start, p.strength)
+    return replace(lexicon, weight=tuple(beta[1:].tolist()), floor=min(0.45, 1 / (1 + math.exp(-beta[0]))))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, start: np.ndarray, strength: float) -> np.ndarray:
+    """Weights of n times each row by damped Newton steps, drawn to `start` with `strength` (the first column, of
+    ones, hardly). A weight that would turn negative, but for the first and the last, is zero, and the others are fitted
+    without it: a hit never speaks for a text, while length may."""
+    pull = np.array([1e-3, *[strength] * (x.shape[1] - 1)])
+    free = np.ones(x.shape[1], bool)
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (pull * (b - start) ** 2)[free].sum())
+
+    while True:
+        beta = np.where(free, start, 0.0)
+        for _ in range(100):
+            q = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+            slope = (x.T @ (n * (q - y)) + pull * (beta - start))[free]
+            curve = (x.T * (n * q * (1 - q))) @ x + np.diag(pull)
+            step, scale = np.zeros(len(beta)), 1.0
+            step[free] = np.linalg.solve(curve[np.ix_(free, free)], slope)
+            while scale > 1e-6 and loss(beta - scale * step) > loss(beta):
+                scale /= 2
+            beta = beta - scale * step
+            if np.abs(scale * step).max() < 1e-9:
+                break
+        wrong = (beta < 0) & free
+        wrong[[0, -1]] = False
+        if not wrong.any():
+            return beta
+        free &= ~wrong
 
 
 def _scores(lexicon: Lexicon, texts: pa.Array, p: Toxicity, step: int = 1024) -> list[float]:
@@ -337,8 +423,8 @@ def _scores(lexicon: Lexicon, texts: pa.Array, p: Toxicity, step: int = 1024) ->
 def score(docs: DataFrame, lexicon: Lexicon, p: Toxicity = Toxicity()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row. Null texts count as empty and get the share of toxic rows
     among those without hits. Rows without id count as held out. Repeated rows give repeated rows, an empty table
-    none. Texts of any length are read whole, each in one task. Of hits of several kinds the worthiest counts, so
-    ties don't matter; a word near several terms is as near as to the nearest."""
+    none. Texts of any length are read whole, each in one task. Hits of all kinds add up; a word near several
+    terms is a hit of the nearest, of equally near ones of the first by name. Equal texts have equal scores."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,7 +436,9 @@ def score(docs: DataFrame, lexicon: Lexicon, p: Toxicity = Toxicity()) -> DataFr
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, p: Toxicity = Toxicity()) -> DataFrame:
-    """The rows whose text scores under 0.5, with all columns."""
+    """The rows whose text scores under 0.5, with all columns, also those whose names clash. Null texts count as
+    empty and stay, rows without id are judged by their texts, repeated rows stay or go together, very long texts are
+    read whole, an empty table stays empty."""
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
