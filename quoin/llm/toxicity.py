@@ -211,22 +211,23 @@ class Lexicon:
         """What the strongest direct and quoted words say, then what the others do, then the logarithm of the number
         of different words, among which some are near a term by chance (0 without hits). A word counts as quoted only if it never is direct."""
         low = text.lower()
-        words = [m.span() for m in re.finditer(r"(?:[^\W_]|[@$])+", low)]
+        found = list(re.finditer(r"(?:[^\W_]|[@$])+", low))
+        words = [m[0] for m in found]
         seen: dict[str, bool] = {}
-        for i, (a, b) in enumerate(words):
-            if low[a:b] not in kinds or seen.get(low[a:b]) is False:
+        for i, word in enumerate(words):
+            if word not in kinds or seen.get(word) is False:
                 continue
-            lo, hi = words[max(0, i - window)][0], words[min(len(words) - 1, i + window)][1]
-            before, after = low[lo:a], low[b:hi]
+            first, last = max(0, i - window), min(len(words) - 1, i + window)
+            before, after = low[found[first].start() : found[i].start()], low[found[i].end() : found[last].end()]
             marks = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-            seen[low[a:b]] = marks or any(low[x:y] in REPORTING for x, y in words[max(0, i - window) : i])
+            seen[word] = marks or any(w in REPORTING for w in words[first:i])
         most, total = [0.0, 0.0], [0.0, 0.0]
         for word, quoted in sorted(seen.items()):
             nats = self.strength.get(kinds[word], PRIOR[kinds[word][0]])
             most[quoted] = max(most[quoted], nats)
             total[quoted] += nats
         rest = [math.log1p(max(0.0, t - m)) for m, t in zip(most, total, strict=True)]
-        return [*most, *rest, math.log(len({low[a:b] for a, b in words})) if seen else 0.0]
+        return [*most, *rest, math.log(len(set(words))) if seen else 0.0]
 
     def score(self, text: str, kinds: dict[str, tuple[str, str]], window: int) -> float:
         x = math.log(self.floor / (1 - self.floor)) + sum(w * e for w, e in zip(self.weight, self.evidence(text, kinds, window), strict=True))
