@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quoin.operators import fulltext
 from quoin.operators.dedup import group_duplicates
+from quoin.operators.layout import written
 
 # English words that say nothing alone.
 STOPWORDS = frozenset(
@@ -151,9 +152,10 @@ def hybrid_search(rows: DataFrame, query: str, embed: Callable[[list[str]], list
 
 def grouped(hits: DataFrame) -> DataFrame:
     """Hits, or a brief's cards, with near-duplicates as one, in their order (rank or seq). This comes after all
-    filters and the choice of hits, so there may be fewer."""
+    filters and the choice of hits, so there may be fewer. What was searched for is written, as grouping reads it several
+    times."""
     order = "rank" if "rank" in hits.columns else "seq"
-    return group_duplicates(hits, [order]).orderBy(order)
+    return group_duplicates(written(hits), [order]).orderBy(order)
 
 
 NO_HITS = "No matching notes found."

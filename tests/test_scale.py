@@ -27,3 +27,21 @@ def test_alike_compares_few_pairs_one_by_one(monkeypatch):
             assert set(found) == {(i, k) for i, k in wanted if not first or k < first <= i}
             assert len(compared) <= (500 if cut == 80 else 4000)
     assert len(wanted) > 10
+
+
+def test_grouping_works_out_its_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from quoin.operators import search
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(20).select(F.lit("2024-01-01").cast("date").alias("issue_date"), F.col("id").alias("rank"), F.lit(1).alias("page_no"), F.concat(F.lit("story about number "), F.col("id").cast("string")).alias("headline"), "id")
+    rows = rows.withColumn("body", counted(F.col("headline")))
+    assert search.grouped(rows).count() >= 1
+    assert seen.value == 20
