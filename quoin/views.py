@@ -10,7 +10,13 @@ from quoin.functions import text as T
 START = "2024-01-01"
 
 
+BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Unless the session has a setting of its own, texts go to Python five hundred at a time."""
+    if spark.conf.get(BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH, "500")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

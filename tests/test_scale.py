@@ -45,3 +45,32 @@ def test_grouping_works_out_its_rows_once(spark):
     rows = rows.withColumn("body", counted(F.col("headline")))
     assert search.grouped(rows).count() >= 1
     assert seen.value == 20
+
+
+def test_vectors_hold_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from quoin.functions import stems
+
+    texts = [None, "", "The licensed version of licences", *(f"word{i} and words" for i in range(400))]
+    held = []
+    plain = stems._vectors_of
+    monkeypatch.setattr(stems, "_vectors_of", lambda some: held.append(len(some)) or plain(some))
+    assert stems._vectors.func(pa.array(texts, pa.string())).to_pylist() == plain(texts).to_pylist()
+    assert max(held) <= stems.TOGETHER and sum(held) == len(texts)
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    from quoin import views
+
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    before = spark.conf.get(views.BATCH)
+    try:
+        spark.conf.set(views.BATCH, views.DEFAULT_BATCH)
+        views.read(spark, str(tmp_path), "t")
+        assert int(spark.conf.get(views.BATCH)) <= 1000
+        spark.conf.set(views.BATCH, "77")
+        views.read(spark, str(tmp_path), "t")
+        assert spark.conf.get(views.BATCH) == "77"
+    finally:
+        spark.conf.set(views.BATCH, before)
