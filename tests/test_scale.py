@@ -74,3 +74,28 @@ def test_texts_go_to_python_in_small_batches(spark, tmp_path):
         assert spark.conf.get(views.BATCH) == "77"
     finally:
         spark.conf.set(views.BATCH, before)
+
+
+def test_groups_meet_leaders_alone(spark, monkeypatch):
+    import pandas as pd
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    names = [" ".join(r.choices(["ann", "bo", "cy", "dora"], k=2)) for _ in range(120)]
+    rows = [(i + 1, n, "one and the same body") for i, n in enumerate(names)]
+    stories = spark.createDataFrame(rows, "visit int, h string, b string").withColumn("issue_date", F.lit(None).cast("date"))
+    p = dedup.Duplicates(headline=60, body=60, block=8)
+    joined = {}
+    for v, h, b in rows:
+        for e, h2, b2 in rows[: v - 1]:
+            if e not in joined and token_set_ratio(h, h2) >= 60 and token_set_ratio(b, b2) >= 60:
+                joined[v] = e
+                break
+    met = []
+    for name in ("similar_pairs", "similar_to"):
+        plain = getattr(dedup, name)
+        monkeypatch.setattr(dedup, name, lambda *a, plain=plain: met.append(plain(*a).persist()) or met[-1])
+    got = {x.visit: x.leader for x in dedup.joined_leaders(stories, p).collect()}
+    assert got == joined
+    assert sum(m.count() for m in met) < 120 * 8  # all pairs that are alike are far more
