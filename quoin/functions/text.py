@@ -21,6 +21,7 @@ SECTION_LABELS = (
 )
 WEEKDAY_DATE = r"(?iU)(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)[,\s]+([a-z]+)\s+(\d{1,2}),?\s+(20\d{2})"
 FILE_DATE = r"(20\d{2})[-_]?(\d{2})[-_]?(\d{2})"
+_CONTROL = "".join(chr(i) for i in (*range(32), 127) if chr(i) not in "\n\t")
 NUMBER = r"\d[\d,]*\.?\d*"
 
 
@@ -31,7 +32,10 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 def strip_bad_chars(c: Column) -> Column:
     """Without control, private, unassigned and surrogate characters, U+FFFD and soft hyphens; \\n and \\t stay."""
-    return F.regexp_replace(c, "[\\p{Cc}\\p{Co}\\p{Cn}\\p{Cs}\\uFFFD\\u00AD&&[^\\n\\t]]", "")
+    def others(t: Column) -> Column:
+        return F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, "[\\p{Cc}\\p{Co}\\p{Cn}\\p{Cs}\\uFFFD\\u00AD&&[^\\n\\t]]", ""))
+
+    return let(F.translate(c, _CONTROL, ""), others)
 
 
 def clean_text(c: Column) -> Column:
@@ -45,11 +49,25 @@ def clean_text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    inked = lambda x: (x >= "!") & (x <= "~")
+    ends = lambda t: inked(F.substr(t, F.lit(1), F.lit(1))) & inked(F.substr(t, F.lit(-1), F.lit(1)))
+    return let(c, lambda t: F.when(ends(t), t).otherwise(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")))
+
+
+# Latin, Greek and Cyrillic characters and general punctuation that become spaces; NUL has a meaning of its own in `translate`.
+_SPACED = "".join(chr(i) for i in (*range(1, 48), *range(58, 97), *range(123, 0x530), *range(0x2000, 0x2070)))
 
 
 def _tidy(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^0-9a-zऀ-ॿ]+", " "))
+    """Classes of characters take long to match, so what is a space after a translation goes without."""
+
+    def joined(t: Column) -> Column:
+        some = F.replace(F.replace(t, F.lit("   "), F.lit(" ")), F.lit("  "), F.lit(" "))
+        return let(some, lambda s: F.when(s.contains("  "), F.regexp_replace(s, "  +", " ")).otherwise(s))
+
+    spaced = F.translate(F.lower(c), _SPACED, " " * len(_SPACED))
+    plain = lambda t: (F.octet_length(t) == F.length(t)) & ~t.contains("\0")
+    return let(spaced, lambda t: F.trim(F.when(plain(t), joined(t)).otherwise(F.regexp_replace(t, "[^0-9a-zऀ-ॿ]+", " "))))
 
 
 def norm(c: Column, unify: bool = True) -> Column:

@@ -6,6 +6,7 @@ tests that itself first (a guard around a UDF would not spare its calls).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,32 +22,69 @@ def present_exact(needle: Column, hay: Column) -> Column:
     return F.coalesce((needle != "") & hay.contains(needle), F.lit(False))
 
 
+LONGEST = 64  # bytes of a passage that are looked up
+BITS = 22  # of the map that tells which stretches may begin a passage
+STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be undone
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)])
+
+
+def _stretches(data: bytes, size: int) -> np.ndarray:
+    """A 64-bit number for each stretch of `size` bytes: equal stretches, equal numbers."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8) + np.uint64(1)) * _powers(int(STEP), len(data))[:-1], dtype=np.uint64)])
+    found = (sums[size:] - sums[:-size]) * _powers(pow(int(STEP), -1, 1 << 64), len(data))[: len(data) - size + 1]
+    return found * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _first_stretch(size: pd.Series, needle: pd.Series) -> pd.Series:
+    """The number of a passage's first bytes, as many as `size` tells."""
+    return pd.Series([int(_stretches(t.encode()[:n], n)[0].astype(np.int64)) for n, t in zip(size, needle, strict=True)], dtype="int64")
+
+
+def _begun(marks: dict[int, bytes]):
+    """For each text the stretches (size, number) that may begin a passage, by a map of bits for each size."""
+
+    @F.pandas_udf("array<struct<_size: int, _key: bigint>>")
+    def find(texts: pd.Series) -> pd.Series:
+        maps = {n: np.frombuffer(bits, np.uint8) for n, bits in marks.items()}
+
+        def of(text: str | None) -> list[dict]:
+            data, out = (text or "").encode(), []
+            for n, bits in maps.items():
+                if len(data) < n:
+                    continue
+                keys = _stretches(data, n)
+                place = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+                hits = np.unique(keys[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1].astype(np.int64))
+                out += [{"_size": n, "_key": k} for k in hits.tolist()]
+            return out
+
+        return texts.map(of)
+
+    return find
+
+
 def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """texts: id and text; passages: item_id and needle; both normalised. id and item_id of every passage that a text
     holds verbatim, which may begin and end within words.
 
-    Both sides meet by an equal key before they are compared. A passage of three words or more is keyed by up to
-    three of its inner words, which any text that holds it has as whole words; a shorter one by its first three
-    characters. Texts give only keys of the sizes that passages have."""
-    words = F.split("needle", " ")
-    inner = F.least(F.size(words) - 2, F.lit(3))
-    long = F.size(words) > 2
-    keyed = passages.filter("needle <> ''").withColumn("_words", F.when(long, inner).otherwise(0)).withColumn("_chars", F.when(long, 0).otherwise(F.least(F.length("needle"), F.lit(3))))
-    keyed = keyed.withColumn("_key", F.when(long, F.array_join(F.slice(words, F.lit(2), inner), " ")).otherwise(F.left("needle", F.lit(3))))
-    sizes = [(r._words, r._chars) for r in keyed.select("_words", "_chars").distinct().collect()]  # six at most
-    if not sizes:
+    Both sides meet by an equal key before they are compared: a number of a passage's first bytes, 64 of them or the next
+    smaller power of two. Of a text's stretches only those become rows that a map of bits (half a megabyte for each of
+    the seven sizes) does not rule out, and a text goes on only with these."""
+    size = F.least(F.lit(LONGEST), F.pow(F.lit(2), F.floor(F.log2(F.octet_length("needle")))).cast("int"))
+    number = F.pandas_udf(_first_stretch, "bigint")
+    keyed = passages.filter("needle <> ''").withColumn("_size", size).withColumn("_key", number("_size", "needle"))
+    place = F.shiftrightunsigned("_key", 64 - BITS)
+    cells = keyed.select("_size", F.shiftright(place, 3).alias("cell"), F.pmod(place, F.lit(8)).alias("bit")).distinct()
+    marks: dict[int, np.ndarray] = {}
+    for r in cells.groupBy("_size", "cell").agg(F.sum(F.expr("shiftleft(1, cast(bit as int))")).alias("bits")).toLocalIterator():  # 2^19 cells of a size at most
+        marks.setdefault(r._size, np.zeros(1 << BITS - 3, np.uint8))[r.cell] = r.bits
+    if not marks:
         return texts.select("id").crossJoin(passages.select("item_id")).limit(0)
-
-    def keys(text: Column, ws: Column, size: int, chars: int) -> Column:
-        last = (F.length(text) if chars else F.size(ws)) - (size or chars) + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        found = F.transform(starts, (lambda i: F.substr(text, i, F.lit(chars))) if chars else (lambda i: F.array_join(F.slice(ws, i, size), " ")))
-        return F.transform(F.array_distinct(found), lambda k: F.struct(F.lit(size).alias("_words"), F.lit(chars).alias("_chars"), k.alias("_key")))
-
-    # outer, as an inner one would have every key of a text worked out once more, to see whether there is any
-    every = T.let(F.col("text"), lambda t: T.let(F.split(t, " "), lambda ws: F.concat(*(keys(t, ws, *s) for s in sizes))))
-    dealt = texts.select("id", F.explode_outer(every).alias("k")).select("id", "k.*")
-    near = dealt.join(keyed, ["_words", "_chars", "_key"]).select("id", "item_id", "needle").join(texts, "id")
+    found = texts.select("id", "text", _begun({n: m.tobytes() for n, m in marks.items()})("text").alias("_found"))
+    near = found.select("id", "text", F.explode_outer("_found").alias("k")).select("id", "text", "k.*").join(keyed, ["_size", "_key"])
     return near.filter(present_exact(F.col("needle"), F.col("text"))).select("id", "item_id").distinct()
 
 

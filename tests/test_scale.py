@@ -99,3 +99,39 @@ def test_groups_meet_leaders_alone(spark, monkeypatch):
     got = {x.visit: x.leader for x in dedup.joined_leaders(stories, p).collect()}
     assert got == joined
     assert sum(m.count() for m in met) < 120 * 8  # all pairs that are alike are far more
+
+
+def test_texts_give_few_stretches_to_look_up(spark):
+    from pyspark.sql import functions as F
+
+    from quoin.functions import text as T
+    from quoin.operators import grounding
+
+    seen = spark.sparkContext.accumulator(0)
+    plain = grounding._begun
+
+    def counted(marks):
+        find = plain(marks).func
+
+        @F.pandas_udf("array<struct<_size: int, _key: bigint>>")
+        def f(texts):
+            found = find(texts)
+            seen.add(sum(map(len, found)))
+            return found
+
+        return f
+
+    needle = "the quick brown fox jumps over the lazy dog and then over the other lazy dog once more"
+    texts = [f"word{i} " * 40 + (needle if i % 10 == 0 else needle[:60]) for i in range(50)]
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(1, needle), (2, "é\u0301" * 30), (3, "")], "item_id long, needle string")
+    grounding._begun = counted
+    try:
+        assert {(r.id, r.item_id) for r in grounding.holding(docs, items).collect()} == {(i, 1) for i in range(0, 50, 10)}
+    finally:
+        grounding._begun = plain
+    assert seen.value == 5
+    odd = ["A,b", "\0a\0", "É—x  y\n\n z", "हिन्दी, A।", "中 a", "İ", "", "\x01 a \u2028b"]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    plainly = F.trim(F.regexp_replace(F.lower("t"), "[^0-9a-zऀ-ॿ]+", " "))
+    assert df.filter(~T.norm(F.col("t"), unify=False).eqNullSafe(plainly)).count() == 0
+    assert df.filter(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
