@@ -4,6 +4,7 @@ the JVM. `(?U)` makes Java's classes Unicode's."""
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,22 +31,35 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+# All control characters but \n and \t, the soft hyphen, and all above the last letters before the first unassigned character.
+_SUSPECT = r"[\x00-\x08\x0B-\x1F\x7F-\x9F\xAD\x{378}-\x{10FFFF}]"
+
+
 def strip_bad_chars(c: Column) -> Column:
     """Without control, private, unassigned and surrogate characters, U+FFFD and soft hyphens; \\n and \\t stay."""
     def others(t: Column) -> Column:
         return F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, "[\\p{Cc}\\p{Co}\\p{Cn}\\p{Cs}\\uFFFD\\u00AD&&[^\\n\\t]]", ""))
 
-    return let(F.translate(c, _CONTROL, ""), others)
+    return let(c, lambda t: F.when(t.rlike(_SUSPECT), let(F.translate(t, _CONTROL, ""), others)).otherwise(t))
 
 
 def clean_text(c: Column) -> Column:
     """Line-end soft hyphens join words, others become hyphens; compatibility forms are unified; bad characters
-    go; hyphenated line ends join; line breaks and runs of blanks become one space."""
-    c = F.regexp_replace(c, f"(?U){SOFT_HYPHEN}\\s*\\n\\s*", "")
-    c = strip_bad_chars(nfkc(F.regexp_replace(c, SOFT_HYPHEN, "-")))
-    c = F.regexp_replace(c, r"(?<=[a-z])-\n(?=[a-z])", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s*\n\s*", " "), r"(?U)\s{2,}", " ")
-    return strip(c)
+    go; hyphenated line ends join; line breaks and runs of blanks become one space.
+
+    Most texts need few of these steps, and to find a fixed string is much faster than to match a pattern. ASCII texts
+    are in that form already and don't go to Python."""
+    soft = F.regexp_replace(F.regexp_replace(c, f"(?U){SOFT_HYPHEN}\\s*\\n\\s*", ""), SOFT_HYPHEN, "-")
+    c = F.when(c.contains(SOFT_HYPHEN), soft).otherwise(c)
+    c = strip_bad_chars(F.coalesce(nfkc(F.when(F.octet_length(c) != F.length(c), c)), c))
+    c = let(c, lambda t: F.when(t.contains("-\n"), F.regexp_replace(t, r"(?<=[a-z])-\n(?=[a-z])", "")).otherwise(t))
+    return strip(let(F.replace(c, F.lit("\n"), F.lit(" ")), _single_spaced))
+
+
+def _single_spaced(t: Column) -> Column:
+    """Runs of white space become one space. Of white space, NFKC and strip_bad_chars leave these characters."""
+    runs = reduce(Column.__or__, (t.contains(x) for x in ("  ", "\t", "\u1680", "\u2028", "\u2029")))
+    return F.when(runs, F.regexp_replace(t, r"(?U)\s{2,}", " ")).otherwise(t)
 
 
 def strip(c: Column) -> Column:
@@ -81,8 +95,13 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def pop_marker(c: Column, pattern: str) -> tuple[Column, Column]:
-    """The page number of the first marker (null without one), and the text with it replaced by a space."""
+def _names_page(t: Column) -> Column:
+    """Every marker and reference has this word. The class of a letter has no others here, so ASCII's cases do."""
+    return t.rlike("(?i)page")
+
+
+def marker(c: Column, pattern: str) -> Column:
+    """page: the page number of the first marker (null without one); rest: the text with it replaced by a space."""
 
     def cut(t: Column, found: Column) -> Column:
         at = F.instr(t, found)
@@ -90,10 +109,19 @@ def pop_marker(c: Column, pattern: str) -> tuple[Column, Column]:
         page = F.try_to_number(F.regexp_extract(found, pattern, 1), F.lit("999999999")).cast("int")
         return F.struct(F.when(found != "", page).alias("page"), F.when(found != "", strip(rest)).otherwise(t).alias("rest"))
 
-    popped = let(c, lambda t: let(F.regexp_extract(t, pattern, 0), lambda found: cut(t, found)))
+    return let(c, lambda t: let(F.when(_names_page(t), F.regexp_extract(t, pattern, 0)).otherwise(""), lambda found: cut(t, found)))
+
+
+def pop_marker(c: Column, pattern: str) -> tuple[Column, Column]:
+    popped = marker(c, pattern)
     return popped["page"], popped["rest"]
 
 
+def without_references(c: Column) -> Column:
+    """Each reference to another page becomes a space."""
+    return let(c, lambda t: F.when(_names_page(t), F.regexp_replace(t, CROSS_REFERENCE, " ")).otherwise(t))
+
+
 def section_of(top_text: Column) -> Column:
     """The first section label in text from the top of a page."""
     return F.nullif(F.regexp_extract(F.upper(top_text), rf"(?U)\b({'|'.join(SECTION_LABELS)})\b", 1), F.lit(""))

@@ -86,16 +86,19 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), (F.col("event_id") % F.col("_n")).alias("article_id"), vote.alias("vote"), F.col("ts").alias("created_at")).filter("vote is not null")
 
 
-def _leaf(lines: Column) -> Column:
-    """A hundredth of the height of a page that has all these lines between its header and footer bands."""
-    return F.ceil((F.size(lines) * 12 + 15) / 94)
+def _leaf(text: Column) -> Column:
+    """A hundredth of the height of a page that has all lines of a text between its header and footer bands."""
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.ceil((lines * 12 + 15) / 94)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's lines as blocks of one page in three columns of 180 points. Every fifth line is a headline; of each
     twenty the fourth goes on with the first below it, and the fourteenth is a deck of the eleventh."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", _leaf(lines).alias("leaf"), F.posexplode(lines).alias("n", "line"))
+    text = F.coalesce("text", F.lit(""))
+    # a select of its own: beside the lines, each line would measure its whole text again
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", _leaf(text).alias("leaf"), text.alias("text"))
+    d = d.select("doc_id", "source", "leaf", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     column, top = F.col("n") % 3, F.col("n") * 12.0 + F.col("leaf") * 3 + 1
     return d.select(
         F.col("source").alias("issue"), F.col("doc_id").cast("int").alias("page"), F.col("n").alias("block_no"), (column * 190.0 + (F.col("n") % 4)).alias("x0"), top.alias("y0"),
@@ -107,7 +110,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    height = (_leaf(F.split(F.coalesce("text", F.lit("")), "\n")) * 100).cast("double")
+    height = (_leaf(F.coalesce("text", F.lit(""))) * 100).cast("double")
     return d.select(F.col("source").alias("issue"), F.col("doc_id").cast("int").alias("page"), F.lit(595.0).alias("width"), height.alias("height"))
 
 

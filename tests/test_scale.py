@@ -135,3 +135,63 @@ def test_texts_give_few_stretches_to_look_up(spark):
     plainly = F.trim(F.regexp_replace(F.lower("t"), "[^0-9a-zऀ-ॿ]+", " "))
     assert df.filter(~T.norm(F.col("t"), unify=False).eqNullSafe(plainly)).count() == 0
     assert df.filter(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_a_line_does_not_measure_its_whole_text(spark, tmp_path):
+    """A page's height comes from its number of lines: found for each line, it took a text's length times its lines."""
+    import contextlib
+    import io
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quoin import views
+
+    rows = [(1, "a\n" * 3000, "i"), (2, "", "i"), (3, None, "i"), (4, "\n", "i"), (5, "é\nb", "i")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    every = views.blocks(spark, str(tmp_path))
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        every.explain("formatted")
+    carried = re.findall(r"posexplode\(.*?\), \[(.*?)\], false", plan.getvalue(), re.S)
+    assert carried and all("leaf#" in c and "text#" not in c for c in carried)
+    heights = {r.page: r.height for r in views.pages(spark, str(tmp_path)).collect()}
+    assert heights == {1: 38400.0, 2: 100.0, 3: 100.0, 4: 100.0, 5: 100.0}
+    got = {r.page: (r.n, r.y1) for r in every.groupBy("page").agg(F.count("*").alias("n"), F.max("y1").alias("y1")).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {1: 3001, 2: 1, 3: 1, 4: 2, 5: 2} and all(y < 0.97 * heights[k] for k, (_, y) in got.items())
+
+
+def test_texts_are_cleaned_as_by_every_step(spark):
+    """Steps that a text does not need are left out; ASCII texts don't go to Python."""
+    from pyspark.sql import functions as F
+
+    from quoin.functions import text as T
+
+    blank = [chr(i) for i in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    odd = ["", "plain", "a-\nb-\nc", "co\u00ad \n op mid\u00addle", "ﬁne\x01\x7f\x80\ufffd\ue000\u0378é", "a\t\nb\tc\t\td", "हिन्दी  पाठ\nएक", "“x”\u200b y", "\U0001f600 \n😀", "É\x1b", "a\x00b", "\n\n x \n"]
+    odd += [f"x{a}y{a}{b}z{b}\n{a}" for a in blank for b in blank] + ["see also Page 3, CONTİNUED ON PAGE 4 and details on pAgE 5x", "Contınued from page 12 more reports on A page 7"]
+    marks, sh = "[\\p{Cc}\\p{Co}\\p{Cn}\\p{Cs}\\uFFFD\\u00AD&&[^\\n\\t]]", "\u00ad"
+    t = F.regexp_replace(T.nfkc(F.regexp_replace(F.regexp_replace("t", f"(?U){sh}\\s*\\n\\s*", ""), sh, "-")), marks, "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?<=[a-z])-\n(?=[a-z])", ""), r"(?U)\s*\n\s*", " "), r"(?U)\s{2,}", " ")
+    df = spark.createDataFrame([(x,) for x in [*odd, None]], "t string")
+    wrong = df.select("t", T.clean_text(F.col("t")).alias("got"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "").alias("want")).filter("not (got <=> want)")
+    assert wrong.collect() == []
+    plain = df.select("t", T.without_references(F.col("t")).alias("got"), F.regexp_replace("t", T.CROSS_REFERENCE, " ").alias("want"))
+    assert plain.filter("not (got <=> want)").count() == 0 and plain.filter("got <> t").count() == 2
+    for pattern in (T.CONTINUED_FROM, T.CONTINUED_ON):
+        found = df.select("t", T.marker(F.col("t"), pattern)["page"].alias("page"), F.regexp_extract("t", pattern, 1).alias("want")).filter("page is not null or want <> ''").collect()
+        assert [(str(r.page) == r.want) for r in found] == [True]
+
+
+def test_blocks_are_dealt_to_pages_once(spark, tmp_path):
+    """A block's own size says whether it is a headline, so blocks are not dealt once more to leave the headlines out."""
+    import contextlib
+    import io
+
+    from quoin import views
+    from quoin.operators import layout
+
+    spark.createDataFrame([(1, "a headline of it\n" * 30, "i")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        layout.articles(views.pages(spark, d), views.blocks(spark, d)).drop("section").explain("formatted")
+    assert "Generate" in plan.getvalue() and "LeftAnti" not in plan.getvalue()  # no block is bold here
