@@ -433,7 +433,8 @@ def stitch(spark, d):
     JOIN sizes s USING (issue) LEFT JOIN (SELECT issue, count(*) AS articles FROM segments WHERE {twins.n_words('body')} >= 20 GROUP BY issue) a USING (issue)""")
 def segment_report(spark, d):
     b, p = views.blocks(spark, d), views.pages(spark, d)
-    found = layout.written(layout.articles(p, b))  # stitching reads it several times
+    found = layout.articles(p, b).withColumn("section", F.lit(None).cast("string"))  # the report names no sections
+    found = layout.written(found)  # stitching reads it several times
     final = layout.long_enough(layout.stitch(found))
     return layout.report(p, b, final).withColumn("scanned_pages", F.array_join(F.col("scanned_pages").cast("array<string>"), " "))
 

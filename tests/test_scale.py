@@ -195,3 +195,27 @@ def test_blocks_are_dealt_to_pages_once(spark, tmp_path):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         layout.articles(views.pages(spark, d), views.blocks(spark, d)).drop("section").explain("formatted")
     assert "Generate" in plan.getvalue() and "LeftAnti" not in plan.getvalue()  # no block is bold here
+
+
+def test_the_report_writes_no_sections(spark, tmp_path, monkeypatch):
+    """Stitching reads written articles; sections, which the report doesn't name, were looked up in all blocks for it."""
+    import contextlib
+    import io
+
+    from quoin.operators import layout
+    from quoin.queries import QUERIES
+
+    lines = "\n".join(["a headline of it", *["some words of a body " * 2] * 40])
+    spark.createDataFrame([(1, lines, "i")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, plain = [], layout.written
+
+    def seen(rows):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            rows.explain("formatted")
+        plans.append(plan.getvalue())
+        return plain(rows)
+
+    monkeypatch.setattr(layout, "written", seen)
+    got = QUERIES["segment_report"](spark, str(tmp_path)).first()
+    assert "posexplode(" in plans[0] and "upper(" not in plans[0]
+    assert (got.issue, got.pages, got.scanned_pages, got.body_size, got.articles, got.incomplete) == ("i", 1, "", 9.0, got.articles, 0) and got.articles > 0
