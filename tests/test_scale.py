@@ -219,3 +219,43 @@ def test_the_report_writes_no_sections(spark, tmp_path, monkeypatch):
     got = QUERIES["segment_report"](spark, str(tmp_path)).first()
     assert "posexplode(" in plans[0] and "upper(" not in plans[0]
     assert (got.issue, got.pages, got.scanned_pages, got.body_size, got.articles, got.incomplete) == ("i", 1, "", 9.0, got.articles, 0) and got.articles > 0
+
+
+def test_classes_of_characters_leave_few_texts_to_compare(monkeypatch):
+    r = random.Random(9)
+    parts = ["th", "er", "on", "an", "re", "in", "ti", "ed", "nd", "ha", "st", "en", "of", "is", "wh", "ly"]
+    text = lambda k: " ".join("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(k))
+    rows = [(text(30), text(50)[:300]) for _ in range(400)]
+    asked = []
+    plain = dedup.Bag.maybe
+    monkeypatch.setattr(dedup.Bag, "maybe", lambda self, i, k, cut: asked.append(i.size) or plain(self, i, k, cut))
+    assert list(dedup.alike(rows, 0, dedup.Duplicates())) == []
+    assert sum(asked) < 400  # of 79,800 pairs; common characters alone leave half
+
+
+def test_bounds_lose_no_pair_near_the_cut():
+    r = random.Random(4)
+    letters = "eeeeennnttaaiosrhldcu" + "éßñxqzöя中"
+    word = lambda: "".join(r.choices(letters, k=r.randint(1, 9)))
+
+    def changed(text, share):
+        out = list(text)
+        for _ in range(int(len(out) * share)):
+            i = r.randrange(len(out))
+            out[i] = r.choice(letters) if r.random() < 0.7 else ""
+        return "".join(out)
+
+    rows = []
+    for k in (2, 5, 12, 30, 60, 110):
+        for _ in range(3):
+            head, body = " ".join(word() for _ in range(k)), " ".join(word() for _ in range(60))[:300]
+            rows += [(head, body), *((changed(head, x), changed(body, y)) for x in (0.05, 0.1, 0.14) for y in (0, 0.09, 0.12))]
+    rows += [("и" * 200 + " é", "a" * 290 + " b c"), ("и" * 190 + " ß", "a" * 280 + " c d"), ("one", "one two"), ("one", "two one three")]
+    values = [[token_set_ratio(a[j], b[j]) for j in (0, 1)] for i, a in enumerate(rows) for b in rows[:i]]
+    assert sum(75 < min(v) < 85 for v in values) > 150
+    for cut in (80, 60):
+        wanted = {(i, k) for i in range(len(rows)) for k in range(i) if min(values[i * (i - 1) // 2 + k]) >= cut}
+        for first in (0, 70):
+            found = list(dedup.alike(rows, first, dedup.Duplicates(headline=cut, body=cut)))
+            assert len(found) == len(set(found))
+            assert set(found) == {(i, k) for i, k in wanted if not first or k < first <= i}
